@@ -16,7 +16,7 @@ from paperloom.llm.common import id_back, id_key, written
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Of 64 bits. Windows with a similarity of 0.8 lie about 10 to 13 bits from their item.
-RADIUS = 19
+RADIUS = 23
 #: The items' shingles are broadcast up to so many rows (some 60 bytes each) and joined with a shuffle beyond.
 MOST_BROADCAST = 500_000
 
