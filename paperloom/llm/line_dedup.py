@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join (operator 5).
 
-A line is the set of its lower-cased words. Two lines match when the Jaccard similarity of their sets is at least the
+A line is the set of its words, split at ASCII white space, with A-Z lower-cased. Two lines match when the Jaccard similarity of their sets is at least the
 threshold t. A line goes when any line before it, by document id and line number, matches; lines of fewer than
 ``least`` distinct words are too short to tell and stay.
 
@@ -16,7 +16,6 @@ less good, but as every line uses the same order no pair is lost. A word whose e
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.bytewords import Texts, texts_of
 from paperloom.llm.common import id_key, written
 from paperloom.llm.simhash import whole_groups
 
@@ -33,18 +33,11 @@ SIMILARITY, LEAST = 0.8, 5
 ENTRIES = 1 << 22
 #: A word that may be in more lines has them compared in pairs of blocks, each pair a group of its own.
 BLOCK = 2_000_000
-#: Earlier lines named for a line by one word. If none of them matches and there were more, all are looked at.
+#: Earlier lines named for a line by one word, where none is near enough to be all but sure. If none of them matches
+#: and there were more, all are looked at.
 NAMED = 8
-REMEMBERED = 400_000
-_known: dict[str, int] = {}
-
-
-def _hashes(words: set[str]) -> dict[str, int]:
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    for w in words.difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-    return _known
+#: Lines that a task remembers so as not to send them again; then it forgets all and goes on.
+REMEMBERED = 200_000
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,19 +45,13 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all words of (id, text) by the low bits of their hash: ENTRIES numbers whatever the input."""
+    """Counts of all words of (id, text) by bits of their hash: ENTRIES numbers whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(ENTRIES, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                seen: Counter = Counter()
-                for text in batch.column(1).slice(at, 2048):
-                    if t := text.as_py():
-                        seen.update(t.lower().split())
-                known = _hashes(set(seen))
-                at_ = np.fromiter((known[w] for w in seen), np.uint64, len(seen)) & np.uint64(ENTRIES - 1)
-                np.add.at(table, at_.astype(np.int64), np.fromiter(seen.values(), np.int64, len(seen)))
+            for _, texts in texts_of(batch.column(1)):
+                np.add.at(table, ((texts.words()[2] >> np.uint64(28)) & np.uint64(ENTRIES - 1)).astype(np.int64), 1)
         used = np.flatnonzero(table)
         for at in range(0, len(used), 100_000):
             part = used[at : at + 100_000]
@@ -76,7 +63,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_length(n: np.ndarray | int, t: float = SIMILARITY):
+def prefix_length(n: np.ndarray, t: float = SIMILARITY) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
@@ -84,138 +71,242 @@ LINES = "id long, line int, key binary, n int, sig long, skip int, prefix array<
 
 
 def distinct_lines(docs: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
-    """Lines of at least ``least`` words, of equal ones in a task those before all met so far; the others, which go, come with n = 0 and a key of their own."""
+    """Lines of at least ``least`` words, of equal ones in a task those before all met so far; the others, which go, come with n = 0 and a key of their own.
+
+    ``prefix`` holds 32-bit hashes of the words of the prefix, rarest first, without the ``skip`` that are in no other
+    line; ``blocks``, null if all are one, says in how many blocks to deal each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                yield _lines_of(batch.slice(at, 1024), first, counts, t, least)
+            ids = batch.column(0).to_numpy()
+            for rows, texts in texts_of(batch.column(1)):
+                yield _lines_of(ids[rows], texts, first, counts, t, least)
                 if len(first) > REMEMBERED:
                     first.clear()
 
     return docs.mapInArrow(run, LINES)
 
 
-def _lines_of(batch: pa.RecordBatch, first: dict[bytes, tuple[int, int]], counts: np.ndarray, t: float, least: int) -> pa.RecordBatch:
-    where, keys, sets, again = [], [], [], []
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        for k, line in enumerate((text or "").lower().split("\n")):
-            words = line.split()
-            if len(words) < least or len(own := set(words)) < least:
-                continue
-            key = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))
-            old = first.get(key)
-            if old is not None and old < (doc, k):
-                again.append((doc, k))
-                continue
-            first[key] = (doc, k)
-            where.append((doc, k))
+def _lines_of(ids: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int]], counts: np.ndarray, t: float, least: int) -> pa.RecordBatch:
+    text, number, begin, end = texts.lines()
+    s, _, h = texts.words()
+    line = np.searchsorted(begin, s, "right") - 1
+    data, keep, again, keys = texts.data.tobytes(), np.zeros(len(text), bool), np.zeros(len(text), bool), []
+    few = np.bincount(line, minlength=len(text)) < least
+    digest = xxhash.xxh3_128_digest
+    for g in np.flatnonzero(~few).tolist():
+        key, here = digest(data[begin[g] : end[g]]), (int(ids[text[g]]), int(number[g]))
+        if (old := first.get(key)) is not None and old < here:
+            again[g] = True
+        else:
+            first[key] = here
+            keep[g] = True
             keys.append(key)
-            sets.append(own)
-    known = _hashes(set().union(*sets))
-    n = np.fromiter(map(len, sets), np.int64, len(sets))
-    h = np.fromiter((known[w] for s in sets for w in s), np.uint64, int(n.sum()))
-    row = np.repeat(np.arange(len(sets)), n)
-    starts = np.cumsum(n) - n
-    count = counts[(h & np.uint64(ENTRIES - 1)).astype(np.int64)]
-    sig = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts) if len(sets) else np.zeros(0, np.uint64)
-    order = np.lexsort((h, count, row))
-    h, count = h[order], count[order]
-    place = np.arange(len(h)) - np.repeat(starts, n)
-    keep = (place < np.repeat(prefix_length(n, t), n)) & (count > 1)
-    kept = np.bincount(row[keep], minlength=len(sets))
-    alone = np.bincount(row[(count == 1)], minlength=len(sets))
-    offsets = pa.array(np.concatenate(([0], np.cumsum(kept), np.full(len(again), kept.sum()))).astype(np.int32))
-    tokens = pa.array((h[keep] >> np.uint64(8)).astype(np.uint32).view(np.int32))
-    blocks = pa.array((1 + count[keep] // BLOCK).astype(np.int32))
-    m, none = len(where) + len(again), len(again)
-    every = where + again
+    kept = np.flatnonzero(keep)
+    new = np.cumsum(keep) - 1
+    own = keep[line]
+    pieces = []
+    # a line's number and 50 bits of a word's hash are one integer to sort by
+    where, h = new[line[own]], h[own] >> np.uint64(14)
+    for lo in range(0, len(kept), 1 << 14):
+        a, b = np.searchsorted(where, [lo, lo + (1 << 14)])
+        pieces.append(_prefixes(where[a:b] - lo, h[a:b], min(len(kept) - lo, 1 << 14), counts, t))
+    n, sig, alone, sizes, tokens, dealt = (np.concatenate(x) for x in zip(*pieces)) if pieces else (np.zeros(0, np.int64),) * 6
+    enough = n >= least  # words may repeat
+    tokens, dealt = tokens[np.repeat(enough, sizes)], dealt[np.repeat(enough, sizes)]
+    sizes = sizes[enough]
+    gone = np.flatnonzero(again)
+    rows = np.concatenate([kept[enough], gone])
+    out_ids, out_lines, none = ids[text[rows]], number[rows], len(gone)
+    offsets = np.concatenate(([0], np.cumsum(sizes), np.full(none, sizes.sum()))).astype(np.int32)
+    names = [k for k, e in zip(keys, enough.tolist()) if e] + [struct.pack("<qi", i, k) for i, k in zip(ids[text[gone]].tolist(), number[gone].tolist())]
+    zeros = np.zeros(none, np.int64)
+    blocks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(dealt.astype(np.int32))) if len(dealt) and dealt.max() > 1 else pa.nulls(len(rows), pa.list_(pa.int32()))
     return pa.record_batch(
         [
-            pa.array([x[0] for x in every], pa.int64()), pa.array([x[1] for x in every], pa.int32()), pa.array(keys + [struct.pack("<qi", *x) for x in again], pa.binary()),
-            pa.array(np.append(n, np.zeros(none)).astype(np.int32)), pa.array(np.append(sig.view(np.int64), np.zeros(none, np.int64))), pa.array(np.append(alone, np.zeros(none)).astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, tokens)[:m], pa.ListArray.from_arrays(offsets, blocks)[:m],
+            pa.array(out_ids), pa.array(out_lines.astype(np.int32)), pa.array(names, pa.binary()), pa.array(np.append(n[enough], zeros).astype(np.int32)),
+            pa.array(np.append(sig[enough].astype(np.uint64).view(np.int64), zeros)), pa.array(np.append(alone[enough], zeros).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.uint32).view(np.int32))), blocks,
         ],
         names=[x.split()[0] for x in LINES.split(", ")],
     )
 
 
-def _passes(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """Length, positional and signature filter; columns n, i (place in the rarity order), sig."""
+def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, counts: np.ndarray, t: float):
+    """For each line: distinct words, signature, words in no other line, length of the prefix without these; and the prefixes' words and blocks.
+
+    ``h`` has 50 bits; ``line`` ascends and is less than 2**14.
+    """
+    key = np.sort((line.astype(np.uint64) << np.uint64(50)) | h)
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    h = key & np.uint64((1 << 50) - 1)
+    line = (key >> np.uint64(50)).astype(np.int64)
+    n = np.bincount(line, minlength=lines)
+    starts = np.cumsum(n) - n
+    sig = np.zeros(lines, np.uint64)
+    if len(h):
+        sig[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(44)), starts[n > 0])
+    count = counts[(h >> np.uint64(14)).astype(np.int64) & (ENTRIES - 1)]
+    rare = np.minimum(count, (1 << 18) - 1).astype(np.uint64)
+    order = np.sort((line.astype(np.uint64) << np.uint64(50)) | (rare << np.uint64(32)) | (h & np.uint64(2**32 - 1)))
+    place = np.arange(len(order)) - np.repeat(starts, n)
+    rare = (order >> np.uint64(32)) & np.uint64((1 << 18) - 1)
+    keep = (place < np.repeat(prefix_length(n, t), n)) & (rare > 1)
+    alone = np.bincount(line[rare == 1], minlength=lines)
+    token = order[keep] & np.uint64(2**32 - 1)
+    # the count again, as its order is cut off where it is large
+    blocks = np.where(rare[keep] == (1 << 18) - 1, 1 + int(counts.max(initial=0)) // BLOCK, 1 + rare[keep] // BLOCK)
+    return n, sig, alone, np.bincount(line[keep], minlength=lines), token, blocks.astype(np.int64)
+
+
+def _passes(a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Length, positional and signature filter, and whether the signatures are so near that a match is all but sure; columns n, place, sig."""
     n, m = a[0], b[0]
     ok = (n >= t * m - 1e-9) & (m >= t * n - 1e-9)
     ok &= 1 + np.minimum(n - a[1] - 1, m - b[1] - 1) >= np.ceil((n + m) * t / (1 + t) - 1e-9)
-    ok &= np.bitwise_count((a[2] ^ b[2]).view(np.uint64)) <= (n + m) * (1 - t) / (1 + t) + 1e-9
-    return ok
+    most = (n + m) * (1 - t) / (1 + t) + 1e-9
+    differ = np.bitwise_count((a[2] ^ b[2]).view(np.uint64))
+    # bits that sets differing in half as many words as they may do show on average; 32 bits differ where the sets have nothing in common
+    return ok & (differ <= most), differ <= np.minimum(32 * (1 - np.exp(-most / 64)), 18)
+
+
+def _chosen(a: np.ndarray, b: np.ndarray, sure: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (earlier, later) those to name: the first sure one for a later one, else its first ``most``; and the later ones for which there were more."""
+    order = np.lexsort((a, ~sure, b))
+    a, b, sure = a[order], b[order], sure[order]
+    head = np.ones(len(b), bool)
+    head[1:] = b[1:] != b[:-1]
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.append(starts, len(b)))
+    turn = np.arange(len(b)) - np.repeat(starts, sizes)
+    limit = np.where(sure[starts], 1, most)
+    keep = turn < np.repeat(limit, sizes)
+    return a[keep], b[keep], b[starts[sizes > limit]]
 
 
-def _named(rows: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of whole groups, each in the order of (id, line): pairs (earlier, later) that pass, at most about ``most`` for a later one, and the later ones that had more.
+def _named(rows: np.ndarray, t: float, most: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of whole groups, each in the order of (id, line): pairs (earlier, later) to verify and the later ones that had more.
 
-    Columns of ``rows``: tok, i, j, id, line, n, place, sig.
+    With ``asked`` only rows where it is true are looked at as later ones.
+
+    Columns of ``rows``: key, id, line, n, place, sig.
     """
-    starts = np.concatenate(([0], np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1))
+    starts = np.concatenate(([0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1))
     sizes = np.diff(np.append(starts, rows.shape[1]))
-    left, right, more = [], [], []
-    x = rows[5:8]
+    left, right, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    x = rows[3:6]
     small = sizes <= 64
-    rest = np.repeat(starts + sizes, sizes) - np.arange(rows.shape[1])  # rows from here to the group's end
-    rest[np.repeat(~small, sizes)] = 0
+    rest = np.repeat(np.where(small, starts + sizes, 0), sizes) - np.arange(rows.shape[1])  # rows from here to the group's end
+    a = np.arange(rows.shape[1])
     for d in range(1, int(sizes[small].max(initial=1))):
-        a = np.flatnonzero(rest > d)
-        if not len(a):
-            break
-        ok = a[_passes(x[:, a], x[:, a + d], t)]
-        left.append(ok)
-        right.append(ok + d)
+        a = a[rest[a] > d]
+        b = a if asked is None else a[asked[a + d]]
+        ok, near = _passes(x[:, b], x[:, b + d], t)
+        near &= asked is None  # sure ones have been verified in vain
+        left.append(b[ok])
+        right.append(b[ok] + d)
+        sure.append(near[ok])
+    a, b, more = _chosen(*map(np.concatenate, (left, right, sure)), most)
+    named, others = [np.stack([a, b])], [more]
     for s, m in zip(starts[~small].tolist(), sizes[~small].tolist()):
-        found = np.zeros(m, np.int64)
-        active = np.arange(1, m)
+        found = np.zeros(m, np.int64)  # pairs named so far for each
+        active = np.arange(1, m) if asked is None else 1 + np.flatnonzero(asked[s + 1 : s + m])
         for lo in range(0, m, 512):
             block = np.arange(lo, min(lo + 512, m))
             active = active[active > lo]
             for at in range(0, len(active), 2048):
                 later = active[at : at + 2048]
-                ok = _passes(x[:, s + block][:, :, None], x[:, s + later][:, None, :], t) & (block[:, None] < later[None, :])
-                ok &= found[later][None, :] + np.cumsum(ok, axis=0) <= most
-                a, b = np.nonzero(ok)
-                left.append(s + block[a])
-                right.append(s + later[b])
-                found[later] += ok.sum(axis=0)
-            full = active[found[active] >= most]
-            more.append(s + full)
+                ok, near = _passes(x[:, s + block][:, :, None], x[:, s + later][:, None, :], t)
+                ok &= block[:, None] < later[None, :]
+                near &= asked is None
+                i, j = np.nonzero(ok)
+                if len(i):
+                    a, b, more = _chosen(block[i], later[j], near[i, j], most)
+                    named.append(np.stack([s + a, s + b]))
+                    found += np.bincount(b, minlength=m)
+                    found[later[near.any(axis=0, where=ok)]] += most
+                    others.append(s + more)
+            others.append(s + active[found[active] >= most])  # what lies further on isn't looked at
             active = active[found[active] < most]
             if not len(active):
                 break
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none, *more])
+    a, b = np.concatenate(named, axis=1)
+    return a, b, np.unique(np.concatenate(others))
 
 
 CANDIDATES = "a_id long, a_line int, id long, line int, more boolean"
 
 
-def candidates(lines: DataFrame, t: float, most: int) -> DataFrame:
-    """(a_id, a_line, id, line, more): earlier lines that may match; ``more`` with null a_id where some may be left out."""
-    each = lines.select("id", "line", "n", "sig", "skip", F.posexplode(F.arrays_zip("prefix", "blocks")).alias("p", "x"))
-    each = each.select(F.col("x.prefix").alias("tok"), F.col("x.blocks").alias("blocks"), "id", "line", "n", (F.col("skip") + F.col("p")).alias("place"), "sig")
-    own = F.pmod(F.xxhash64("id", "line"), F.col("blocks").cast("long")).cast("int")
-    dealt = each.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("tok", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "line", "n", "place", "sig")
-    ordered = dealt.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "id", "line")
+def _screen(rows: DataFrame) -> np.ndarray:
+    """Of ENTRIES bits those of the hashes, or of the (id, line), in ``rows``: of fixed size, it lets through all of them and maybe others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, ("tok", "i", "j", "id", "line", "n", "place", "sig"), 3):
-            a, b, more = _named(rows, t, most)
-            ids, line = rows[3], rows[4].astype(np.int32)
+        seen = np.zeros(ENTRIES, bool)
+        for batch in batches:
+            seen[_spots(batch.column(0).to_numpy(), batch.column(1).to_numpy()) if batch.num_columns == 2 else batch.column(0).to_numpy() & (ENTRIES - 1)] = True
+        yield pa.record_batch([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["at"])
+
+    out = np.zeros(ENTRIES, bool)
+    out[rows.mapInArrow(run, "at int").distinct().toArrow()["at"].to_numpy()] = True
+    return out
+
+
+def sharing(lines: DataFrame, asked: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``lines`` with of their prefixes only the words that a line of ``asked`` (id, line) may have in its own, and a screen of these lines."""
+    spots = _screen(asked.select("id", "line"))
+
+    def only(batches: Iterator[pa.RecordBatch], words: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if words is None:
+                yield batch.filter(pa.array(spots[_spots(batch.column(0).to_numpy(), batch.column(1).to_numpy())]))
+                continue
+            lists = batch.column(5)
+            keep = words[lists.flatten().to_numpy() & (ENTRIES - 1)]
+            sizes = lists.value_lengths().to_numpy()
+            left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+            # what is kept of a prefix goes with its places, as others before it are gone
+            places = (np.arange(len(keep)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[keep]
+            offsets = pa.array(np.concatenate(([0], np.cumsum(left))).astype(np.int32))
+            values = pa.StructArray.from_arrays([lists.flatten().filter(pa.array(keep)), pa.array(places.astype(np.int32))], ["prefix", "p"])
+            yield pa.record_batch([*batch.columns[:5], pa.ListArray.from_arrays(offsets, values), batch.column(6)], names=[*names, "kept", "blocks"]).filter(pa.array(left > 0))
+
+    names = ["id", "line", "n", "sig", "skip"]
+    rows = lines.select(*names, "prefix", "blocks")
+    words = _screen(rows.mapInArrow(lambda b: only(b, None), rows.schema).select(F.explode("prefix").alias("tok")))
+    kept = rows.mapInArrow(lambda b: only(b, words), "id long, line int, n int, sig long, skip int, kept array<struct<prefix:int,p:int>>, blocks array<int>")
+    return kept, spots
+
+
+def candidates(lines: DataFrame, t: float, most: int, asked: DataFrame | None = None) -> DataFrame:
+    """(a_id, a_line, id, line, more): earlier lines that may match; ``more`` with null a_id where some may be left out.
+
+    With ``asked`` (id, line) for those lines only.
+    """
+    spots = None
+    if asked is None:
+        each = lines.select("id", "line", "n", "sig", "skip", "blocks", F.posexplode("prefix").alias("p", "tok"))
+    else:
+        kept, spots = sharing(lines, asked)
+        each = kept.select("id", "line", "n", "sig", "skip", "blocks", F.explode("kept").alias("x")).select("id", "line", "n", "sig", "skip", "blocks", F.col("x.p").alias("p"), F.col("x.prefix").alias("tok"))
+    each = each.select("id", "line", "n", (F.col("skip") + F.col("p")).alias("place"), "sig", F.shiftleft(F.col("tok").cast("long"), 32).alias("key"), F.coalesce(F.get("blocks", F.col("p")), F.lit(1)).alias("deal"))
+    own = F.pmod(F.xxhash64("id", "line"), F.col("deal").cast("long"))
+    pair = F.explode(F.when(F.col("deal") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1), lambda k: F.least(own, k) * 32768 + F.greatest(own, k))))
+    dealt = each.select("key", pair.alias("pair"), "id", "line", "n", "place", "sig").select((F.col("key") + F.col("pair")).alias("key"), "id", "line", "n", "place", "sig")
+    ordered = dealt.repartition("key").sortWithinPartitions("key", "id", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ("key", "id", "line", "n", "place", "sig"), 1):
+            a, b, more = _named(rows, t, most, None if spots is None else spots[_spots(rows[1], rows[2])])
+            ids, line = rows[1], rows[2].astype(np.int32)
             two = (ids[a] != ids[b]) | (line[a] != line[b])  # hashes of two words of a line may be equal
             a, b = a[two], b[two]
-            pairs = np.unique(np.stack([ids[a], rows[4][a], ids[b], rows[4][b]]), axis=1) if len(a) else np.zeros((4, 0), np.int64)
             k = len(more)
             yield pa.record_batch(
                 [
-                    pa.concat_arrays([pa.array(pairs[0]), pa.nulls(k, pa.int64())]), pa.concat_arrays([pa.array(pairs[1].astype(np.int32)), pa.nulls(k, pa.int32())]),
-                    pa.array(np.append(pairs[2], ids[more])), pa.array(np.append(pairs[3].astype(np.int32), line[more])), pa.array(np.append(np.zeros(pairs.shape[1], bool), np.ones(k, bool))),
+                    pa.concat_arrays([pa.array(ids[a]), pa.nulls(k, pa.int64())]), pa.concat_arrays([pa.array(line[a]), pa.nulls(k, pa.int32())]),
+                    pa.array(np.append(ids[b], ids[more])), pa.array(np.append(line[b], line[more])), pa.array(np.append(np.zeros(len(a), bool), np.ones(k, bool))),
                 ],
                 names=[c.split()[0] for c in CANDIDATES.split(", ")],
             )
@@ -223,37 +314,28 @@ def candidates(lines: DataFrame, t: float, most: int) -> DataFrame:
     return ordered.mapInArrow(run, CANDIDATES).distinct()
 
 
-def _spot(doc: int, line: int) -> int:
-    return ((doc * 0x9E3779B97F4A7C15 + line * 0xC2B2AE3D27D4EB4F) & (2**64 - 1)) >> 42
+def _spots(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lines.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(42)).astype(np.int64)
 
 
 def matched(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """(id, line) of the lines in ``pairs`` whose earlier line does match, word by word."""
     ends = pairs.select(F.explode(F.array(F.struct("id", "line"), F.struct(F.col("a_id").alias("id"), F.col("a_line").alias("line")))).alias("x")).select("x.*")
 
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 22, bool)
-        for batch in batches:
-            at = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(42)
-            seen[at.astype(np.int64)] = True
-        yield pa.record_batch([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["at"])
-
-    wanted = np.zeros(1 << 22, bool)  # a screen of fixed size: only saves moving lines that no pair names
-    wanted[ends.mapInArrow(spots, "at int").distinct().toArrow()["at"].to_numpy()] = True
+    wanted = _screen(ends)  # only saves moving lines that no pair names
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part, out = batch.slice(at, 1024), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for k, line in enumerate((text or "").lower().split("\n")):
-                        if wanted[_spot(doc, k)]:
-                            out.append((doc, k, sorted(set(line.split()))))
-                kinds = [pa.int64(), pa.int32(), pa.list_(pa.string())]
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 3, kinds)], names=["id", "line", "words"])
+            ids = batch.column(0).to_numpy()
+            for rows, texts in texts_of(batch.column(1)):
+                text, number, begin, end = texts.lines()
+                hit = np.flatnonzero(wanted[_spots(ids[rows][text], number)])
+                data = texts.data.tobytes()
+                content = [list(set(data[a:b].split())) for a, b in zip(begin[hit].tolist(), end[hit].tolist())]
+                yield pa.record_batch([pa.array(ids[rows][text[hit]]), pa.array(number[hit].astype(np.int32)), pa.array(content, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["id", "line", "words"])
 
     named = ends.distinct()
-    lines = written(docs.mapInArrow(texts, "id long, line int, words array<string>").join(named, ["id", "line"], "left_semi"), "lines")
+    lines = written(docs.mapInArrow(texts_of_lines, "id long, line int, words array<string>").join(named, ["id", "line"], "left_semi"), "lines")
     earlier = lines.select(F.col("id").alias("a_id"), F.col("line").alias("a_line"), F.col("words").alias("a_words"))
     both = F.size(F.array_intersect("words", "a_words"))
     similarity = both / (F.size("words") + F.size("a_words") - both)
@@ -268,14 +350,16 @@ def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id
     turn = F.row_number().over(Window.partitionBy("key").orderBy("id", "line"))
     equal = written(found.select("id", "line", "n", "sig", "skip", "prefix", "blocks", turn.alias("turn")), "lines")
     firsts = equal.where("turn = 1 and n > 0 and size(prefix) > 0").drop("turn")
-    named = written(candidates(firsts, t, NAMED), "candidates")
-    gone = written(matched(source, named.where("a_id is not null").drop("more"), t), "matched")
-    unsure = written(named.where("more").select("id", "line").distinct().join(gone, ["id", "line"], "left_anti"), "unsure")
-    out = equal.where("turn > 1 or n = 0").select("id", "line").union(gone)
-    if not unsure.isEmpty():
-        every = candidates(firsts, t, 2**62).where("a_id is not null").drop("more").join(unsure, ["id", "line"], "left_semi")
-        out = out.union(matched(source, written(every, "candidates"), t))
-    return out
+    out, asked, most = equal.where("turn > 1 or n = 0").select("id", "line"), None, NAMED
+    while True:
+        named = candidates(firsts, t, most, asked)
+        named = written(named if asked is None else named.join(asked, ["id", "line"], "left_semi"), "candidates")
+        gone = written(matched(source, named.where("a_id is not null").drop("more"), t), "matched")
+        out = out.union(gone)
+        asked = written(named.where("more").select("id", "line").distinct().join(gone, ["id", "line"], "left_anti"), "unsure")
+        if asked.isEmpty():
+            return out
+        most *= 16
 
 
 def dedup_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

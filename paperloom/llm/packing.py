@@ -54,7 +54,11 @@ def boundaries(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(ids)
     natural = np.flatnonzero(ends[ids[:-1]]) + 1
     at = np.concatenate(([0], natural, [n]))
-    wide = np.flatnonzero(np.diff(at) > SPACING)
+    wide = np.flatnonzero(at[1:] - at[:-1] > SPACING)
+    if not len(wide):
+        cost = np.full(len(at) - 1, SENTENCE_COST)
+        cost[-1] = 0
+        return at[1:], cost
     forced = [np.arange(at[k] + SPACING, at[k + 1], SPACING) for k in wide]
     places = np.concatenate([natural, [n], *forced])
     cost = np.concatenate([np.full(len(natural), SENTENCE_COST), [0], *[np.full(len(x), ELSEWHERE_COST) for x in forced]])

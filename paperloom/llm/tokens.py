@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import re
+import gc
+import sys
+from array import array
 
 import numpy as np
 
-#: Pieces that a worker remembers; then it forgets all and goes on.
-REMEMBERED = 250_000
+#: Pieces that a worker remembers, some 200 bytes each; then it forgets all and goes on.
+REMEMBERED = 900_000
+_FITS = sys.byteorder == "little" and array("I").itemsize == 4
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
@@ -18,9 +21,17 @@ def encoder(path: str, kind: str) -> PieceEncoder:
     return _encoders[path, kind]
 
 
+def _little(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if _FITS else np.array(ids, "<u4").tobytes()
+
+
 class PieceEncoder:
     """Ids as little-endian 32-bit bytes, the same as the library gives for the whole text."""
 
+    #: What a pre-token's first (``leads``) or last id has in its string.
+    mark: str
+    leads: bool
+
     def __init__(self, path: str):
         import os
 
@@ -30,17 +41,57 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes | None] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edges[[i for t, i in vocabulary.items() if (t.startswith(self.mark) if self.leads else t.endswith(self.mark))]] = True
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_little(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
+    def parts(self, piece: str) -> tuple[str, ...] | None:
+        """Smaller pieces that give the same ids one after the other; itself if there are none; None if it can't stand alone."""
         raise NotImplementedError
 
+    def as_text(self, piece: str) -> str:
+        return piece
+
+    def learn(self, pieces: set[str]) -> None:
+        cut = {p: self.parts(p) for p in pieces}
+        new = {x for c in cut.values() if c for x in c}.difference(self.known)
+        words = [x for x in new if x.isalpha()]
+        for at in range(0, len(words), 200):
+            self._learn_words(words[at : at + 200])
+        rest = [x for x in new if x not in self.known]
+        self.known.update(zip(rest, self.encode_batch([self.as_text(x) for x in rest])))
+        for p, c in cut.items():
+            if c is None:
+                self.known[p] = None
+            elif c != (p,):
+                self.known[p] = b"".join(self.known[x] for x in c)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters, in one call: each is one pre-token, whose first or last id shows."""
+        ids = np.array(self.tokenizer.encode("".join(" " + w for w in words), add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(self.edges[ids])
+        if len(at) != len(words):  # left to the caller
+            return
+        cuts = [*at.tolist(), len(ids)] if self.leads else [0, *(at + 1).tolist()]
+        data = ids.tobytes()
+        self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, cuts, cuts[1:]))
+
     def pieces(self, text: str) -> list[str]:
         raise NotImplementedError
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # many short-lived tuples, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.pieces(t or "") for t in texts]
         out: list[bytes] = []
         for at in range(0, len(cut), 256):
@@ -64,30 +115,44 @@ class ByteEncoder(PieceEncoder):
 
     A space after a character that isn't white space starts a pre-token, so the text may be cut there. A piece is kept
     without its space; the first, which has none, is marked by a NUL. A piece that is empty or ends in white space
-    may be one pre-token with what follows: such texts, and those that hold a NUL, go to the library whole.
+    may be one pre-token with what follows: such texts, and those that hold a NUL or U+0001, go to the library whole.
     """
 
+    mark, leads = "\u0120", True
+
     def pieces(self, text: str) -> list[str]:
         if not text:
             return []
-        if "\0" in text:
+        if "\0" in text or "\1" in text:
             return [""]
         out = text.split(" ")
         out[0] = "\0" + out[0]
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        safe = [p for p in pieces if p and p[-1].isprintable() and not p[-1].isspace()]
-        self.known.update(dict.fromkeys(pieces.difference(safe)))
-        self.known.update(zip(safe, self.encode_batch([p[1:] if p[0] == "\0" else " " + p for p in safe])))
+    def as_text(self, piece: str) -> str:
+        return piece[1:] if piece[0] in "\0\1" else " " + piece
+
+    def parts(self, piece: str) -> tuple[str, ...] | None:
+        if not piece or not piece[-1].isprintable() or piece[-1].isspace():
+            return None
+        left, feed, right = piece.partition("\n")
+        if feed and len(left) > 1 and right and left[-1] in ".," and right[0].isalpha():
+            after = self.parts("\0" + right)
+            return None if after is None else (*self.parts(left), "\1\n", *after)
+        # a letter and the one mark behind it are pre-tokens of their own
+        return (piece[:-1], "\0" + piece[-1]) if piece[-1] in ".," and len(piece) > 1 and piece[-2].isalpha() else (piece,)
 
 
 class WordEncoder(PieceEncoder):
     """BPE with word ends that drops white space: pieces between spaces and line ends stand alone."""
 
+    mark, leads = "</w>", False
+
     def pieces(self, text: str) -> list[str]:
-        return re.split("[ \n]", text)
+        return text.replace("\n", " ").split(" ")
 
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        self.known.update(zip(new, self.encode_batch(new)))
+    def parts(self, piece: str) -> tuple[str, ...] | None:
+        if piece.isascii():  # of other texts a letter's lower case may hang on its neighbours
+            piece = piece.lower()
+        # a letter and the one mark behind it are pre-tokens of their own
+        return (piece[:-1], piece[-1]) if piece[-1:] in {".", ","} and piece[-2:-1].isalpha() else (piece,)

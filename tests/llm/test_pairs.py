@@ -114,7 +114,7 @@ def slow_lines(docs, t=0.8, least=5):
     for i, text in sorted(docs, key=lambda d: low(d[0])):
         removed = []
         for k, line in enumerate((text or "").split("\n")):
-            s = frozenset(line.lower().split())
+            s = frozenset(line.encode().lower().split())
             if len(s) < least:
                 continue
             if any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen):
@@ -158,22 +158,24 @@ def test_line_dedup_in_blocks_and_second_look(make, line_docs, monkeypatch):
     assert got == slow_lines(line_docs)
 
 
-def test_line_dedup_large_groups_are_exact(vocabulary):
-    """The path for words with many lines names as many earlier lines as there are, up to the limit."""
+def test_line_dedup_large_groups_name_enough():
+    """For each line with an earlier one that passes, one that does is named; all are, or the line is said to have more, or a sure one is."""
     import numpy as np
 
     rng = random.Random(9)
-    m = 150
-    rows = np.zeros((8, m), np.int64)
-    rows[3] = np.arange(m)
-    rows[5] = [rng.randint(5, 12) for _ in range(m)]
-    rows[7] = [rng.getrandbits(3) for _ in range(m)]
-    a, b, more = line_dedup._named(rows, 0.8, 3)
-    x = rows[5:8]
-    every = [[i for i in range(j) if line_dedup._passes(x[:, [i]], x[:, [j]], 0.8)[0]] for j in range(m)]
-    for j in range(m):
-        assert sorted(a[b == j].tolist()) == every[j][:3]
-        assert (j in more) == (len(every[j]) >= 3)
+    for m in (40, 150, 1500):
+        rows = np.zeros((6, m), np.int64)
+        rows[1] = np.arange(m)
+        rows[3] = [rng.randint(5, 40) for _ in range(m)]
+        rows[5] = [rng.getrandbits(4) for _ in range(m)]
+        a, b, more = line_dedup._named(rows, 0.8, 3)
+        x = rows[3:6]
+        for j in range(m):
+            ok, near = line_dedup._passes(x[:, :j], x[:, [j]], 0.8)
+            named = set(a[b == j].tolist())
+            assert named <= set(np.flatnonzero(ok).tolist()) and bool(named) == ok.any()
+            assert named == set(np.flatnonzero(ok).tolist()) or j in more
+            assert not (ok & near).any() or near[list(named)].any() or len(named) >= 3
 
 
 def test_drop_repeats(make, line_docs):
@@ -250,3 +252,27 @@ def test_empty_tables(make, spark):
     assert simhash.op10(none).count() == exact_dedup.op4(none).count() == line_dedup.op5(none).count() == 0
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.decontaminate(make(["a b c d e f"]), items).count() == 1
     assert sharding.op2(none).count() == 0
+
+
+def test_words_and_lines_of_buffers(edge_texts):
+    import numpy as np
+    import pyarrow as pa
+
+    from paperloom.llm import bytewords
+
+    column = pa.array(["skipped", *edge_texts, "", "\n", "a\n\nb\n"])[1:]
+    seen, hashes = [], {}
+    for rows, texts in bytewords.texts_of(column):
+        data = texts.data.tobytes()
+        s, e, h = texts.words()
+        for a, b, x, d in zip(s, e, h, texts.text_of(s)):
+            assert hashes.setdefault(data[a:b], x) == x
+        text, number, begin, end = texts.lines()
+        for d in range(rows.stop - rows.start):
+            own = (column[rows.start + d].as_py() or "").encode().lower()
+            assert [data[a:b] for a, b in zip(begin[text == d], end[text == d])] == own.split(b"\n") and number[text == d].tolist() == list(range(own.count(b"\n") + 1))
+            at = texts.text_of(s) == d
+            assert [data[a:b] for a, b in zip(s[at], e[at])] == own.split()
+        seen += range(rows.start, rows.stop)
+    assert seen == list(range(len(column))) and len(set(hashes.values())) == len(hashes)
+    assert not np.any(bytewords.SPACE[[0x1C, 0xA0]])
