@@ -33,6 +33,8 @@ SIMILARITY, LEAST = 0.8, 5
 ENTRIES = 1 << 22
 #: A word that may be in more lines has them compared in pairs of blocks, each pair a group of its own.
 BLOCK = 2_000_000
+#: Lines of more words have a signature of two or four times 64 bits.
+TWO, FOUR = 100, 200
 #: Earlier lines named for a line by one word, where none is near enough to be all but sure. If none of them matches
 #: and there were more, all are looked at.
 NAMED = 8
@@ -67,7 +69,8 @@ def prefix_length(n: np.ndarray, t: float = SIMILARITY) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-LINES = "id long, line int, key binary, n int, sig long, skip int, prefix array<int>, blocks array<int>"
+SIG = ("s0", "s1", "s2", "s3")
+LINES = "id long, line int, key binary, n int, s0 long, s1 long, s2 long, s3 long, skip int, prefix array<int>, blocks array<int>"
 
 
 def distinct_lines(docs: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
@@ -113,7 +116,7 @@ def _lines_of(ids: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int]]
     for lo in range(0, len(kept), 1 << 14):
         a, b = np.searchsorted(where, [lo, lo + (1 << 14)])
         pieces.append(_prefixes(where[a:b] - lo, h[a:b], min(len(kept) - lo, 1 << 14), counts, t))
-    n, sig, alone, sizes, tokens, dealt = (np.concatenate(x) for x in zip(*pieces)) if pieces else (np.zeros(0, np.int64),) * 6
+    n, sig, alone, sizes, tokens, dealt = (np.concatenate(x, axis=-1) for x in zip(*pieces)) if pieces else (np.zeros((4, 0) if k == 1 else 0, np.int64) for k in range(6))
     enough = n >= least  # words may repeat
     tokens, dealt = tokens[np.repeat(enough, sizes)], dealt[np.repeat(enough, sizes)]
     sizes = sizes[enough]
@@ -127,7 +130,7 @@ def _lines_of(ids: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int]]
     return pa.record_batch(
         [
             pa.array(out_ids), pa.array(out_lines.astype(np.int32)), pa.array(names, pa.binary()), pa.array(np.append(n[enough], zeros).astype(np.int32)),
-            pa.array(np.append(sig[enough].astype(np.uint64).view(np.int64), zeros)), pa.array(np.append(alone[enough], zeros).astype(np.int32)),
+            *(pa.array(np.append(x[enough].astype(np.uint64).view(np.int64), zeros)) for x in sig), pa.array(np.append(alone[enough], zeros).astype(np.int32)),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.uint32).view(np.int32))), blocks,
         ],
         names=[x.split()[0] for x in LINES.split(", ")],
@@ -145,9 +148,12 @@ def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, counts: np.ndarray, t
     line = (key >> np.uint64(50)).astype(np.int64)
     n = np.bincount(line, minlength=lines)
     starts = np.cumsum(n) - n
-    sig = np.zeros(lines, np.uint64)
+    sig = np.zeros((4, lines), np.uint64)
     if len(h):
-        sig[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(44)), starts[n > 0])
+        words = np.repeat(np.select([n > FOUR, n > TWO], [3, 1]), n).astype(np.uint64)  # of a line's signature, less one
+        of, bit = (h >> np.uint64(42)) & words, np.uint64(1) << (h >> np.uint64(44))
+        for k in range(4):
+            sig[k, n > 0] = np.bitwise_xor.reduceat(np.where(of == k, bit, np.uint64(0)), starts[n > 0])
     count = counts[(h >> np.uint64(14)).astype(np.int64) & (ENTRIES - 1)]
     rare = np.minimum(count, (1 << 18) - 1).astype(np.uint64)
     order = np.sort((line.astype(np.uint64) << np.uint64(50)) | (rare << np.uint64(32)) | (h & np.uint64(2**32 - 1)))
@@ -161,15 +167,29 @@ def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, counts: np.ndarray, t
     return n, sig, alone, np.bincount(line[keep], minlength=lines), token, blocks.astype(np.int64)
 
 
+def _sure(most: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    """Bits that sets differing in half as many words as they may do show on average; half the bits differ where the sets have nothing in common."""
+    return np.minimum(bits / 2 * (1 - np.exp(-most / bits)), 0.28 * bits)
+
+
 def _passes(a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Length, positional and signature filter, and whether the signatures are so near that a match is all but sure; columns n, place, sig."""
+    """Length, positional and signature filter, and whether the signatures are so near that a match is all but sure; columns n, place, s0 to s3, all four in one."""
     n, m = a[0], b[0]
     ok = (n >= t * m - 1e-9) & (m >= t * n - 1e-9)
     ok &= 1 + np.minimum(n - a[1] - 1, m - b[1] - 1) >= np.ceil((n + m) * t / (1 + t) - 1e-9)
     most = (n + m) * (1 - t) / (1 + t) + 1e-9
-    differ = np.bitwise_count((a[2] ^ b[2]).view(np.uint64))
-    # bits that sets differing in half as many words as they may do show on average; 32 bits differ where the sets have nothing in common
-    return ok & (differ <= most), differ <= np.minimum(32 * (1 - np.exp(-most / 64)), 18)
+    differ = np.bitwise_count((a[6] ^ b[6]).view(np.uint64))
+    ok &= differ <= most
+    sure = differ <= _sure(most, 64)
+    long = ok & (np.minimum(n, m) > TWO)
+    if long.any():
+        at = np.nonzero(long)
+        a, b, most = (np.array([np.broadcast_to(r, ok.shape)[at] for r in x]) for x in (a, b, [most]))
+        x, four = (a[2:6] ^ b[2:6]).view(np.uint64), np.minimum(a[0], b[0]) > FOUR
+        count = np.bitwise_count(np.where(four, x, np.stack([x[0] ^ x[2], x[1] ^ x[3], 0 * x[0], 0 * x[0]]))).sum(axis=0)
+        ok[at] = count <= most[0]
+        sure[at] = count <= _sure(most[0], np.where(four, 256, 128))
+    return ok, sure & ok
 
 
 def _chosen(a: np.ndarray, b: np.ndarray, sure: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,12 +211,12 @@ def _named(rows: np.ndarray, t: float, most: int, asked: np.ndarray | None = Non
 
     With ``asked`` only rows where it is true are looked at as later ones.
 
-    Columns of ``rows``: key, id, line, n, place, sig.
+    Columns of ``rows``: key, id, line, n, place, s0 to s3.
     """
     starts = np.concatenate(([0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1))
     sizes = np.diff(np.append(starts, rows.shape[1]))
     left, right, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    x = rows[3:6]
+    x = np.vstack([rows[3:9], np.bitwise_xor.reduce(rows[5:9])])
     small = sizes <= 64
     rest = np.repeat(np.where(small, starts + sizes, 0), sizes) - np.arange(rows.shape[1])  # rows from here to the group's end
     a = np.arange(rows.shape[1])
@@ -262,7 +282,7 @@ def sharing(lines: DataFrame, asked: DataFrame) -> tuple[DataFrame, np.ndarray]:
             if words is None:
                 yield batch.filter(pa.array(spots[_spots(batch.column(0).to_numpy(), batch.column(1).to_numpy())]))
                 continue
-            lists = batch.column(5)
+            lists = batch.column(8)
             keep = words[lists.flatten().to_numpy() & (ENTRIES - 1)]
             sizes = lists.value_lengths().to_numpy()
             left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
@@ -270,12 +290,12 @@ def sharing(lines: DataFrame, asked: DataFrame) -> tuple[DataFrame, np.ndarray]:
             places = (np.arange(len(keep)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[keep]
             offsets = pa.array(np.concatenate(([0], np.cumsum(left))).astype(np.int32))
             values = pa.StructArray.from_arrays([lists.flatten().filter(pa.array(keep)), pa.array(places.astype(np.int32))], ["prefix", "p"])
-            yield pa.record_batch([*batch.columns[:5], pa.ListArray.from_arrays(offsets, values), batch.column(6)], names=[*names, "kept", "blocks"]).filter(pa.array(left > 0))
+            yield pa.record_batch([*batch.columns[:8], pa.ListArray.from_arrays(offsets, values), batch.column(9)], names=[*names, "kept", "blocks"]).filter(pa.array(left > 0))
 
-    names = ["id", "line", "n", "sig", "skip"]
+    names = ["id", "line", "n", *SIG, "skip"]
     rows = lines.select(*names, "prefix", "blocks")
     words = _screen(rows.mapInArrow(lambda b: only(b, None), rows.schema).select(F.explode("prefix").alias("tok")))
-    kept = rows.mapInArrow(lambda b: only(b, words), "id long, line int, n int, sig long, skip int, kept array<struct<prefix:int,p:int>>, blocks array<int>")
+    kept = rows.mapInArrow(lambda b: only(b, words), "id long, line int, n int, s0 long, s1 long, s2 long, s3 long, skip int, kept array<struct<prefix:int,p:int>>, blocks array<int>")
     return kept, spots
 
 
@@ -286,18 +306,18 @@ def candidates(lines: DataFrame, t: float, most: int, asked: DataFrame | None =
     """
     spots = None
     if asked is None:
-        each = lines.select("id", "line", "n", "sig", "skip", "blocks", F.posexplode("prefix").alias("p", "tok"))
+        each = lines.select("id", "line", "n", *SIG, "skip", "blocks", F.posexplode("prefix").alias("p", "tok"))
     else:
         kept, spots = sharing(lines, asked)
-        each = kept.select("id", "line", "n", "sig", "skip", "blocks", F.explode("kept").alias("x")).select("id", "line", "n", "sig", "skip", "blocks", F.col("x.p").alias("p"), F.col("x.prefix").alias("tok"))
-    each = each.select("id", "line", "n", (F.col("skip") + F.col("p")).alias("place"), "sig", F.shiftleft(F.col("tok").cast("long"), 32).alias("key"), F.coalesce(F.get("blocks", F.col("p")), F.lit(1)).alias("deal"))
+        each = kept.select("id", "line", "n", *SIG, "skip", "blocks", F.explode("kept").alias("x")).select("id", "line", "n", *SIG, "skip", "blocks", F.col("x.p").alias("p"), F.col("x.prefix").alias("tok"))
+    each = each.select("id", "line", "n", (F.col("skip") + F.col("p")).alias("place"), *SIG, F.shiftleft(F.col("tok").cast("long"), 32).alias("key"), F.coalesce(F.get("blocks", F.col("p")), F.lit(1)).alias("deal"))
     own = F.pmod(F.xxhash64("id", "line"), F.col("deal").cast("long"))
     pair = F.explode(F.when(F.col("deal") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1), lambda k: F.least(own, k) * 32768 + F.greatest(own, k))))
-    dealt = each.select("key", pair.alias("pair"), "id", "line", "n", "place", "sig").select((F.col("key") + F.col("pair")).alias("key"), "id", "line", "n", "place", "sig")
+    dealt = each.select("key", pair.alias("pair"), "id", "line", "n", "place", *SIG).select((F.col("key") + F.col("pair")).alias("key"), "id", "line", "n", "place", *SIG)
     ordered = dealt.repartition("key").sortWithinPartitions("key", "id", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, ("key", "id", "line", "n", "place", "sig"), 1):
+        for rows in whole_groups(batches, ("key", "id", "line", "n", "place", "s0", "s1", "s2", "s3"), 1):
             a, b, more = _named(rows, t, most, None if spots is None else spots[_spots(rows[1], rows[2])])
             ids, line = rows[1], rows[2].astype(np.int32)
             two = (ids[a] != ids[b]) | (line[a] != line[b])  # hashes of two words of a line may be equal
@@ -348,7 +368,7 @@ def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id
     counts = word_counts(source)
     found = distinct_lines(source, counts, t, least)
     turn = F.row_number().over(Window.partitionBy("key").orderBy("id", "line"))
-    equal = written(found.select("id", "line", "n", "sig", "skip", "prefix", "blocks", turn.alias("turn")), "lines")
+    equal = written(found.select("id", "line", "n", *SIG, "skip", "prefix", "blocks", turn.alias("turn")), "lines")
     firsts = equal.where("turn = 1 and n > 0 and size(prefix) > 0").drop("turn")
     out, asked, most = equal.where("turn > 1 or n = 0").select("id", "line"), None, NAMED
     while True:

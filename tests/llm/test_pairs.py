@@ -128,7 +128,7 @@ def slow_lines(docs, t=0.8, least=5):
 @pytest.fixture(scope="module")
 def line_docs(vocabulary):
     rng = random.Random(8)
-    base = [" ".join(rng.choices(vocabulary, k=rng.choice([3, 5, 6, 9, 12, 25, 60]))) for _ in range(60)]
+    base = [" ".join(rng.choices(vocabulary, k=rng.choice([3, 5, 6, 9, 12, 25, 60, 150, 400]))) for _ in range(60)]
     docs = [(0, None), (1, ""), (None, base[0]), (2, "a b c\na b c")]
     for i in range(3, 120):
         lines = []
@@ -164,12 +164,13 @@ def test_line_dedup_large_groups_name_enough():
 
     rng = random.Random(9)
     for m in (40, 150, 1500):
-        rows = np.zeros((6, m), np.int64)
+        rows = np.zeros((9, m), np.int64)
         rows[1] = np.arange(m)
         rows[3] = [rng.randint(5, 40) for _ in range(m)]
         rows[5] = [rng.getrandbits(4) for _ in range(m)]
+        rows[3, m // 2 :] += 190
         a, b, more = line_dedup._named(rows, 0.8, 3)
-        x = rows[3:6]
+        x = np.vstack([rows[3:9], np.bitwise_xor.reduce(rows[5:9])])
         for j in range(m):
             ok, near = line_dedup._passes(x[:, :j], x[:, [j]], 0.8)
             named = set(a[b == j].tolist())
