@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker remembers, some 200 bytes each; then it forgets all and goes on.
-REMEMBERED = 900_000
+REMEMBERED = 700_000
 _FITS = sys.byteorder == "little" and array("I").itemsize == 4
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 

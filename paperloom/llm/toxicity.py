@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from paperloom.llm.bytewords import Texts, texts_of
 from paperloom.llm.common import held_out
 
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
@@ -24,32 +24,26 @@ SAMPLE = 12_000
 THRESHOLD = 0.3
 #: Features met in fewer rows of the sample are not learnt.
 LEAST_ROWS = 3
-REMEMBERED = 400_000
-_PUNCTUATION = ".,;:!?\"'()[]{}<>|*_-–—…«»“”„‘’¡¿/\\"
-_known: dict[str, int] = {}
+#: White space, controls and ASCII punctuation part words.
+APART = np.zeros(256, bool)
+APART[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
 
 
-def word_hash(word: str) -> int:
-    bare = word.strip(_PUNCTUATION).lower()
-    return xxhash.xxh32_intdigest(bare.encode("utf-8", "replace"), 9) or 1 if bare else 0
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 32-bit hash for each word, punctuation around it and case aside; words of punctuation only are left out."""
-    words = (text or "").split()
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = word_hash(w)
-    out = np.fromiter(map(_known.__getitem__, words), np.uint32, len(words))
-    return out[out != 0]
-
-
-def features(h: np.ndarray) -> np.ndarray:
-    """Hashes of the words, pairs and skip pairs, repeats included."""
+def features(texts: Texts) -> np.ndarray:
+    """Words, pairs and skip pairs of each text, A-Z lower-cased: the text's number and the feature's 32-bit hash in one integer, ascending, each once."""
+    s, _, h = texts.words(APART)
+    of = texts.text_of(s)
+    h = (h >> np.uint64(32)).astype(np.uint32)
     pair = h[:-1] * np.uint32(0x9E3779B1) + (h[1:] ^ np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
     skip = h[:-2] * np.uint32(0x27D4EB2F) + (h[2:] ^ np.uint32(0x165667B1)) * np.uint32(0x9E3779B1)
-    return np.concatenate([h, pair, skip])
+    one, two = of[1:] == of[:-1], of[2:] == of[:-2]
+    both = lambda d, f: (d.astype(np.uint64) << np.uint64(32)) | f
+    return np.concatenate([both(of, h), both(of[:-1][one], pair[one]), both(of[:-2][two], skip[two])])
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 @dataclass(frozen=True)
@@ -64,30 +58,52 @@ class Model:
         out[self.hashes >> np.uint32(10)] = True
         return out
 
-    def score(self, text: str | None, screen: np.ndarray) -> float:
-        total = self.bias
-        if len(self.hashes):
-            x = features(word_hashes(text))
-            x = np.unique(x[screen[x >> np.uint32(10)]])
-            at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-            total += float(self.weights[at[self.hashes[at] == x]].sum())
-        return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """The probability for each text of a string column."""
+        total = np.full(len(column), self.bias)
+        screen = self.screen()
+        for rows, texts in texts_of(column) if len(self.hashes) else ():
+            x = features(texts)
+            x = _once(x[screen[(x & np.uint64(2**32 - 1)) >> np.uint64(10)]])
+            f = (x & np.uint64(2**32 - 1)).astype(np.uint32)
+            at = np.minimum(np.searchsorted(self.hashes, f), len(self.hashes) - 1)
+            hit = self.hashes[at] == f
+            total[rows] += np.bincount((x[hit] >> np.uint64(32)).astype(np.int64), self.weights[at[hit]], minlength=rows.stop - rows.start)
+        return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(texts: list[str | None], labels: list[int], alpha: float = 5.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.01, epochs: int = 4, seed: int = 7) -> Model:
+def _learnable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The features met in LEAST_ROWS texts or more, and for each text which of them it has.
+
+    A first pass counts by the top 24 bits in a table of fixed size, so that most rare features are never held.
+    """
+    count = np.zeros(1 << 24, np.uint32)
+    for _, texts in texts_of(column):
+        np.add.at(count, (_once(features(texts)) & np.uint64(2**32 - 1)) >> np.uint64(8), 1)
+    kept = []
+    for rows, texts in texts_of(column):
+        x = _once(features(texts))
+        x = x[count[(x & np.uint64(2**32 - 1)) >> np.uint64(8)] >= LEAST_ROWS]
+        kept.append(x + (np.uint64(rows.start) << np.uint64(32)))
+    x = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
+    f = (x & np.uint64(2**32 - 1)).astype(np.uint32)
+    vocabulary = np.sort(f)
+    starts = np.flatnonzero(np.append(True, vocabulary[1:] != vocabulary[:-1])) if len(f) else np.zeros(0, np.int64)
+    often = np.diff(np.append(starts, len(f))) >= LEAST_ROWS
+    vocabulary = vocabulary[starts[often]]
+    at = np.minimum(np.searchsorted(vocabulary, f), max(len(vocabulary) - 1, 0))
+    hit = vocabulary[at] == f if len(vocabulary) else np.zeros(len(f), bool)
+    row = (x[hit] >> np.uint64(32)).astype(np.int64)
+    return vocabulary, np.split(at[hit], np.searchsorted(row, np.arange(1, len(column)))) if len(column) else []
+
+
+def fit(texts: list[str | None] | pa.Array, labels: list[int], alpha: float = 5.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.01, epochs: int = 4, seed: int = 7) -> Model:
     """Per-coordinate FTRL-proximal; the bias isn't penalised. Without both labels the score is the share of label 1 for every text."""
     y = np.array(labels, float)
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(share / (1 - share))))
-    sets = [np.unique(features(word_hashes(t))) for t in texts]
-    vocabulary, count = np.unique(np.concatenate(sets), return_counts=True)
-    vocabulary = vocabulary[count >= LEAST_ROWS]
-    rows = []
-    for s in sets:
-        at = np.minimum(np.searchsorted(vocabulary, s), max(len(vocabulary) - 1, 0))
-        rows.append(at[vocabulary[at] == s] if len(vocabulary) else at[:0])
-    del sets
+    vocabulary, rows = _learnable(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     n = len(vocabulary)
     z, g2 = np.zeros(n), np.zeros(n)
     bias, bias_g2 = float(np.log(share / (1 - share))), 0.0
@@ -113,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), "_id")
     got = rows.groupBy("_id").agg(F.max("_t").alias("_t"), F.max("_y").alias("_y")).toArrow()
-    got = got.sort_by("_id")
-    return fit(got["_t"].to_pylist(), got["_y"].to_pylist())
+    got = got.sort_by("_id").combine_chunks()
+    texts = got["_t"].cast(pa.large_string()).combine_chunks()
+    return fit(texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks), got["_y"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -127,10 +144,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     out = StructType([*[source.schema[c] for c in rest], StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen = model.screen()
         for batch in batches:
-            found = pa.array([model.score(t.as_py(), screen) for t in batch.column(len(rest))], pa.float64())
-            yield pa.record_batch([*batch.columns[:-1], found], names=[*rest, name])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(model.scores(batch.column(len(rest))))], names=[*rest, name])
 
     return source.mapInArrow(run, out)
 

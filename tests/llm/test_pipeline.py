@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 import corpus_pipeline
 from paperloom.llm import catalog, common, decontaminate, line_dedup, simhash, toxicity
 
@@ -5,7 +7,7 @@ from paperloom.llm import catalog, common, decontaminate, line_dedup, simhash, t
 def test_stages(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    screen, seen = model.screen(), docs
+    seen = docs
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = common.written(stage(spark, seen, sf_dir), "test")
         if k < 4:
@@ -14,7 +16,7 @@ def test_stages(spark, sf_dir):
         assert ids <= before
         texts = {r.doc_id: r.text for r in seen.collect()}
         if name == "toxicity":
-            assert ids == {i for i, t in texts.items() if model.score(t, screen) < toxicity.THRESHOLD}
+            assert ids == {i for i, p in zip(texts, model.scores(pa.array(texts.values(), pa.string()))) if p < toxicity.THRESHOLD}
         if name == "near-duplicates":
             found = {r.doc_id: r.component_id for r in simhash.near_duplicates(seen, **corpus_pipeline.NEAR).collect()}
             assert ids == {i for i, c in found.items() if i == c}
