@@ -13,7 +13,7 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are looked at in one go; a longer text is one go.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

@@ -62,6 +62,21 @@ def id_back(column: str | Column) -> Column:
     return F.when(c != F.lit(NULL_ID), c)
 
 
+_caches: list[dict] = []
+
+
+def worker_cache(cache: dict) -> dict:
+    """Registers what a Python worker keeps from one task to the next."""
+    _caches.append(cache)
+    return cache
+
+
+def release_caches() -> None:
+    """Called where a task of an operator without a cache begins: workers serve one operator after another."""
+    for cache in _caches:
+        cache.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.bytewords import Texts, texts_of
-from paperloom.llm.common import id_key, written
+from paperloom.llm.common import id_key, release_caches, written
 from paperloom.llm.simhash import whole_groups
 
 SIMILARITY, LEAST = 0.8, 5
@@ -50,14 +50,15 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     """Counts of all words of (id, text) by bits of their hash: ENTRIES numbers whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(ENTRIES, np.int64)
+        release_caches()
+        table = np.zeros(ENTRIES, np.uint32)
         for batch in batches:
             for _, texts in texts_of(batch.column(1)):
                 np.add.at(table, ((texts.words()[2] >> np.uint64(28)) & np.uint64(ENTRIES - 1)).astype(np.int64), 1)
         used = np.flatnonzero(table)
         for at in range(0, len(used), 100_000):
             part = used[at : at + 100_000]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["entry", "n"])
+            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(table[part].astype(np.int64))], names=["entry", "n"])
 
     counted = docs.mapInArrow(run, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(ENTRIES, np.uint32)
@@ -81,6 +82,7 @@ def distinct_lines(docs: DataFrame, counts: np.ndarray, t: float, least: int) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         first: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             ids = batch.column(0).to_numpy()

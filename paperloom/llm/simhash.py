@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import connected_components, id_back, id_key, written
+from paperloom.llm.common import connected_components, id_back, id_key, release_caches, written
 
 #: Buckets with more fingerprints are compared in pairs of blocks of about this size, each pair a group of its own.
 BLOCK = 8192
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     """(id long, fp long) for every row; a null or blank text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])

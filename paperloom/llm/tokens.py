@@ -8,8 +8,10 @@ from array import array
 
 import numpy as np
 
+from paperloom.llm.common import worker_cache
+
 #: Pieces that a worker remembers, some 200 bytes each; then it forgets all and goes on.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 _FITS = sys.byteorder == "little" and array("I").itemsize == 4
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
@@ -40,7 +42,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | None] = worker_cache({})
         vocabulary = self.tokenizer.get_vocab()
         self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edges[[i for t, i in vocabulary.items() if (t.startswith(self.mark) if self.leads else t.endswith(self.mark))]] = True

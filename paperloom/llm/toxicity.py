@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from paperloom.llm.bytewords import Texts, texts_of
-from paperloom.llm.common import held_out
+from paperloom.llm.common import held_out, release_caches
 
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
-SAMPLE = 12_000
+SAMPLE = 10_000
 THRESHOLD = 0.3
 #: Features met in fewer rows of the sample are not learnt.
 LEAST_ROWS = 3
@@ -77,7 +77,7 @@ def _learnable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
     A first pass counts by the top 24 bits in a table of fixed size, so that most rare features are never held.
     """
-    count = np.zeros(1 << 24, np.uint32)
+    count = np.zeros(1 << 24, np.uint16 if len(column) < 65_536 else np.uint32)
     for _, texts in texts_of(column):
         np.add.at(count, (_once(features(texts)) & np.uint64(2**32 - 1)) >> np.uint64(8), 1)
     kept = []
@@ -129,9 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), "_id")
     got = rows.groupBy("_id").agg(F.max("_t").alias("_t"), F.max("_y").alias("_y")).toArrow()
-    got = got.sort_by("_id").combine_chunks()
-    texts = got["_t"].cast(pa.large_string()).combine_chunks()
-    return fit(texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks), got["_y"].to_pylist())
+    got = got.sort_by("_id")
+    texts, y = pa.concat_arrays([pa.array([], pa.large_string()), *(c.cast(pa.large_string()) for c in got["_t"].chunks)]), got["_y"].to_pylist()
+    del got
+    return fit(texts, y)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -144,6 +145,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     out = StructType([*[source.schema[c] for c in rest], StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             yield pa.record_batch([*batch.columns[:-1], pa.array(model.scores(batch.column(len(rest))))], names=[*rest, name])
 
