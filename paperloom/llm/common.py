@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,8 +75,11 @@ def worker_cache(cache: dict) -> dict:
 
 def release_caches() -> None:
     """Called where a task of an operator without a cache begins: workers serve one operator after another."""
-    for cache in _caches:
-        cache.clear()
+    if any(_caches):
+        for cache in _caches:
+            cache.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

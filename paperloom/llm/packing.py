@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import id_back, id_key
-from paperloom.llm.tokens import encoder
+from paperloom.llm.tokens import REMEMBERED, encoder
 
 VOCABULARY = "word_bpe_49k.json"
 WIDTH, END_ID = 4096, 2
@@ -157,21 +157,22 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, width: int = WIDTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, width: int = WIDTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBERED) -> DataFrame:
     """One row for each piece of a document in a sequence.
 
     doc_id, start (ids of the document before it), length, ids_crc32, doc_tokens, sequence_id, offset (in the
     sequence), padding (of the sequence), ids (little-endian 32-bit). Each id lies in one piece; pieces of a sequence
     follow each other without a gap. The order is that of the input; nothing is shuffled and a task holds one stretch
     of tokens and one document. Null and empty texts are documents of the end id alone; null ids stay null; repeated
-    rows are packed each; an empty table gives no rows; other columns are not looked at.
+    rows are packed each; an empty table gives no rows; other columns are not looked at. ``remember``: pieces of text
+    whose ids a worker keeps, some 200 bytes each; results don't depend on it.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         packer = Packer(sentence_ends(path), width, (context.partitionId() if context else 0) << 36)
-        encode = encoder(path, "word").encode
+        encode = encoder(path, "word", remember).encode
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.int64()] * 8 + [pa.binary()]

@@ -11,15 +11,16 @@ import numpy as np
 from paperloom.llm.common import worker_cache
 
 #: Pieces that a worker remembers, some 200 bytes each; then it forgets all and goes on.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 _FITS = sys.byteorder == "little" and array("I").itemsize == 4
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
+def encoder(path: str, kind: str, remember: int = REMEMBERED) -> PieceEncoder:
     """One for each worker process; its cache outlives a task."""
     if (path, kind) not in _encoders:
         _encoders[path, kind] = {"byte": ByteEncoder, "word": WordEncoder}[kind](path)
+    _encoders[path, kind].remember = remember
     return _encoders[path, kind]
 
 
@@ -42,6 +43,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.remember = REMEMBERED
         self.known: dict[str, bytes | None] = worker_cache({})
         vocabulary = self.tokenizer.get_vocab()
         self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -99,7 +101,7 @@ class PieceEncoder:
         for at in range(0, len(cut), 256):
             part = cut[at : at + 256]
             if new := set().union(*part).difference(self.known):
-                if len(self.known) + len(new) > REMEMBERED:
+                if len(self.known) + len(new) > self.remember:
                     self.known.clear()
                     new = set().union(*part)
                 self.learn(new)
