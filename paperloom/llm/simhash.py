@@ -8,6 +8,7 @@ the two fingerprints are equal. No pair within the radius is missed, and buckets
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,9 +58,20 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
-    """The masks as signed 64-bit values."""
+    """The masks as signed 64-bit values.
+
+    The bits' vectors are dealt so that masks keep about half of the bits: those that keep few would have buckets that
+    grow with the table. Where there are fewer vectors than bits each serves in turn; twice as many, those whose
+    highest bit is set leave exactly half to every mask but one, which keeps all; beyond that they are drawn.
+    """
     vectors = 2 ** (radius + 1) - 1
-    masks = [sum(1 << i for i in range(bits) if (i % vectors + 1 & v).bit_count() % 2) for v in range(1, vectors + 1)]
+    if vectors <= bits:
+        of_bit = [i % vectors + 1 for i in range(bits)]
+    elif vectors == 2 * bits - 1:
+        of_bit = [bits + i for i in range(bits)]
+    else:
+        of_bit = random.Random(radius).sample(range(1, vectors + 1), bits)
+    masks = [sum(1 << i for i in range(bits) if (of_bit[i] & v).bit_count() % 2) for v in range(1, vectors + 1)]
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 

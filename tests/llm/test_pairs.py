@@ -44,6 +44,16 @@ def test_masks_cover_the_radius():
     assert len(masks) == 31 and all(m.bit_count() >= 30 for m in masks)
 
 
+@pytest.mark.parametrize("radius, least", [(2, 30), (5, 32), (6, 32), (7, 16)])
+def test_masks_of_any_radius_cover_and_keep_enough_bits(radius, least):
+    masks = [m & 2**64 - 1 for m in simhash.covering_masks(radius)]
+    rng = random.Random(radius)
+    for _ in range(2000):
+        differ = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(not differ & m for m in masks)
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= least
+
+
 def test_simhash_components(make, edge_texts, edge_ids):
     got = {r.doc_id: r for r in simhash.op10(make(edge_texts, edge_ids)).collect()}
     fps = [slow_fingerprint(t) for t in edge_texts]
