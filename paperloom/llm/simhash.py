@@ -94,7 +94,9 @@ def _stars(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, in
 def near_edges(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between the ids of ``distinct`` (fp, rep) that link all fingerprints within ``radius`` bits, directly or through others."""
     tables = F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(covering_masks(radius))]))
-    rows = distinct.select("fp", "rep", tables.alias("x")).select("x.t", "x.k", "fp", "rep")
+    # each row becomes many, so a few small files must not make a few tasks
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = spread.select("fp", "rep", tables.alias("x")).select("x.t", "x.k", "fp", "rep")
     counted = rows.selectExpr("*", "count(*) over (partition by k, t) n").where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
