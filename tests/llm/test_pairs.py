@@ -96,6 +96,52 @@ def test_keep_one(make, edge_texts):
     assert 5 in ids and not {6, 8, 9} & ids and {10, 14, 15} <= ids and 4 not in ids
 
 
+def test_near_copies_by_similarity(make, vocabulary):
+    """Links are the pairs with five-word Jaccard of 0.8 or more, most of them more than 6 bits apart."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = [None, "", " \n", "a b", "A  b", "a b c"]
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=rng.choice([30, 120, 300]))
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.randint(1, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    ids = [*range(1, len(texts)), None]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+
+    order = sorted(range(len(texts)), key=lambda k: low(ids[k]))
+    sets = [shingles(texts[k]) for k in order]
+    tops = components(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9)
+    want = {ids[k]: ids[order[top]] for k, top in zip(order, tops)}
+    fps = [slow_fingerprint(texts[k], 5) for k in order]
+    pairs = [(fps[i] ^ fps[j]).bit_count() for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 50 and sum(d > 6 for d in pairs) > len(pairs) // 3
+    docs = make(texts, ids)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.near_copies(None, docs, "").collect()} == {i for i, c in want.items() if i == c}
+    assert simhash.near_duplicates(make([]), **corpus_pipeline.NEAR).count() == 0
+
+
+def test_set_edges_in_blocks(spark, make, vocabulary, monkeypatch):
+    monkeypatch.setattr(simhash.similar_edges, "__defaults__", (3,))
+    rng = random.Random(13)
+    base = rng.choices(vocabulary, k=200)
+    texts = []
+    for _ in range(40):  # one chain and one star
+        base = list(base)
+        base[rng.randrange(200)] = rng.choice(vocabulary)
+        texts.append(" ".join(base))
+    found = simhash.near_duplicates(make(texts), words=5, similarity=0.8).collect()
+    assert {r.component_id for r in found} == {0}
+
+
 def test_exact_dedup(make, edge_texts, edge_ids):
     texts, ids = [*edge_texts, edge_texts[5]], [*edge_ids, 5]
     got = exact_dedup.op4(make(texts, ids)).collect()
