@@ -99,12 +99,14 @@ def _lines_of(ids: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int]]
     s, _, h = texts.words()
     line = np.searchsorted(begin, s, "right") - 1
     data, keep, again, keys = texts.data.tobytes(), np.zeros(len(text), bool), np.zeros(len(text), bool), []
+    repeats = []  # keys of the lines in ``again``
     few = np.bincount(line, minlength=len(text)) < least
     digest = xxhash.xxh3_128_digest
     for g in np.flatnonzero(~few).tolist():
         key, here = digest(data[begin[g] : end[g]]), (int(ids[text[g]]), int(number[g]))
         if (old := first.get(key)) is not None and old < here:
             again[g] = True
+            repeats.append(key)
         else:
             first[key] = here
             keep[g] = True
@@ -122,7 +124,13 @@ def _lines_of(ids: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int]]
     enough = n >= least  # words may repeat
     tokens, dealt = tokens[np.repeat(enough, sizes)], dealt[np.repeat(enough, sizes)]
     sizes = sizes[enough]
+    # a line whose words repeat may have too few distinct ones: it stays, and so do those equal to it
+    brief = {k for k, e in zip(keys, enough.tolist()) if not e}
+    for k in brief:
+        first.pop(k, None)
     gone = np.flatnonzero(again)
+    if brief:
+        gone = gone[np.array([k not in brief for k in repeats], bool)]
     rows = np.concatenate([kept[enough], gone])
     out_ids, out_lines, none = ids[text[rows]], number[rows], len(gone)
     offsets = np.concatenate(([0], np.cumsum(sizes), np.full(none, sizes.sum()))).astype(np.int32)

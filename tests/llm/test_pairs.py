@@ -206,6 +206,17 @@ def test_line_dedup(make, line_docs):
     assert got == want
 
 
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_line_dedup_keeps_lines_of_few_distinct_words(make, line_docs, tasks):
+    """Lines of five words or more of which fewer are distinct stay, within one task and across tasks."""
+    rule, more = "| --- | --- | --- |", "* * * * *\n0 0 0 0 0"
+    texts = [f"{t or ''}\n{rule}\nx\n{rule}\n{more}" for _, t in line_docs[3:23]]
+    docs = make(texts).repartition(tasks, "doc_id")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == slow_lines(list(enumerate(texts)))
+    assert all(r[2].count(rule) == 2 for r in got.values())
+
+
 def test_line_dedup_in_blocks_and_second_look(make, line_docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 3)
     monkeypatch.setattr(line_dedup, "NAMED", 1)
