@@ -1,22 +1,20 @@
-"""Benchmark decontamination by SimHash windows and exact weighted-shingle similarity (operator 1), in DataFrame functions only.
+"""Benchmark decontamination by item-sized windows and exact weighted-shingle similarity (operator 1), in DataFrame functions only.
 
 A window is as long as the benchmark item it may hold and lies where at least one shingle of such an item lines up with
-the document. Windows and items get 64-bit SimHash fingerprints over weighted shingles. The fingerprints are cut into
-``radius + 1`` blocks: two that differ in at most ``radius`` bits agree in one block at least, so an equality join on
-blocks finds every pair within the radius. Pairs that pass are verified by exact weighted similarity.
+the document. Of each item the rarest shingles, together so heavy that a window without any of them can't be similar
+enough, name the item for the windows that hold one of them; each such pair is verified by exact weighted similarity.
+Shingles that many items share, as of a template, thus name an item only where its own ones weigh too little.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import id_back, id_key, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Of 64 bits. Windows with a similarity of 0.8 lie about 10 to 13 bits from their item.
-RADIUS = 23
 #: The items' shingles are broadcast up to so many rows (some 60 bytes each) and joined with a shuffle beyond.
 MOST_BROADCAST = 500_000
 
@@ -32,26 +30,7 @@ def shingles_of(hashes: Column, n: int = SHINGLE) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
 
 
-def simhash(hashes: Column) -> Column:
-    """A bit of the 64 is set where more of the hashes have it than not."""
-
-    def ones(b: Column) -> Column:
-        return F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.call_function("shiftright", h, b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda fp, b: fp.bitwiseOR(F.when(ones(b) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
-
-
-def blocks_of(fp: Column, radius: int = RADIUS) -> Column:
-    """The 64 bits in ``radius + 1`` blocks, each with its number."""
-    n, at, out = radius + 1, 0, []
-    for k in range(n):
-        width = 64 // n + (k < 64 % n)
-        out.append(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(2**width - 1)).alias("bits")))
-        at += width
-    return F.array(*out)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document and benchmark item it holds: doc_id, item_id, start_word, n_words, similarity.
 
     Similarity is the weighted share of the item's shingles of five words (each weighs its count over the number of
@@ -67,22 +46,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     share = lined.groupBy("h").agg((F.lit(1.0) / F.countDistinct("item_id", "version")).alias("w"))
     weights = lined.groupBy("item_id", "version", "length", "h").agg(F.count("*").alias("n")).join(share, "h")
     weights = weights.groupBy("item_id", "version", "length").agg(F.array_sort(F.collect_list(F.struct("h", "n", "w"))).alias("own"), F.sum(F.col("n") * F.col("w")).alias("total"))
-    known = lined.where("q = 0").select("item_id", "version", simhash(F.col("hs")).alias("item_fp")).join(weights, ["item_id", "version"])
-    known = written(known, "known")
+    known = written(weights, "known")
+    # rarest first; a shingle names its item as long as those from it on weigh enough for a match
+    before = F.coalesce(F.sum(F.col("x.n") * F.col("x.w")).over(Window.partitionBy("item_id", "version").orderBy(F.desc("x.w"), "x.h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    naming = known.select("item_id", "version", "length", "total", F.explode("own").alias("x")).select("item_id", "version", "length", F.col("x.h").alias("h"), "total", before.alias("before"))
+    naming = naming.where(F.col("total") - F.col("before") >= (similarity - 1e-6) * F.col("total")).select("h", "length", "item_id", "version")
 
     anchors = lined.select("h", "length", "q").distinct()
     if anchors.count() <= MOST_BROADCAST:
-        anchors = F.broadcast(anchors)
+        anchors, naming = F.broadcast(anchors), F.broadcast(naming)
     shingled = docs.select(id_key(id_col).alias("id"), hashed(text_col).alias("wh")).where(F.size("wh") >= SHINGLE)
     placed = shingled.select("id", "wh", F.posexplode(shingles_of(F.col("wh"))).alias("p", "h")).join(anchors, "h")
     windows = placed.select("id", "length", F.greatest(F.lit(0), F.col("p") - F.col("q")).alias("start"), "wh")
     windows = windows.select("id", "length", "start", F.slice("wh", F.col("start") + 1, F.col("length")).alias("words")).distinct()
     windows = windows.select("id", "length", "start", shingles_of(F.col("words")).alias("hs"))
-    windows = written(windows.select("*", simhash(F.col("hs")).alias("fp")), "windows")
+    windows = written(windows, "windows")
 
-    near = windows.select("*", F.explode(blocks_of(F.col("fp"), radius)).alias("b"))
-    near = near.join(known.select("*", F.explode(blocks_of(F.col("item_fp"), radius)).alias("b")), ["length", "b"])
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).dropDuplicates(["id", "length", "start", "hs", "item_id", "version"])
+    near = windows.select("*", F.explode(F.array_distinct("hs")).alias("h")).join(naming, ["h", "length"]).drop("h").dropDuplicates(["id", "length", "start", "hs", "item_id", "version"])
+    near = near.join(known.drop("length"), ["item_id", "version"])
     found = F.aggregate("own", F.lit(0.0), lambda acc, x: acc + x["w"] * F.least(x["n"], F.size(F.filter("hs", lambda h: h == x["h"]))))
     verified = near.select("id", "item_id", "start", "length", (found / F.col("total")).alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
     best = verified.groupBy("id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "length")).alias("m"))

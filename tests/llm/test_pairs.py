@@ -298,6 +298,20 @@ def test_leaks(make, spark, vocabulary):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_leaks_of_items_with_a_template(make, spark, vocabulary):
+    """A document may hold an item's own words without the template that all items begin with."""
+    rng = random.Random(14)
+    say = lambda n: rng.choices(vocabulary, k=n)
+    head = say(40)
+    own = [say(rng.choice([20, 24])) for _ in range(40)]
+    items = [(i, " ".join(head + w)) for i, w in enumerate(own)]
+    docs = [(k, " ".join([*say(90), *w, *say(30)])) for k, w in enumerate(own)] + [(100, " ".join(say(50) + head + say(50))), (101, items[0][1])]
+    found = decontaminate.leaks(make([t for _, t in docs], [d for d, _ in docs]), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found.collect()}
+    want = slow_leaks(docs, items)
+    assert got == want and len(want) > 15
+
+
 def test_sharding(make, edge_texts, edge_ids):
     shards, slots = ("a", "b", "c", "d", "e"), 211
     table = sharding.lookup_table(shards, slots)
