@@ -1,8 +1,11 @@
+from collections import Counter
+
 import duckdb
 import pytest
 
 import __spark_entry__
 from paperloom import catalog
+from paperloom.functions.text import similarity
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.01"
@@ -32,6 +35,23 @@ def test_gives_rows(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
 
 
+def test_word_bound(spark):
+    """All words count, short and common ones too, and no similarity is above the bound."""
+    docs = [(0, "a b a c"), (1, ""), (2, "x y z"), (3, "c a\tb\na q"), (4, None)]
+    items = [(0, "a a b"), (1, "c"), (2, " ")]
+    rows = catalog.word_bound(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.common, r.doc_words, r.item_words, r.bound) for r in rows}
+    want = {}
+    for i, t in docs:
+        for k, u in items:
+            a, b = Counter((t or "").split()), Counter(u.split())
+            n, m, c = a.total(), b.total(), (a & b).total()
+            if c or n == m == 0:
+                want[i, k] = (c, n, m, 2 * c / (n + m) if n + m else 1.0)
+            assert similarity(u, t) <= want.get((i, k), (0.0,))[-1] + 1e-9
+    assert got == want and len(rows) == len(got)
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and rows == sorted(rows, key=lambda r: (-r.chars, r.path))
