@@ -40,7 +40,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     reported as one; null ids stay null; either table may be empty; other columns are not looked at.
     """
     hashed = lambda text: F.transform(words_of(F.col(text).cast("string")), lambda w: F.xxhash64(w))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), hashed(item_text_col).alias("wh")).where(F.size("wh") >= SHINGLE).distinct()
+    items = benchmark.select(id_key(item_col).alias("item_id"), hashed(item_text_col).alias("wh")).where(F.size("wh") >= SHINGLE).distinct()
     items = items.select("item_id", F.size("wh").alias("length"), shingles_of(F.col("wh")).alias("hs"), F.xxhash64("wh").alias("version"))
     lined = written(items.select("item_id", "version", "length", "hs", F.posexplode("hs").alias("q", "h")), "items")
     share = lined.groupBy("h").agg((F.lit(1.0) / F.countDistinct("item_id", "version")).alias("w"))
@@ -67,7 +67,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = F.aggregate("own", F.lit(0.0), lambda acc, x: acc + x["w"] * F.least(x["n"], F.size(F.filter("hs", lambda h: h == x["h"]))))
     verified = near.select("id", "item_id", "start", "length", (found / F.col("total")).alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
     best = verified.groupBy("id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "length")).alias("m"))
-    return best.select(id_back("id").alias("doc_id"), "item_id", (-F.col("m").getField("col2")).alias("start_word"), F.col("m.length").alias("n_words"), F.col("m.similarity").alias("similarity"))
+    return best.select(id_back("id").alias("doc_id"), id_back("item_id").alias("item_id"), (-F.col("m").getField("col2")).alias("start_word"), F.col("m.length").alias("n_words"), F.col("m.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

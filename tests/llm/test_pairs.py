@@ -312,6 +312,12 @@ def test_leaks_of_items_with_a_template(make, spark, vocabulary):
     assert got == want and len(want) > 15
 
 
+def test_leaks_of_an_item_without_an_id(make, spark):
+    items = spark.createDataFrame([(None, "one two three four five six seven"), (1, "a b c d e f g h")], "item_id long, text string")
+    found = decontaminate.leaks(make(["x one two three four five six seven y", "a b c d e f g h"]), items).collect()
+    assert {(r.doc_id, r.item_id, r.start_word, r.similarity) for r in found} == {(0, None, 1, 1.0), (1, 1, 0, 1.0)}
+
+
 def test_sharding(make, edge_texts, edge_ids):
     shards, slots = ("a", "b", "c", "d", "e"), 211
     table = sharding.lookup_table(shards, slots)
