@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null document id inside the operators, so that it joins and sorts (first) like any other id.
@@ -59,6 +59,42 @@ def id_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def text_key(text: Column) -> Column:
+    """A hash that with the id tells rows apart that repeat an id; null counts as a text of its own."""
+    return F.coalesce(F.xxhash64(text, F.length(text)), F.lit(0).cast("long"))
+
+
+def free_names(columns: list[str], n: int) -> list[str]:
+    """``n`` column names that differ from all of ``columns``, whatever their case."""
+    used, out, k = {c.lower() for c in columns}, [], 0
+    while len(out) < n:
+        if f"_x{k}" not in used:
+            out.append(f"_x{k}")
+        k += 1
+    return out
+
+
+#: Parts into which a group of equal rows is dealt.
+SALTS = 64
+
+
+def first_of_equals(rows: DataFrame, keys: list[str], again: str) -> DataFrame:
+    """``rows`` with a column ``again``, true for all but one of the rows that are equal in ``keys``.
+
+    Only rows of keys that repeat are dealt out, and these first in parts; which of equal rows is the one is left open.
+    """
+    often = written(rows.groupBy(*keys).agg(F.count("*").alias(again)).where(F.col(again) > 1).select(*keys), "equal")
+    if often.isEmpty():
+        return rows.withColumn(again, F.lit(False))
+    salt, turn = free_names([*rows.columns, again], 2)
+    once = rows.join(often, keys, "left_anti").withColumn(again, F.lit(False))
+    part = rows.join(often, keys, "left_semi").withColumn(salt, F.monotonically_increasing_id() % SALTS)
+    part = part.withColumn(turn, F.row_number().over(Window.partitionBy(*keys, salt).orderBy(salt)))
+    others = part.where(F.col(turn) > 1).drop(salt, turn).withColumn(again, F.lit(True))
+    heads = part.where(F.col(turn) == 1).withColumn(turn, F.row_number().over(Window.partitionBy(*keys).orderBy(salt)))
+    return once.unionByName(others).unionByName(heads.withColumn(again, F.col(turn) > 1).drop(salt, turn))
+
+
 def id_back(column: str | Column) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.when(c != F.lit(NULL_ID), c)

@@ -1,21 +1,23 @@
 """Line dedup by an exact set-similarity join (operator 5).
 
-A line is the set of its words, split at ASCII white space, with A-Z lower-cased. Two lines match when the Jaccard similarity of their sets is at least the
-threshold t. A line goes when any line before it, by document id and line number, matches; lines of fewer than
-``least`` distinct words are too short to tell and stay.
+A line is the set of its words, split at ASCII white space, with A-Z lower-cased. Two lines match when the Jaccard
+similarity of their sets is at least the threshold t. A line goes when any line before it matches. Lines are ordered by
+document id, then, where rows repeat an id, by a hash of the text, then by line number.
 
 Words are ordered by rarity. A pair with Jaccard t or more shares a word among the first n - ceil(t n) + 1 of both
 (prefix filter), has lengths within a factor of t (length filter), has enough words left after the first shared one
 (positional filter) and differs in at most (m + n)(1 - t)/(1 + t) words; a 64-bit parity of hashed words never differs
 in more bits than that. Pairs that pass are verified word by word.
 
-Rarity comes from counts of all words in a table of fixed size by hash: where words share an entry their order is
-less good, but as every line uses the same order no pair is lost. A word whose entry counts one is in one line only.
+Words are counted exactly. The logarithms of the counts of the FREQUENT most frequent ones go to all tasks, by hash;
+all others count as rare. Every line uses the same order, so no pair is lost however good it is.
 """
 
 from __future__ import annotations
 
+import string
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,45 +27,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.bytewords import Texts, texts_of
-from paperloom.llm.common import id_key, release_caches, written
+from paperloom.llm.common import first_of_equals, free_names, id_key, release_caches, text_key, worker_cache, written
 from paperloom.llm.simhash import whole_groups
 
-SIMILARITY, LEAST = 0.8, 5
-#: Entries of the table of word counts, 4 bytes each, and of the table of lines to verify, a bit each.
-ENTRIES = 1 << 22
-#: A word that may be in more lines has them compared in pairs of blocks, each pair a group of its own.
-BLOCK = 2_000_000
+SIMILARITY, LEAST = 0.8, 1
+#: Words whose rank is sent to all tasks, in a table of so many slots by hash, a byte each.
+FREQUENT, SLOTS = 1 << 20, 1 << 24
+#: Distinct words that a task counts before it sends what it has.
+COUNTED = 1 << 21
+#: A word that is in the prefix of more lines has them compared in pairs of blocks, each pair a group of its own.
+BLOCK = 16_384
 #: Lines of more words have a signature of two or four times 64 bits.
 TWO, FOUR = 100, 200
-#: Earlier lines named for a line by one word, where none is near enough to be all but sure. If none of them matches
-#: and there were more, all are looked at.
-NAMED = 8
+#: Earlier lines named for a line by one word, those with the nearest signatures; one is enough where it is near enough
+#: to be all but sure. If none of them matches and there were more, all are looked at.
+NAMED = 4
 #: Lines that a task remembers so as not to send them again; then it forgets all and goes on.
 REMEMBERED = 200_000
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(id_key(id_col).alias("id"), text_key(text).alias("h"), text.alias("text")).where("text is not null")
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all words of (id, text) by bits of their hash: ENTRIES numbers whatever the input."""
+def word_counts(source: DataFrame) -> DataFrame:
+    """(word, n): the 64-bit hash of each word of ``source`` and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        table = np.zeros(ENTRIES, np.uint32)
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            words = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            return pa.record_batch([pa.array(words[at].view(np.int64)), pa.array(np.diff(np.append(at, len(words))))], names=["word", "n"])
+
         for batch in batches:
-            for _, texts in texts_of(batch.column(1)):
-                np.add.at(table, ((texts.words()[2] >> np.uint64(28)) & np.uint64(ENTRIES - 1)).astype(np.int64), 1)
-        used = np.flatnonzero(table)
-        for at in range(0, len(used), 100_000):
-            part = used[at : at + 100_000]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(table[part].astype(np.int64))], names=["entry", "n"])
+            for _, texts in texts_of(batch.column(2)):
+                held.append(texts.words()[2])
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    return source.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def rarity(source: DataFrame, frequent: int = FREQUENT) -> bytes:
+    """For each slot of a word's hash eight times the binary logarithm of its count, 0 for all but the ``frequent`` most frequent; compressed."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    counts = written(word_counts(source).where("n > 1").select("word", level.alias("level")), "words")
+    sizes, least, total = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}, 256, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > frequent:
+            break
+        least = k
+    found = counts.where(F.col("level") >= least).select(F.shiftrightunsigned("word", 40).cast("int").alias("slot"), "level").toArrow()
+    table = np.zeros(SLOTS, np.uint8)
+    np.maximum.at(table, found["slot"].to_numpy(), np.minimum(found["level"].to_numpy(), 255).astype(np.uint8))
+    return zlib.compress(table.tobytes(), 1)
+
+
+_tables: dict[int, np.ndarray] = worker_cache({})
 
-    counted = docs.mapInArrow(run, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(ENTRIES, np.uint32)
-    out[counted["entry"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**32 - 1)
-    return out
+
+def _ranks(packed: bytes) -> np.ndarray:
+    key = zlib.crc32(packed)
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return _tables[key]
 
 
 def prefix_length(n: np.ndarray, t: float = SIMILARITY) -> np.ndarray:
@@ -71,84 +108,70 @@ def prefix_length(n: np.ndarray, t: float = SIMILARITY) -> np.ndarray:
 
 
 SIG = ("s0", "s1", "s2", "s3")
-LINES = "id long, line int, key binary, n int, s0 long, s1 long, s2 long, s3 long, skip int, prefix array<int>, blocks array<int>"
+LINE = ("id", "h", "line")
+LINES = "id long, h long, line int, key binary, n int, s0 long, s1 long, s2 long, s3 long, prefix array<int>"
 
 
-def distinct_lines(docs: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
-    """Lines of at least ``least`` words, of equal ones in a task those before all met so far; the others, which go, come with n = 0 and a key of their own.
+def distinct_lines(source: DataFrame, ranks: bytes, t: float, least: int) -> DataFrame:
+    """Lines of at least ``least`` distinct words, of equal ones in a task those before all met so far; the others, which go, come with n = 0 and a key of their own.
 
-    ``prefix`` holds 32-bit hashes of the words of the prefix, rarest first, without the ``skip`` that are in no other
-    line; ``blocks``, null if all are one, says in how many blocks to deal each.
+    ``prefix`` holds 32-bit hashes of the words of the prefix, rarest first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        first: dict[bytes, tuple[int, int]] = {}
+        table = _ranks(ranks)
+        first: dict[bytes, tuple[int, int, int]] = {}
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for rows, texts in texts_of(batch.column(1)):
-                yield _lines_of(ids[rows], texts, first, counts, t, least)
+            ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for rows, texts in texts_of(batch.column(2)):
+                yield _lines_of(ids[rows], hs[rows], texts, first, table, t, least)
                 if len(first) > REMEMBERED:
                     first.clear()
 
-    return docs.mapInArrow(run, LINES)
+    return source.mapInArrow(run, LINES)
 
 
-def _lines_of(ids: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int]], counts: np.ndarray, t: float, least: int) -> pa.RecordBatch:
+def _lines_of(ids: np.ndarray, hs: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int, int]], ranks: np.ndarray, t: float, least: int) -> pa.RecordBatch:
     text, number, begin, end = texts.lines()
     s, _, h = texts.words()
     line = np.searchsorted(begin, s, "right") - 1
-    data, keep, again, keys = texts.data.tobytes(), np.zeros(len(text), bool), np.zeros(len(text), bool), []
-    repeats = []  # keys of the lines in ``again``
-    few = np.bincount(line, minlength=len(text)) < least
+    enough = np.bincount(line, minlength=len(text)) >= least
+    if least > 1:  # words may repeat
+        pairs = np.unique(np.stack([line[enough[line]].astype(np.uint64), h[enough[line]]]), axis=1)
+        enough = np.bincount(pairs[0].astype(np.int64), minlength=len(text)) >= least
+    data, keep, keys, gone = texts.data.tobytes(), np.zeros(len(text), bool), [], []
     digest = xxhash.xxh3_128_digest
-    for g in np.flatnonzero(~few).tolist():
-        key, here = digest(data[begin[g] : end[g]]), (int(ids[text[g]]), int(number[g]))
-        if (old := first.get(key)) is not None and old < here:
-            again[g] = True
-            repeats.append(key)
-        else:
+    at = np.flatnonzero(enough)
+    for g, a, b, i, x, k in zip(at.tolist(), begin[at].tolist(), end[at].tolist(), ids[text[at]].tolist(), hs[text[at]].tolist(), number[at].tolist()):
+        key, here = digest(data[a:b]), (i, x, k)
+        if (old := first.get(key)) is None or here < old:
             first[key] = here
             keep[g] = True
             keys.append(key)
+        elif old < here:
+            gone.append(g)
     kept = np.flatnonzero(keep)
     new = np.cumsum(keep) - 1
     own = keep[line]
-    pieces = []
     # a line's number and 50 bits of a word's hash are one integer to sort by
     where, h = new[line[own]], h[own] >> np.uint64(14)
-    for lo in range(0, len(kept), 1 << 14):
+    pieces = []
+    for lo in range(0, max(len(kept), 1), 1 << 14):
         a, b = np.searchsorted(where, [lo, lo + (1 << 14)])
-        pieces.append(_prefixes(where[a:b] - lo, h[a:b], min(len(kept) - lo, 1 << 14), counts, t))
-    n, sig, alone, sizes, tokens, dealt = (np.concatenate(x, axis=-1) for x in zip(*pieces)) if pieces else (np.zeros((4, 0) if k == 1 else 0, np.int64) for k in range(6))
-    enough = n >= least  # words may repeat
-    tokens, dealt = tokens[np.repeat(enough, sizes)], dealt[np.repeat(enough, sizes)]
-    sizes = sizes[enough]
-    # a line whose words repeat may have too few distinct ones: it stays, and so do those equal to it
-    brief = {k for k, e in zip(keys, enough.tolist()) if not e}
-    for k in brief:
-        first.pop(k, None)
-    gone = np.flatnonzero(again)
-    if brief:
-        gone = gone[np.array([k not in brief for k in repeats], bool)]
-    rows = np.concatenate([kept[enough], gone])
-    out_ids, out_lines, none = ids[text[rows]], number[rows], len(gone)
-    offsets = np.concatenate(([0], np.cumsum(sizes), np.full(none, sizes.sum()))).astype(np.int32)
-    names = [k for k, e in zip(keys, enough.tolist()) if e] + [struct.pack("<qi", i, k) for i, k in zip(ids[text[gone]].tolist(), number[gone].tolist())]
-    zeros = np.zeros(none, np.int64)
-    blocks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(dealt.astype(np.int32))) if len(dealt) and dealt.max() > 1 else pa.nulls(len(rows), pa.list_(pa.int32()))
-    return pa.record_batch(
-        [
-            pa.array(out_ids), pa.array(out_lines.astype(np.int32)), pa.array(names, pa.binary()), pa.array(np.append(n[enough], zeros).astype(np.int32)),
-            *(pa.array(np.append(x[enough].astype(np.uint64).view(np.int64), zeros)) for x in sig), pa.array(np.append(alone[enough], zeros).astype(np.int32)),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.uint32).view(np.int32))), blocks,
-        ],
-        names=[x.split()[0] for x in LINES.split(", ")],
-    )
-
-
-def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, counts: np.ndarray, t: float):
-    """For each line: distinct words, signature, words in no other line, length of the prefix without these; and the prefixes' words and blocks.
+        pieces.append(_prefixes(where[a:b] - lo, h[a:b], min(len(kept) - lo, 1 << 14), ranks, t))
+    n, sig, sizes, tokens = (np.concatenate(x, axis=-1) for x in zip(*pieces))
+    rows, more = np.concatenate([kept, np.array(gone, np.int64)]), np.zeros(len(gone), np.int64)
+    out = ids[text[rows]], hs[text[rows]], number[rows].astype(np.int32)
+    keys += [struct.pack("<qqi", *x) for x in zip(*(c[len(kept) :].tolist() for c in out))]
+    offsets = np.concatenate(([0], np.cumsum(sizes), sizes.sum() + more)).astype(np.int32)
+    columns = [*map(pa.array, out), pa.array(keys, pa.binary()), pa.array(np.append(n, more).astype(np.int32)), *(pa.array(np.append(x.view(np.int64), more)) for x in sig)]
+    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.uint32).view(np.int32))))
+    return pa.record_batch(columns, names=[x.split()[0] for x in LINES.split(", ")])
+
+
+def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, ranks: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    """For each line its distinct words, signature and length of the prefix; and the prefixes' words.
 
     ``h`` has 50 bits; ``line`` ascends and is less than 2**14.
     """
@@ -162,19 +185,14 @@ def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, counts: np.ndarray, t
     if len(h):
         words = np.repeat(np.select([n > FOUR, n > TWO], [3, 1]), n).astype(np.uint64)  # of a line's signature, less one
         of, bit = (h >> np.uint64(42)) & words, np.uint64(1) << (h >> np.uint64(44))
-        for k in range(4):
+        for k in range(4 if words.any() else 1):
             sig[k, n > 0] = np.bitwise_xor.reduceat(np.where(of == k, bit, np.uint64(0)), starts[n > 0])
-    count = counts[(h >> np.uint64(14)).astype(np.int64) & (ENTRIES - 1)]
-    rare = np.minimum(count, (1 << 18) - 1).astype(np.uint64)
-    order = np.sort((line.astype(np.uint64) << np.uint64(50)) | (rare << np.uint64(32)) | (h & np.uint64(2**32 - 1)))
-    place = np.arange(len(order)) - np.repeat(starts, n)
-    rare = (order >> np.uint64(32)) & np.uint64((1 << 18) - 1)
-    keep = (place < np.repeat(prefix_length(n, t), n)) & (rare > 1)
-    alone = np.bincount(line[rare == 1], minlength=lines)
-    token = order[keep] & np.uint64(2**32 - 1)
-    # the count again, as its order is cut off where it is large
-    blocks = np.where(rare[keep] == (1 << 18) - 1, 1 + int(counts.max(initial=0)) // BLOCK, 1 + rare[keep] // BLOCK)
-    return n, sig, alone, np.bincount(line[keep], minlength=lines), token, blocks.astype(np.int64)
+    rank = ranks[(h >> np.uint64(26)).astype(np.int64)].astype(np.uint64)
+    order = np.sort((line.astype(np.uint64) << np.uint64(50)) | (rank << np.uint64(32)) | (h & np.uint64(2**32 - 1)))
+    size = prefix_length(n, t)
+    size[n == 0] = 0
+    keep = (np.arange(len(order)) - np.repeat(starts, n)) < np.repeat(size, n)
+    return n, sig, size, order[keep] & np.uint64(2**32 - 1)
 
 
 def _sure(most: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
@@ -182,211 +200,161 @@ def _sure(most: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
     return np.minimum(bits / 2 * (1 - np.exp(-most / bits)), 0.28 * bits)
 
 
-def _passes(a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Length, positional and signature filter, and whether the signatures are so near that a match is all but sure; columns n, place, s0 to s3, all four in one."""
-    n, m = a[0], b[0]
-    ok = (n >= t * m - 1e-9) & (m >= t * n - 1e-9)
-    ok &= 1 + np.minimum(n - a[1] - 1, m - b[1] - 1) >= np.ceil((n + m) * t / (1 + t) - 1e-9)
-    most = (n + m) * (1 - t) / (1 + t) + 1e-9
-    differ = np.bitwise_count((a[6] ^ b[6]).view(np.uint64))
-    ok &= differ <= most
-    sure = differ <= _sure(most, 64)
-    long = ok & (np.minimum(n, m) > TWO)
-    if long.any():
-        at = np.nonzero(long)
-        a, b, most = (np.array([np.broadcast_to(r, ok.shape)[at] for r in x]) for x in (a, b, [most]))
-        x, four = (a[2:6] ^ b[2:6]).view(np.uint64), np.minimum(a[0], b[0]) > FOUR
-        count = np.bitwise_count(np.where(four, x, np.stack([x[0] ^ x[2], x[1] ^ x[3], 0 * x[0], 0 * x[0]]))).sum(axis=0)
-        ok[at] = count <= most[0]
-        sure[at] = count <= _sure(most[0], np.where(four, 256, 128))
-    return ok, sure & ok
-
-
-def _chosen(a: np.ndarray, b: np.ndarray, sure: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs (earlier, later) those to name: the first sure one for a later one, else its first ``most``; and the later ones for which there were more."""
-    order = np.lexsort((a, ~sure, b))
-    a, b, sure = a[order], b[order], sure[order]
-    head = np.ones(len(b), bool)
-    head[1:] = b[1:] != b[:-1]
-    starts = np.flatnonzero(head)
-    sizes = np.diff(np.append(starts, len(b)))
-    turn = np.arange(len(b)) - np.repeat(starts, sizes)
-    limit = np.where(sure[starts], 1, most)
-    keep = turn < np.repeat(limit, sizes)
-    return a[keep], b[keep], b[starts[sizes > limit]]
-
-
-def _named(rows: np.ndarray, t: float, most: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of whole groups, each in the order of (id, line): pairs (earlier, later) to verify and the later ones that had more.
+#: Rows of a group of candidates, sorted by key and size.
+GROUP = ("key", "id", "h", "line", "n", "place", *SIG)
 
-    With ``asked`` only rows where it is true are looked at as later ones.
 
-    Columns of ``rows``: key, id, line, n, place, s0 to s3.
-    """
-    starts = np.concatenate(([0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1))
-    sizes = np.diff(np.append(starts, rows.shape[1]))
-    left, right, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    x = np.vstack([rows[3:9], np.bitwise_xor.reduce(rows[5:9])])
-    small = sizes <= 64
-    rest = np.repeat(np.where(small, starts + sizes, 0), sizes) - np.arange(rows.shape[1])  # rows from here to the group's end
-    a = np.arange(rows.shape[1])
-    for d in range(1, int(sizes[small].max(initial=1))):
-        a = a[rest[a] > d]
-        b = a if asked is None else a[asked[a + d]]
-        ok, near = _passes(x[:, b], x[:, b + d], t)
-        near &= asked is None  # sure ones have been verified in vain
-        left.append(b[ok])
-        right.append(b[ok] + d)
-        sure.append(near[ok])
-    a, b, more = _chosen(*map(np.concatenate, (left, right, sure)), most)
-    named, others = [np.stack([a, b])], [more]
-    for s, m in zip(starts[~small].tolist(), sizes[~small].tolist()):
-        found = np.zeros(m, np.int64)  # pairs named so far for each
-        active = np.arange(1, m) if asked is None else 1 + np.flatnonzero(asked[s + 1 : s + m])
-        for lo in range(0, m, 512):
-            block = np.arange(lo, min(lo + 512, m))
-            active = active[active > lo]
-            for at in range(0, len(active), 2048):
-                later = active[at : at + 2048]
-                ok, near = _passes(x[:, s + block][:, :, None], x[:, s + later][:, None, :], t)
-                ok &= block[:, None] < later[None, :]
-                near &= asked is None
-                i, j = np.nonzero(ok)
-                if len(i):
-                    a, b, more = _chosen(block[i], later[j], near[i, j], most)
-                    named.append(np.stack([s + a, s + b]))
-                    found += np.bincount(b, minlength=m)
-                    found[later[near.any(axis=0, where=ok)]] += most
-                    others.append(s + more)
-            others.append(s + active[found[active] >= most])  # what lies further on isn't looked at
-            active = active[found[active] < most]
-            if not len(active):
-                break
-    a, b = np.concatenate(named, axis=1)
-    return a, b, np.unique(np.concatenate(others))
-
-
-CANDIDATES = "a_id long, a_line int, id long, line int, more boolean"
-
-
-def _screen(rows: DataFrame) -> np.ndarray:
-    """Of ENTRIES bits those of the hashes, or of the (id, line), in ``rows``: of fixed size, it lets through all of them and maybe others."""
+def _passes(a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positional and signature filter for pairs of lines (columns n, place, s0 to s3, all four in one): what passes, how many bits differ for each that may, and whether so few that a match is all but sure."""
+    most = (a[0] + b[0]) * ((1 - t) / (1 + t)) + 1e-9
+    differ = np.bitwise_count((a[6] ^ b[6]).view(np.uint64)).astype(np.float64)
+    ok, sure = differ <= most, differ <= _sure(most, 64)
+    long = np.flatnonzero(ok & (np.minimum(a[0], b[0]) > TWO))
+    if len(long):
+        x, four = (a[2:6, long] ^ b[2:6, long]).view(np.uint64), np.minimum(a[0, long], b[0, long]) > FOUR
+        differ[long] = np.bitwise_count(np.where(four, x, np.stack([x[0] ^ x[2], x[1] ^ x[3], 0 * x[0], 0 * x[0]]))).sum(axis=0)
+        ok[long] = differ[long] <= most[long]
+        sure[long] = differ[long] <= _sure(most[long], np.where(four, 256, 128))
+    return ok, differ / most, sure & ok
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(ENTRIES, bool)
-        for batch in batches:
-            seen[_spots(batch.column(0).to_numpy(), batch.column(1).to_numpy()) if batch.num_columns == 2 else batch.column(0).to_numpy() & (ENTRIES - 1)] = True
-        yield pa.record_batch([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["at"])
 
-    out = np.zeros(ENTRIES, bool)
-    out[rows.mapInArrow(run, "at int").distinct().toArrow()["at"].to_numpy()] = True
-    return out
+def _nearest(pairs: list[np.ndarray], near: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (earlier, later, sure) those to name: for a later one its nearest sure one, else its ``most`` nearest."""
+    a, near_ = np.concatenate(pairs, axis=1), np.concatenate(near)
+    order = np.lexsort((near_, 1 - a[2], a[1]))
+    a, near_ = a[:, order], near_[order]
+    starts = np.flatnonzero(np.append(True, a[1, 1:] != a[1, :-1])) if a.shape[1] else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, a.shape[1]))
+    turn = np.arange(a.shape[1]) - np.repeat(starts, sizes)
+    keep = turn < np.repeat(np.where(a[2, starts] == 1, 1, most), sizes)
+    return a[:, keep], near_[keep]
 
 
-def sharing(lines: DataFrame, asked: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``lines`` with of their prefixes only the words that a line of ``asked`` (id, line) may have in its own, and a screen of these lines."""
-    spots = _screen(asked.select("id", "line"))
+def _named(rows: np.ndarray, t: float, most: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of whole groups (columns GROUP), by size in each: pairs (earlier, later) to verify and the later ones that have more.
 
-    def only(batches: Iterator[pa.RecordBatch], words: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if words is None:
-                yield batch.filter(pa.array(spots[_spots(batch.column(0).to_numpy(), batch.column(1).to_numpy())]))
-                continue
-            lists = batch.column(8)
-            keep = words[lists.flatten().to_numpy() & (ENTRIES - 1)]
-            sizes = lists.value_lengths().to_numpy()
-            left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
-            # what is kept of a prefix goes with its places, as others before it are gone
-            places = (np.arange(len(keep)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[keep]
-            offsets = pa.array(np.concatenate(([0], np.cumsum(left))).astype(np.int32))
-            values = pa.StructArray.from_arrays([lists.flatten().filter(pa.array(keep)), pa.array(places.astype(np.int32))], ["prefix", "p"])
-            yield pa.record_batch([*batch.columns[:8], pa.ListArray.from_arrays(offsets, values), batch.column(9)], names=[*names, "kept", "blocks"]).filter(pa.array(left > 0))
-
-    names = ["id", "line", "n", *SIG, "skip"]
-    rows = lines.select(*names, "prefix", "blocks")
-    words = _screen(rows.mapInArrow(lambda b: only(b, None), rows.schema).select(F.explode("prefix").alias("tok")))
-    kept = rows.mapInArrow(lambda b: only(b, words), "id long, line int, n int, s0 long, s1 long, s2 long, s3 long, skip int, kept array<struct<prefix:int,p:int>>, blocks array<int>")
-    return kept, spots
-
-
-def candidates(lines: DataFrame, t: float, most: int, asked: DataFrame | None = None) -> DataFrame:
-    """(a_id, a_line, id, line, more): earlier lines that may match; ``more`` with null a_id where some may be left out.
-
-    With ``asked`` (id, line) for those lines only.
+    With ``asked`` only rows where it is true are looked at as later ones, and none is sure: such have been verified in vain.
+    """
+    size = rows.shape[1]
+    group = np.cumsum(np.append(0, rows[0, 1:] != rows[0, :-1]))
+    n = rows[4]
+    reach = np.minimum(np.floor(n / t + 1e-9).astype(np.int64), 2**31 - 1)
+    last = np.searchsorted((group << 32) | n, (group << 32) | reach, "right") - 1  # the length filter
+    left, x = n - rows[5] - 1, np.vstack([rows[4:10], np.bitwise_xor.reduce(rows[6:10])])
+    wanted = np.ones(size, bool) if asked is None else asked.copy()
+    share, count = t / (1 + t), np.zeros(size, np.int64)
+    pairs, near, held = [np.zeros((3, 0), np.int64)], [np.zeros(0)], 0
+    a, d = np.arange(size), 1
+    while len(a := a[last[a] >= a + d]):
+        i = a[wanted[a] | wanted[a + d]]
+        i = i[1 + np.minimum(left[i], left[i + d]) >= (n[i] + n[i + d]) * share - 1e-9]
+        if len(i):
+            j = i + d
+            # a pair's later line is the one to name it for
+            later = (rows[1, i] > rows[1, j]) | ((rows[1, i] == rows[1, j]) & ((rows[2, i] > rows[2, j]) | ((rows[2, i] == rows[2, j]) & (rows[3, i] > rows[3, j]))))
+            same = ~later & (rows[1, i] == rows[1, j]) & (rows[2, i] == rows[2, j]) & (rows[3, i] == rows[3, j])
+            e, f = np.where(later, j, i), np.where(later, i, j)
+            use = wanted[f] & ~same
+            e, f = e[use], f[use]
+            ok, close, sure = _passes(x[:, e], x[:, f], t)
+            e, f, close, sure = e[ok], f[ok], close[ok], sure[ok] & (asked is None)
+            count += np.bincount(f, minlength=size) if len(f) else 0
+            pairs.append(np.stack([e, f, sure]))
+            near.append(close)
+            held += len(e)
+            if held > 1_000_000:
+                named, close = _nearest(pairs, near, most)
+                pairs, near, held = [named], [close], 0
+                # what lies further on isn't looked at for those that have a sure one
+                count[named[1, named[2] == 1]] += 1
+                wanted[named[1, named[2] == 1]] = False
+        d += 1
+    (e, f, _), _ = _nearest(pairs, near, most)
+    return e, f, np.flatnonzero(count > np.bincount(f, minlength=size))
+
+
+CANDIDATES = "a_id long, a_h long, a_line int, id long, h long, line int, more boolean"
+
+
+def _blocks(lines: DataFrame, block: int) -> DataFrame:
+    """(tok, blocks) of the words that are in the prefix of more than ``block`` lines."""
+    often = lines.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    return written(often.select("tok", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "often")
+
+
+def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: DataFrame | None = None) -> DataFrame:
+    """(a_id, a_h, a_line, id, h, line, more): earlier lines that may match; ``more`` with null a_id where some may be left out.
+
+    ``often``: what ``_blocks`` gives. With ``asked`` (id, h, line) for those lines only.
     """
-    spots = None
-    if asked is None:
-        each = lines.select("id", "line", "n", *SIG, "skip", "blocks", F.posexplode("prefix").alias("p", "tok"))
+    flagged = lines.withColumn("asked", F.lit(True)) if asked is None else lines.join(asked.select(*LINE, F.lit(True).alias("asked")), [*LINE], "left")
+    each = flagged.select(*LINE, "n", *SIG, "asked", F.posexplode("prefix").alias("place", "tok"))
+    if asked is not None:
+        each = each.join(written(each.where("asked").select("tok").distinct(), "asked"), "tok", "left_semi")
+    columns = [*LINE, "n", "place", *SIG, "asked"]
+    if often.isEmpty():
+        dealt = each.select(F.col("tok").cast("long").alias("key"), *columns)
     else:
-        kept, spots = sharing(lines, asked)
-        each = kept.select("id", "line", "n", *SIG, "skip", "blocks", F.explode("kept").alias("x")).select("id", "line", "n", *SIG, "skip", "blocks", F.col("x.p").alias("p"), F.col("x.prefix").alias("tok"))
-    each = each.select("id", "line", "n", (F.col("skip") + F.col("p")).alias("place"), *SIG, F.shiftleft(F.col("tok").cast("long"), 32).alias("key"), F.coalesce(F.get("blocks", F.col("p")), F.lit(1)).alias("deal"))
-    own = F.pmod(F.xxhash64("id", "line"), F.col("deal").cast("long"))
-    pair = F.explode(F.when(F.col("deal") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1), lambda k: F.least(own, k) * 32768 + F.greatest(own, k))))
-    dealt = each.select("key", pair.alias("pair"), "id", "line", "n", "place", *SIG).select((F.col("key") + F.col("pair")).alias("key"), "id", "line", "n", "place", *SIG)
-    ordered = dealt.repartition("key").sortWithinPartitions("key", "id", "line")
+        each = each.join(often, "tok", "left")
+        own = F.pmod(F.xxhash64(*LINE), F.col("blocks").cast("long"))
+        pair = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.xxhash64(F.least(own, k), F.greatest(own, k))))
+        dealt = each.select("tok", F.explode(pair).alias("pair"), *columns).select(F.when(F.col("pair") == 0, F.col("tok").cast("long")).otherwise(F.xxhash64("tok", "pair")).alias("key"), *columns)
+    ordered = dealt.withColumn("asked", F.coalesce("asked", F.lit(False)).cast("int")).repartition("key").sortWithinPartitions("key", "n")
+    only = asked is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, ("key", "id", "line", "n", "place", "s0", "s1", "s2", "s3"), 1):
-            a, b, more = _named(rows, t, most, None if spots is None else spots[_spots(rows[1], rows[2])])
-            ids, line = rows[1], rows[2].astype(np.int32)
-            two = (ids[a] != ids[b]) | (line[a] != line[b])  # hashes of two words of a line may be equal
-            a, b = a[two], b[two]
+        release_caches()
+        for rows in whole_groups(batches, (*GROUP, "asked"), 1, 200_000):
+            e, f, more = _named(rows, t, most, rows[10].astype(bool) if only else None)
             k = len(more)
-            yield pa.record_batch(
-                [
-                    pa.concat_arrays([pa.array(ids[a]), pa.nulls(k, pa.int64())]), pa.concat_arrays([pa.array(line[a]), pa.nulls(k, pa.int32())]),
-                    pa.array(np.append(ids[b], ids[more])), pa.array(np.append(line[b], line[more])), pa.array(np.append(np.zeros(len(a), bool), np.ones(k, bool))),
-                ],
-                names=[c.split()[0] for c in CANDIDATES.split(", ")],
-            )
+            left = [pa.concat_arrays([pa.array(rows[c][e].astype(kind)), pa.nulls(k, pa.from_numpy_dtype(kind))]) for c, kind in ((1, np.int64), (2, np.int64), (3, np.int32))]
+            right = [pa.array(np.append(rows[c][f], rows[c][more]).astype(kind)) for c, kind in ((1, np.int64), (2, np.int64), (3, np.int32))]
+            yield pa.record_batch([*left, *right, pa.array(np.append(np.zeros(len(e), bool), np.ones(k, bool)))], names=[c.split()[0] for c in CANDIDATES.split(", ")])
 
     return ordered.mapInArrow(run, CANDIDATES).distinct()
 
 
-def _spots(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lines.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(42)).astype(np.int64)
-
-
-def matched(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """(id, line) of the lines in ``pairs`` whose earlier line does match, word by word."""
-    ends = pairs.select(F.explode(F.array(F.struct("id", "line"), F.struct(F.col("a_id").alias("id"), F.col("a_line").alias("line")))).alias("x")).select("x.*")
-
-    wanted = _screen(ends)  # only saves moving lines that no pair names
+def matched(source: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(id, h, line) of the lines in ``pairs`` whose earlier line does match, word by word."""
+    ends = pairs.select(F.explode(F.array(F.struct(*LINE), F.struct(*[F.col(f"a_{c}").alias(c) for c in LINE]))).alias("x")).select("x.*")
+    wanted = ends.groupBy("id", "h").agg(F.collect_set("line").alias("lines"))
 
-    def texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text the lines asked for, as sets of words; a task's texts that are equal once."""
+        release_caches()
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for rows, texts in texts_of(batch.column(1)):
+            for rows, texts in texts_of(batch.column(2)):
                 text, number, begin, end = texts.lines()
-                hit = np.flatnonzero(wanted[_spots(ids[rows][text], number)])
+                at = np.searchsorted(text, np.arange(rows.stop - rows.start))
+                asked = batch.column(3).slice(rows.start, rows.stop - rows.start)
+                hit = np.repeat(at, asked.value_lengths().to_numpy()) + asked.flatten().to_numpy()
                 data = texts.data.tobytes()
                 content = [list(set(data[a:b].split())) for a, b in zip(begin[hit].tolist(), end[hit].tolist())]
-                yield pa.record_batch([pa.array(ids[rows][text[hit]]), pa.array(number[hit].astype(np.int32)), pa.array(content, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["id", "line", "words"])
+                of = rows.start + text[hit]
+                yield pa.record_batch([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(number[hit].astype(np.int32)), pa.array(content, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=[*LINE, "words"])
 
-    named = ends.distinct()
-    lines = written(docs.mapInArrow(texts_of_lines, "id long, line int, words array<string>").join(named, ["id", "line"], "left_semi"), "lines")
-    earlier = lines.select(F.col("id").alias("a_id"), F.col("line").alias("a_line"), F.col("words").alias("a_words"))
+    lines = source.join(wanted, ["id", "h"]).select("id", "h", "text", "lines").mapInArrow(words_of, "id long, h long, line int, words array<string>")
+    lines = written(lines.dropDuplicates([*LINE]), "lines")
+    earlier = lines.select(*[F.col(c).alias(f"a_{c}") for c in LINE], F.col("words").alias("a_words"))
     both = F.size(F.array_intersect("words", "a_words"))
     similarity = both / (F.size("words") + F.size("a_words") - both)
-    return pairs.join(lines, ["id", "line"]).join(earlier, ["a_id", "a_line"]).where(similarity >= t - 1e-9).select("id", "line").distinct()
+    return pairs.join(lines, [*LINE]).join(earlier, [f"a_{c}" for c in LINE]).where(similarity >= t - 1e-9).select(*LINE).distinct()
 
 
 def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line) of every line that goes; ids as ``id_key`` gives them."""
+    """(id, h, line) of every line that goes: id as ``id_key`` gives it, h as ``text_key`` does. Rows equal in both are one here."""
     source = _source(docs, id_col, text_col)
-    counts = word_counts(source)
-    found = distinct_lines(source, counts, t, least)
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("id", "line"))
-    equal = written(found.select("id", "line", "n", *SIG, "skip", "prefix", "blocks", turn.alias("turn")), "lines")
-    firsts = equal.where("turn = 1 and n > 0 and size(prefix) > 0").drop("turn")
-    out, asked, most = equal.where("turn > 1 or n = 0").select("id", "line"), None, NAMED
+    found = distinct_lines(source, rarity(source), t, least)
+    # a row stored twice has each of its lines twice, at the same place: these have the same rank
+    order = Window.partitionBy("key").orderBy(*LINE)
+    equal = written(found.select(*LINE, "n", *SIG, "prefix", F.rank().over(order).alias("rank"), F.row_number().over(order).alias("turn")), "lines")
+    firsts = equal.where("turn = 1 and n > 0").drop("turn", "rank")
+    out, asked, most, often = equal.where("rank > 1 or n = 0").select(*LINE), None, NAMED, _blocks(firsts, BLOCK)
     while True:
-        named = candidates(firsts, t, most, asked)
-        named = written(named if asked is None else named.join(asked, ["id", "line"], "left_semi"), "candidates")
+        named = written(candidates(firsts, often, t, most, asked), "candidates")
         gone = written(matched(source, named.where("a_id is not null").drop("more"), t), "matched")
         out = out.union(gone)
-        asked = written(named.where("more").select("id", "line").distinct().join(gone, ["id", "line"], "left_anti"), "unsure")
+        asked = written(named.where("more").select(*LINE).distinct().join(gone, [*LINE], "left_anti"), "unsure")
         if asked.isEmpty():
             return out
         most *= 16
@@ -395,26 +363,41 @@ def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id
 def dedup_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the later matches taken out of the text, and columns n_lines and n_removed (replaced if there).
 
-    Lines end at line feeds. Every row stays, also one whose text is now empty; a null text stays null and has no
-    lines, an empty one has one, which stays. Null ids come first. Rows that repeat an id are one document stored more
-    than once: they get the same lines removed. Other columns are passed through.
+    Lines end at line feeds; lines of fewer than ``least`` distinct words, always those without a word, stay. Every row
+    stays, also one whose text is now empty; a null text stays null and has no lines, an empty one has one, which
+    stays. Null ids come first. Rows that repeat an id, null ones too, are documents of their own, in the order of a
+    hash of their texts; of rows equal in id and text one comes before the others, which lose all their lines of enough
+    words. Ties in nothing else are possible, as lines have numbers. A text is held whole by one task; its lines are
+    dealt out by their words. An empty table gives an empty one. Other columns, whatever their names, are passed through.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = later_matches(docs, t, least, id_col, text_col).groupBy("id").agg(F.collect_set("line").alias("_gone"))
-    gone = written(gone.withColumnRenamed("id", "_id"), "gone")
-    joined = docs.select(*rest, id_key(id_col).alias("_key")).join(gone.hint("shuffle_hash"), F.col("_key") == F.col("_id"), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    text = [kept.alias(c) if c == text_col else F.col(c) for c in rest]
-    return joined.select(*text, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    id_, h, gone, again = free_names(docs.columns, 4)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], id_key(id_col).alias(id_), text_key(text).alias(h))
+    lines = later_matches(docs, t, least, id_col, text_col).groupBy("id", "h").agg(F.collect_set("line").alias(gone))
+    lines = written(lines.withColumnsRenamed({"id": id_, "h": h}), "gone")
+    joined = first_of_equals(rows, [id_, h], again).join(lines.hint("shuffle_hash"), [id_, h], "left")
+    all_ = F.split(text, "\n")
+    low = lambda x: F.translate(x, string.ascii_uppercase, string.ascii_lowercase)
+    words = lambda x: F.size(F.array_distinct(F.filter(F.split(low(x), r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    repeats = F.filter(F.transform(all_, lambda x, i: F.when(words(x) >= max(least, 1), i)), lambda i: i.isNotNull())
+    out = F.when(F.col(again), repeats).otherwise(F.coalesce(gone, F.array().cast("array<int>")))
+    joined = joined.withColumn(gone, F.when(F.col(text_col).isNotNull(), out))
+    kept = F.when(F.size(gone) > 0, F.array_join(F.filter(all_, lambda x, i: ~F.array_contains(gone, i)), "\n")).otherwise(text)
+    columns = [kept.cast(docs.schema[text_col].dataType).alias(c) if c == text_col else F.col(f"`{c}`") for c in rest]
+    return joined.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_)).alias("n_lines"), F.greatest(F.lit(0), F.size(F.coalesce(gone, F.array().cast("array<int>")))).alias("n_removed"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the later matches taken out and ``chars_col``, if there, counted anew; rows left without a word by that go."""
-    found = dedup_lines(docs, id_col=id_col, text_col=text_col).where(~((F.col("n_removed") > 0) & ~F.col(text_col).rlike(r"\S")))
+    """``docs`` with the later matches taken out as by ``dedup_lines`` and ``chars_col``, if there, counted anew; rows left without a word by that go.
+
+    Null, empty and blank texts stay as they are; columns keep their names, types and order.
+    """
+    lines, removed = free_names(docs.columns, 2)
+    found = dedup_lines(docs.withColumnsRenamed({"n_lines": lines, "n_removed": removed}), id_col=id_col, text_col=text_col).where(~((F.col("n_removed") > 0) & ~F.col(text_col).rlike(r"\S")))
     if chars_col in docs.columns:
         found = found.withColumn(chars_col, F.when(F.col("n_removed") > 0, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return found.select(*docs.columns)
+    return found.drop("n_lines", "n_removed").withColumnsRenamed({lines: "n_lines", removed: "n_removed"}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -128,8 +128,8 @@ def near_edges(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> Data
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys: int) -> Iterator[np.ndarray]:
-    """Arrays of int64 columns that hold whole groups of rows equal in the first ``keys`` columns; the input is sorted by them."""
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys: int, least: int = 0) -> Iterator[np.ndarray]:
+    """Arrays of int64 columns, of ``least`` rows or more but for the last, that hold whole groups of rows equal in the first ``keys`` columns; the input is sorted by them."""
     held: list[np.ndarray] = []
     for batch in batches:
         if not batch.num_rows:
@@ -137,6 +137,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], ke
         now = np.stack([batch.column(batch.schema.get_field_index(c)).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in columns])
         last = np.flatnonzero((now[:keys] != now[:keys, -1:]).any(axis=0))
         cut = int(last[-1]) + 1 if len(last) else 0
+        if sum(x.shape[1] for x in held) + cut < least:
+            held.append(now)
+            continue
         if cut or (held and (held[-1][:keys, -1] != now[:keys, 0]).any()):
             if held or cut:
                 yield np.concatenate([*held, now[:, :cut]], axis=1)

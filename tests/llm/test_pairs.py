@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from paperloom.llm import common, decontaminate, exact_dedup, line_dedup, sharding, simhash
 
@@ -165,20 +166,25 @@ def test_chunks_follow_the_content():
     assert max(b - a for a, b in zip([0, *ends], ends)) <= exact_dedup.MOST
 
 
-def slow_lines(docs, t=0.8, least=5):
-    seen, out = [], {}
-    for i, text in sorted(docs, key=lambda d: low(d[0])):
-        removed = []
-        for k, line in enumerate((text or "").split("\n")):
+def slow_lines(spark, docs, t=0.8, least=1):
+    """(id, lines, removed, text) of every row: rows in the order of ids, null ones first, and of the texts' hashes where ids repeat."""
+    hashes = [r.h for r in spark.createDataFrame([(k, x) for k, (_, x) in enumerate(docs)], "k int, x string").select("k", common.text_key(F.col("x")).alias("h")).orderBy("k").collect()]
+    seen, out = [], []
+    for (i, text), _ in sorted(zip(docs, hashes), key=lambda d: (low(d[0][0]), d[1])):
+        lines, removed = (text or "").split("\n"), []
+        for k, line in enumerate(lines):
             s = frozenset(line.encode().lower().split())
             if len(s) < least:
                 continue
             if any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen):
                 removed.append(k)
             seen.append(s)
-        lines = (text or "").split("\n")
-        out[i] = (len(lines) if text is not None else 0, len(removed), None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in removed))
-    return out
+        out.append((i, len(lines) if text is not None else 0, len(removed), None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in removed)))
+    return sorted(out, key=repr)
+
+
+def found_lines(rows):
+    return sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in rows.collect()), key=repr)
 
 
 @pytest.fixture(scope="module")
@@ -199,58 +205,90 @@ def line_docs(vocabulary):
     return docs
 
 
-def test_line_dedup(make, line_docs):
+@pytest.mark.parametrize("least", [1, 5])
+def test_line_dedup(spark, make, line_docs, least):
     docs = make([t for _, t in line_docs], [i for i, _ in line_docs])
-    want = slow_lines(line_docs)
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(docs).collect()}
-    assert got == want
+    assert found_lines(line_dedup.dedup_lines(docs, least=least)) == slow_lines(spark, line_docs, least=least)
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark, make, vocabulary):
+    """Rows that repeat an id are documents of their own; of rows equal in id and text one keeps its lines."""
+    rng = random.Random(15)
+    lines = ["All rights reserved", "L1", "L2", "a b c d", "a b c d e", "", " ", *[" ".join(rng.choices(vocabulary, k=9)) for _ in range(8)]]
+    docs = [(5, "L1\nL2"), (5, "L1\nL2"), (1, "A"), (5, "A\nfoo"), (5, "C\nbar"), (None, "A\nB"), (None, "A\nB"), (None, None), (None, None), (7, None), (7, ""), (7, ""), (8, " \n\t")]
+    docs += [(rng.choice([None, 2, 3, 3, 3, 9]), "\n".join(rng.choices(lines, k=rng.randint(1, 6)))) for _ in range(120)]
+    docs += docs[-40:]
+    want = slow_lines(spark, docs)
+    for tasks in (1, 5):
+        rows = make([t for _, t in docs], [i for i, _ in docs]).repartition(tasks)
+        assert found_lines(line_dedup.dedup_lines(rows)) == want
+    clash = make([t for _, t in docs], [i for i, _ in docs]).selectExpr("*", "1 _key", "2 _id", "3 _gone", "4 _x0", "5 _x1", "6 N_x", "7 n_lines", "8 n_removed", "9 `a.b`")
+    again = line_dedup.drop_repeats(clash)
+    assert again.columns == clash.columns and again.schema == clash.schema
+    rows = again.collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(((i, t) for i, _, k, t in want if not (k and not t.strip())), key=repr)
+    assert {tuple(r[-9:]) for r in rows} == {tuple(range(1, 10))}
 
 
 @pytest.mark.parametrize("tasks", [1, 4])
-def test_line_dedup_keeps_lines_of_few_distinct_words(make, line_docs, tasks):
-    """Lines of five words or more of which fewer are distinct stay, within one task and across tasks."""
+def test_line_dedup_keeps_lines_of_few_distinct_words(spark, make, line_docs, tasks):
+    """Where five are asked for lines of five words or more of which fewer are distinct stay, within one task and across tasks."""
     rule, more = "| --- | --- | --- |", "* * * * *\n0 0 0 0 0"
     texts = [f"{t or ''}\n{rule}\nx\n{rule}\n{more}" for _, t in line_docs[3:23]]
     docs = make(texts).repartition(tasks, "doc_id")
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(docs).collect()}
-    assert got == slow_lines(list(enumerate(texts)))
-    assert all(r[2].count(rule) == 2 for r in got.values())
+    got = found_lines(line_dedup.dedup_lines(docs, least=5))
+    assert got == slow_lines(spark, list(enumerate(texts)), least=5)
+    assert all(r[3].count(rule) == 2 for r in got)
 
 
-def test_line_dedup_in_blocks_and_second_look(make, line_docs, monkeypatch):
+def test_line_dedup_in_blocks_and_second_look(spark, make, line_docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 3)
     monkeypatch.setattr(line_dedup, "NAMED", 1)
     docs = make([t for _, t in line_docs], [i for i, _ in line_docs])
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.op5(docs).collect()}
-    assert got == slow_lines(line_docs)
+    assert found_lines(line_dedup.op5(docs)) == slow_lines(spark, line_docs)
+
+
+def test_line_dedup_of_a_very_long_text(spark, make, vocabulary):
+    rng = random.Random(16)
+    base = [" ".join(rng.choices(vocabulary, k=12)) for _ in range(30)]
+    long = [rng.choice(base) if rng.random() < 0.05 else " ".join(rng.choices(vocabulary, k=14)) + f" {k}" for k in range(6000)]
+    docs = [(0, "\n".join(base)), (1, "\n".join(long)), (2, " ".join(rng.choices(vocabulary, k=60_000)))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(make([t for _, t in docs])).collect()}
+    gone = [x for k, x in enumerate(long) if x in base]
+    assert got[0].n_removed == 0 and got[1].n_removed >= len(gone) and got[1].n_lines == 6000 and not set(got[1].text.split("\n")) & set(base)
 
 
 def test_line_dedup_large_groups_name_enough():
-    """For each line with an earlier one that passes, one that does is named; all are, or the line is said to have more, or a sure one is."""
+    """For each line with an earlier one that passes, one that does is named; all are, or the line is said to have more."""
     import numpy as np
 
     rng = random.Random(9)
-    for m in (40, 150, 1500):
-        rows = np.zeros((9, m), np.int64)
-        rows[1] = np.arange(m)
-        rows[3] = [rng.randint(5, 40) for _ in range(m)]
-        rows[5] = [rng.getrandbits(4) for _ in range(m)]
-        rows[3, m // 2 :] += 190
+    for m, kinds in ((40, 1), (150, 3), (1500, 1)):
+        rows = np.zeros((10, m), np.int64)
+        rows[0] = sorted(rng.randrange(kinds) for _ in range(m))
+        rows[1] = rng.sample(range(m), m)
+        rows[4] = [rng.choice([rng.randint(5, 40), 230]) for _ in range(m)]
+        rows[6] = [rng.getrandbits(4) for _ in range(m)]
+        rows = rows[:, np.lexsort((rows[4], rows[0]))]
         a, b, more = line_dedup._named(rows, 0.8, 3)
-        x = np.vstack([rows[3:9], np.bitwise_xor.reduce(rows[5:9])])
+        x = np.vstack([rows[4:10], np.bitwise_xor.reduce(rows[6:10])])
         for j in range(m):
-            ok, near = line_dedup._passes(x[:, :j], x[:, [j]], 0.8)
+            before = np.flatnonzero((rows[0] == rows[0, j]) & (rows[1] < rows[1, j]))
+            n, own = rows[4, before], rows[4, j]
+            near = before[(n >= 0.8 * own - 1e-9) & (own >= 0.8 * n - 1e-9)]
+            ok, _, sure = line_dedup._passes(x[:, near], np.repeat(x[:, [j]], len(near), axis=1), 0.8)
+            want = set(near[ok].tolist())
             named = set(a[b == j].tolist())
-            assert named <= set(np.flatnonzero(ok).tolist()) and bool(named) == ok.any()
-            assert named == set(np.flatnonzero(ok).tolist()) or j in more
-            assert not (ok & near).any() or near[list(named)].any() or len(named) >= 3
+            assert named <= want and bool(named) == bool(want)
+            assert named == want or j in more
+            assert not set(near[sure & ok].tolist()) or named & set(near[sure & ok].tolist())
 
 
-def test_drop_repeats(make, line_docs):
+def test_drop_repeats(spark, make, line_docs):
     docs = make([t for _, t in line_docs], [i for i, _ in line_docs])
     got = line_dedup.drop_repeats(docs)
     assert got.columns == docs.columns and got.schema == docs.schema
-    want = {i: t for i, (n, k, t) in slow_lines(line_docs).items() if not (k and not t.strip())}
+    want = {i: t for i, _, k, t in slow_lines(spark, line_docs) if not (k and not t.strip())}
     rows = got.collect()
     assert {r.doc_id: r.text for r in rows} == want
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
