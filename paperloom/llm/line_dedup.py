@@ -200,8 +200,8 @@ def _sure(most: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
     return np.minimum(bits / 2 * (1 - np.exp(-most / bits)), 0.28 * bits)
 
 
-#: Rows of a group of candidates, sorted by key and size.
-GROUP = ("key", "id", "h", "line", "n", "place", *SIG)
+#: Rows of a group of candidates, by size in each. ``lid`` is a number for a line that has no order, ``asked`` may be left out.
+GROUP = ("key", "n", "id", "lid", "place", *SIG, "asked")
 
 
 def _passes(a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,18 +230,19 @@ def _nearest(pairs: list[np.ndarray], near: list[np.ndarray], most: int) -> tupl
     return a[:, keep], near_[keep]
 
 
-def _named(rows: np.ndarray, t: float, most: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of whole groups (columns GROUP), by size in each: pairs (earlier, later) to verify and the later ones that have more.
+def _named(rows: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of whole groups (columns GROUP): pairs (earlier, later) to verify and the later ones that have more.
 
-    With ``asked`` only rows where it is true are looked at as later ones, and none is sure: such have been verified in vain.
+    Lines of one id may be either. With ``asked`` only rows where it is true are looked at as later ones, and none is
+    sure: such have been verified in vain.
     """
-    size = rows.shape[1]
+    size, all_ = rows.shape[1], rows.shape[0] < len(GROUP)
     group = np.cumsum(np.append(0, rows[0, 1:] != rows[0, :-1]))
-    n = rows[4]
+    n, ids = rows[1], rows[2]
     reach = np.minimum(np.floor(n / t + 1e-9).astype(np.int64), 2**31 - 1)
     last = np.searchsorted((group << 32) | n, (group << 32) | reach, "right") - 1  # the length filter
-    left, x = n - rows[5] - 1, np.vstack([rows[4:10], np.bitwise_xor.reduce(rows[6:10])])
-    wanted = np.ones(size, bool) if asked is None else asked.copy()
+    left, x = n - rows[4] - 1, np.vstack([n, rows[4:9], np.bitwise_xor.reduce(rows[5:9])])
+    wanted = np.ones(size, bool) if all_ else rows[9].astype(bool)
     share, count = t / (1 + t), np.zeros(size, np.int64)
     pairs, near, held = [np.zeros((3, 0), np.int64)], [np.zeros(0)], 0
     a, d = np.arange(size), 1
@@ -249,31 +250,30 @@ def _named(rows: np.ndarray, t: float, most: int, asked: np.ndarray | None = Non
         i = a[wanted[a] | wanted[a + d]]
         i = i[1 + np.minimum(left[i], left[i + d]) >= (n[i] + n[i + d]) * share - 1e-9]
         if len(i):
+            ok, close, sure = _passes(x[:, i], x[:, i + d], t)
+            i, close, sure = i[ok], close[ok], sure[ok] & all_
             j = i + d
-            # a pair's later line is the one to name it for
-            later = (rows[1, i] > rows[1, j]) | ((rows[1, i] == rows[1, j]) & ((rows[2, i] > rows[2, j]) | ((rows[2, i] == rows[2, j]) & (rows[3, i] > rows[3, j]))))
-            same = ~later & (rows[1, i] == rows[1, j]) & (rows[2, i] == rows[2, j]) & (rows[3, i] == rows[3, j])
-            e, f = np.where(later, j, i), np.where(later, i, j)
-            use = wanted[f] & ~same
-            e, f = e[use], f[use]
-            ok, close, sure = _passes(x[:, e], x[:, f], t)
-            e, f, close, sure = e[ok], f[ok], close[ok], sure[ok] & (asked is None)
-            count += np.bincount(f, minlength=size) if len(f) else 0
-            pairs.append(np.stack([e, f, sure]))
-            near.append(close)
+            two = rows[3, i] != rows[3, j]  # hashes of two words of a line may be equal
+            one, other = two & (ids[i] <= ids[j]) & wanted[j], two & (ids[i] >= ids[j]) & wanted[i]
+            e, f = np.append(i[one], j[other]), np.append(j[one], i[other])
+            if len(f):
+                count += np.bincount(f, minlength=size)
+            pairs.append(np.stack([e, f, np.append(sure[one], sure[other])]))
+            near.append(np.append(close[one], close[other]))
             held += len(e)
             if held > 1_000_000:
                 named, close = _nearest(pairs, near, most)
                 pairs, near, held = [named], [close], 0
                 # what lies further on isn't looked at for those that have a sure one
-                count[named[1, named[2] == 1]] += 1
-                wanted[named[1, named[2] == 1]] = False
+                done = named[1, (named[2] == 1) & (ids[named[0]] != ids[named[1]])]
+                count[done] += 1
+                wanted[done] = False
         d += 1
     (e, f, _), _ = _nearest(pairs, near, most)
     return e, f, np.flatnonzero(count > np.bincount(f, minlength=size))
 
 
-CANDIDATES = "a_id long, a_h long, a_line int, id long, h long, line int, more boolean"
+CANDIDATES = "a long, b long, more boolean"
 
 
 def _blocks(lines: DataFrame, block: int) -> DataFrame:
@@ -283,62 +283,87 @@ def _blocks(lines: DataFrame, block: int) -> DataFrame:
 
 
 def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: DataFrame | None = None) -> DataFrame:
-    """(a_id, a_h, a_line, id, h, line, more): earlier lines that may match; ``more`` with null a_id where some may be left out.
+    """(a, b, more): lids of lines that may match, b the later one unless both have one id; ``more`` with null a where some may be left out.
 
-    ``often``: what ``_blocks`` gives. With ``asked`` (id, h, line) for those lines only.
+    ``often``: what ``_blocks`` gives. With ``asked`` (lid) as later ones for those lines only.
     """
-    flagged = lines.withColumn("asked", F.lit(True)) if asked is None else lines.join(asked.select(*LINE, F.lit(True).alias("asked")), [*LINE], "left")
-    each = flagged.select(*LINE, "n", *SIG, "asked", F.posexplode("prefix").alias("place", "tok"))
+    columns = ["n", "id", "lid", "place", *SIG]
     if asked is not None:
-        each = each.join(written(each.where("asked").select("tok").distinct(), "asked"), "tok", "left_semi")
-    columns = [*LINE, "n", "place", *SIG, "asked"]
-    if often.isEmpty():
-        dealt = each.select(F.col("tok").cast("long").alias("key"), *columns)
-    else:
-        each = each.join(often, "tok", "left")
-        own = F.pmod(F.xxhash64(*LINE), F.col("blocks").cast("long"))
-        pair = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.xxhash64(F.least(own, k), F.greatest(own, k))))
-        dealt = each.select("tok", F.explode(pair).alias("pair"), *columns).select(F.when(F.col("pair") == 0, F.col("tok").cast("long")).otherwise(F.xxhash64("tok", "pair")).alias("key"), *columns)
-    ordered = dealt.withColumn("asked", F.coalesce("asked", F.lit(False)).cast("int")).repartition("key").sortWithinPartitions("key", "n")
-    only = asked is not None
+        lines = lines.join(asked.select("lid", F.lit(1).alias("asked")), "lid", "left").fillna(0, ["asked"])
+        columns.append("asked")
+    each = lines.select("*", F.posexplode("prefix").alias("place", "tok")).select("tok", *columns)
+    if asked is not None:
+        each = each.join(written(each.where("asked = 1").select("tok").distinct(), "asked"), "tok", "left_semi")
+    if not often.isEmpty():
+        own = F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long"))
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.hash("tok", F.least(own, k), F.greatest(own, k)))
+        each = each.join(often, "tok", "left").select(F.explode(F.when(F.col("blocks").isNull(), F.array("tok")).otherwise(parts)).alias("tok"), *columns)
+    # one number to sort by: the word and the size
+    sized = each.select(F.shiftleft(F.col("tok").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("key"), *columns[1:])
+    ordered = sized.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        for rows in whole_groups(batches, (*GROUP, "asked"), 1, 200_000):
-            e, f, more = _named(rows, t, most, rows[10].astype(bool) if only else None)
-            k = len(more)
-            left = [pa.concat_arrays([pa.array(rows[c][e].astype(kind)), pa.nulls(k, pa.from_numpy_dtype(kind))]) for c, kind in ((1, np.int64), (2, np.int64), (3, np.int32))]
-            right = [pa.array(np.append(rows[c][f], rows[c][more]).astype(kind)) for c, kind in ((1, np.int64), (2, np.int64), (3, np.int32))]
-            yield pa.record_batch([*left, *right, pa.array(np.append(np.zeros(len(e), bool), np.ones(k, bool)))], names=[c.split()[0] for c in CANDIDATES.split(", ")])
+        for rows in whole_groups(_unpacked(batches, ("key", *columns)), ("key", *columns), 1, 200_000):
+            e, f, more = _named(rows, t, most)
+            k, lid = len(more), rows[3]
+            yield pa.record_batch([pa.concat_arrays([pa.array(lid[e]), pa.nulls(k, pa.int64())]), pa.array(np.append(lid[f], lid[more])), pa.array(np.append(np.zeros(len(e), bool), np.ones(k, bool)))], names=["a", "b", "more"])
 
     return ordered.mapInArrow(run, CANDIDATES).distinct()
 
 
-def matched(source: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """(id, h, line) of the lines in ``pairs`` whose earlier line does match, word by word."""
-    ends = pairs.select(F.explode(F.array(F.struct(*LINE), F.struct(*[F.col(f"a_{c}").alias(c) for c in LINE]))).alias("x")).select("x.*")
-    wanted = ends.groupBy("id", "h").agg(F.collect_set("line").alias("lines"))
+def _unpacked(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Word and size of the first column apart."""
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        yield pa.record_batch([pa.array(key >> 32), pa.array(key & (2**32 - 1)), *batch.columns[1:]], names=list(names))
+
+
+def _spots(ids: np.ndarray, hs: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hs.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + lines.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x >> np.uint64(40)).astype(np.int64)
+
+
+def _screen(lines: DataFrame) -> bytes:
+    """2**24 bits, compressed, that are set for all of ``lines`` (id, h, line) and maybe for others. It only saves moving lines that no pair names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 24, bool)
+        for batch in batches:
+            seen[_spots(*(c.to_numpy() for c in batch.columns))] = True
+        yield pa.record_batch([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["at"])
+
+    out = np.zeros(1 << 24, bool)
+    out[lines.select(*LINE).mapInArrow(run, "at int").distinct().toArrow()["at"].to_numpy()] = True
+    return zlib.compress(np.packbits(out).tobytes(), 1)
+
+
+def matched(source: DataFrame, lines: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(lid) of the lines b in ``pairs`` whose line a does match, word by word, and comes before; ``lines`` has the lids."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    named = written(lines.select("lid", *LINE).join(ends, "lid", "left_semi"), "named")
+    screen = _screen(named)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text the lines asked for, as sets of words; a task's texts that are equal once."""
         release_caches()
+        wanted = np.unpackbits(np.frombuffer(zlib.decompress(screen), np.uint8)).astype(bool)
         for batch in batches:
+            ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, texts in texts_of(batch.column(2)):
                 text, number, begin, end = texts.lines()
-                at = np.searchsorted(text, np.arange(rows.stop - rows.start))
-                asked = batch.column(3).slice(rows.start, rows.stop - rows.start)
-                hit = np.repeat(at, asked.value_lengths().to_numpy()) + asked.flatten().to_numpy()
+                hit = np.flatnonzero(wanted[_spots(ids[rows][text], hs[rows][text], number)])
                 data = texts.data.tobytes()
                 content = [list(set(data[a:b].split())) for a, b in zip(begin[hit].tolist(), end[hit].tolist())]
-                of = rows.start + text[hit]
-                yield pa.record_batch([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(number[hit].astype(np.int32)), pa.array(content, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=[*LINE, "words"])
+                of = text[hit]
+                yield pa.record_batch([pa.array(ids[rows][of]), pa.array(hs[rows][of]), pa.array(number[hit].astype(np.int32)), pa.array(content, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=[*LINE, "words"])
 
-    lines = source.join(wanted, ["id", "h"]).select("id", "h", "text", "lines").mapInArrow(words_of, "id long, h long, line int, words array<string>")
-    lines = written(lines.dropDuplicates([*LINE]), "lines")
-    earlier = lines.select(*[F.col(c).alias(f"a_{c}") for c in LINE], F.col("words").alias("a_words"))
+    # rows stored twice give their lines twice
+    found = written(source.mapInArrow(words_of, "id long, h long, line int, words array<string>").join(named, [*LINE]).dropDuplicates(["lid"]), "words")
+    later = found.select(F.col("lid").alias("b"), F.struct(*LINE).alias("at"), "words")
+    earlier = found.select(F.col("lid").alias("a"), F.struct(*LINE).alias("a_at"), F.col("words").alias("a_words"))
     both = F.size(F.array_intersect("words", "a_words"))
     similarity = both / (F.size("words") + F.size("a_words") - both)
-    return pairs.join(lines, [*LINE]).join(earlier, [f"a_{c}" for c in LINE]).where(similarity >= t - 1e-9).select(*LINE).distinct()
+    return pairs.join(later, "b").join(earlier, "a").where((F.col("a_at") < F.col("at")) & (similarity >= t - 1e-9)).select(F.col("b").alias("lid")).distinct()
 
 
 def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,14 +372,16 @@ def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id
     found = distinct_lines(source, rarity(source), t, least)
     # a row stored twice has each of its lines twice, at the same place: these have the same rank
     order = Window.partitionBy("key").orderBy(*LINE)
-    equal = written(found.select(*LINE, "n", *SIG, "prefix", F.rank().over(order).alias("rank"), F.row_number().over(order).alias("turn")), "lines")
-    firsts = equal.where("turn = 1 and n > 0").drop("turn", "rank")
-    out, asked, most, often = equal.where("rank > 1 or n = 0").select(*LINE), None, NAMED, _blocks(firsts, BLOCK)
+    ranked = found.select(*LINE, "n", *SIG, "prefix", F.rank().over(order).alias("rank"), F.row_number().over(order).alias("turn"))
+    first = F.col("turn") == 1
+    equal = written(ranked.select(*LINE, F.when(first, F.col("n")).otherwise(0).alias("n"), *SIG, F.when(first, F.col("prefix")).alias("prefix"), "rank", F.monotonically_increasing_id().alias("lid")), "lines")
+    firsts = equal.where("rank = 1 and n > 0").drop("rank")
+    out, asked, most, often = equal.where("rank > 1 or n = 0 and prefix is not null").select(*LINE), None, NAMED, _blocks(firsts, BLOCK)
     while True:
         named = written(candidates(firsts, often, t, most, asked), "candidates")
-        gone = written(matched(source, named.where("a_id is not null").drop("more"), t), "matched")
-        out = out.union(gone)
-        asked = written(named.where("more").select(*LINE).distinct().join(gone, [*LINE], "left_anti"), "unsure")
+        gone = written(matched(source, firsts, named.where("a is not null").drop("more"), t), "matched")
+        out = out.union(firsts.select("lid", *LINE).join(gone, "lid", "left_semi").select(*LINE))
+        asked = written(named.where("more").select(F.col("b").alias("lid")).distinct().join(gone, "lid", "left_anti"), "unsure")
         if asked.isEmpty():
             return out
         most *= 16

@@ -264,17 +264,18 @@ def test_line_dedup_large_groups_name_enough():
 
     rng = random.Random(9)
     for m, kinds in ((40, 1), (150, 3), (1500, 1)):
-        rows = np.zeros((10, m), np.int64)
+        rows = np.zeros((9, m), np.int64)
         rows[0] = sorted(rng.randrange(kinds) for _ in range(m))
-        rows[1] = rng.sample(range(m), m)
-        rows[4] = [rng.choice([rng.randint(5, 40), 230]) for _ in range(m)]
-        rows[6] = [rng.getrandbits(4) for _ in range(m)]
-        rows = rows[:, np.lexsort((rows[4], rows[0]))]
+        rows[1] = [rng.choice([rng.randint(5, 40), 230]) for _ in range(m)]
+        rows[2] = rng.sample(range(m), m)
+        rows[3] = rng.sample(range(m), m)
+        rows[5] = [rng.getrandbits(4) for _ in range(m)]
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
         a, b, more = line_dedup._named(rows, 0.8, 3)
-        x = np.vstack([rows[4:10], np.bitwise_xor.reduce(rows[6:10])])
+        x = np.vstack([rows[1], rows[4:9], np.bitwise_xor.reduce(rows[5:9])])
         for j in range(m):
-            before = np.flatnonzero((rows[0] == rows[0, j]) & (rows[1] < rows[1, j]))
-            n, own = rows[4, before], rows[4, j]
+            before = np.flatnonzero((rows[0] == rows[0, j]) & (rows[2] < rows[2, j]))
+            n, own = rows[1, before], rows[1, j]
             near = before[(n >= 0.8 * own - 1e-9) & (own >= 0.8 * n - 1e-9)]
             ok, _, sure = line_dedup._passes(x[:, near], np.repeat(x[:, [j]], len(near), axis=1), 0.8)
             want = set(near[ok].tolist())
