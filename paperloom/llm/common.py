@@ -61,7 +61,7 @@ def id_key(column: str) -> Column:
 
 def text_key(text: Column) -> Column:
     """A hash that with the id tells rows apart that repeat an id; null counts as a text of its own."""
-    return F.coalesce(F.xxhash64(text, F.length(text)), F.lit(0).cast("long"))
+    return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))
 
 
 def free_names(columns: list[str], n: int) -> list[str]:
@@ -82,8 +82,12 @@ def first_of_equals(rows: DataFrame, keys: list[str], again: str) -> DataFrame:
     """``rows`` with a column ``again``, true for all but one of the rows that are equal in ``keys``.
 
     Only rows of keys that repeat are dealt out, and these first in parts; which of equal rows is the one is left open.
+    Where the first of ``keys`` never repeats nothing else is read.
     """
-    often = written(rows.groupBy(*keys).agg(F.count("*").alias(again)).where(F.col(again) > 1).select(*keys), "equal")
+    repeated = lambda df, *by: written(df.groupBy(*by).agg(F.count("*").alias(again)).where(F.col(again) > 1).select(*by), "equal")
+    often = repeated(rows, keys[0])
+    if not often.isEmpty():
+        often = repeated(rows.select(*keys).join(often, keys[0], "left_semi"), *keys)
     if often.isEmpty():
         return rows.withColumn(again, F.lit(False))
     salt, turn = free_names([*rows.columns, again], 2)

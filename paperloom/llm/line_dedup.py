@@ -15,6 +15,7 @@ all others count as rare. Every line uses the same order, so no pair is lost how
 
 from __future__ import annotations
 
+import itertools
 import string
 import struct
 import zlib
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.bytewords import Texts, texts_of
 from paperloom.llm.common import first_of_equals, free_names, id_key, release_caches, text_key, worker_cache, written
-from paperloom.llm.simhash import whole_groups
 
 SIMILARITY, LEAST = 0.8, 1
 #: Words whose rank is sent to all tasks, in a table of so many slots by hash, a byte each.
@@ -52,34 +52,67 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_counts(source: DataFrame) -> DataFrame:
-    """(word, n): the 64-bit hash of each word of ``source`` and how often it occurs."""
+    """(word, n): the 64-bit hash of each word of ``source`` that occurs twice or more, and how often.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tasks send sorted words and counts in one piece for each part of the hashes' range, not as rows.
+    """
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = np.array([-(-(k << 64) // parts) for k in range(1, parts)], np.uint64)
+
+    def counted(words: list[np.ndarray], n: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        all_ = np.concatenate(words)
+        if n is None:
+            all_.sort()
+        else:
+            order = np.argsort(all_)
+            all_, n = all_[order], np.concatenate(n)[order]
+        at = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.zeros(0, np.int64)
+        return all_[at], np.diff(np.append(at, len(all_))) if n is None else np.add.reduceat(n, at) if len(at) else n
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         held, size = [], 0
 
-        def counted() -> pa.RecordBatch:
-            words = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-            return pa.record_batch([pa.array(words[at].view(np.int64)), pa.array(np.diff(np.append(at, len(words))))], names=["word", "n"])
+        def sent() -> pa.RecordBatch:
+            words, n = counted(held)
+            cut = np.searchsorted(words, bounds)
+            return pa.record_batch([pa.array(range(parts), pa.int32()), *(pa.array([x.tobytes() for x in np.split(c, cut)], pa.binary()) for c in (words, n))], names=["part", "words", "n"])
 
         for batch in batches:
             for _, texts in texts_of(batch.column(2)):
                 held.append(texts.words()[2])
                 size += len(held[-1])
                 if size > COUNTED:
-                    yield counted()
+                    yield sent()
                     held, size = [], 0
         if size:
-            yield counted()
+            yield sent()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        words, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for w, k in zip(batch.column(1), batch.column(2)):
+                words.append(np.frombuffer(w.as_buffer(), np.uint64))
+                n.append(np.frombuffer(k.as_buffer(), np.int64))
+                if sum(map(len, words[1:])) > max(COUNTED, len(words[0])):
+                    words, n = ([x] for x in counted(words, n))
+        words, n = counted(words, n)
+        for at in range(0, len(words), 1 << 16):
+            few = n[at : at + (1 << 16)] > 1
+            yield pa.record_batch([pa.array(words[at : at + (1 << 16)][few].view(np.int64)), pa.array(n[at : at + (1 << 16)][few])], names=["word", "n"])
 
-    return source.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return source.mapInArrow(count, "part int, words binary, n binary").repartition(parts, "part").mapInArrow(summed, "word long, n long")
 
 
-def rarity(source: DataFrame, frequent: int = FREQUENT) -> bytes:
-    """For each slot of a word's hash eight times the binary logarithm of its count, 0 for all but the ``frequent`` most frequent; compressed."""
-    level = F.floor(F.log2("n") * 8).cast("int")
-    counts = written(word_counts(source).where("n > 1").select("word", level.alias("level")), "words")
+def level(n: np.ndarray | int) -> np.ndarray:
+    """Eight times the binary logarithm of a count, a byte."""
+    return np.minimum(np.floor(np.log2(n) * 8), 255).astype(np.uint8)
+
+
+def rarity(source: DataFrame, frequent: int = FREQUENT) -> tuple[bytes, int]:
+    """For each slot of a word's hash the level of its count, 0 for all but the ``frequent`` most frequent, compressed; and the least level that has all its words in it."""
+    counts = written(word_counts(source).select("word", F.least(F.lit(255), F.floor(F.log2("n") * 8 + 1e-9)).cast("int").alias("level")), "words")
     sizes, least, total = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}, 256, 0
     for k in sorted(sizes, reverse=True):
         total += sizes[k]
@@ -88,8 +121,8 @@ def rarity(source: DataFrame, frequent: int = FREQUENT) -> bytes:
         least = k
     found = counts.where(F.col("level") >= least).select(F.shiftrightunsigned("word", 40).cast("int").alias("slot"), "level").toArrow()
     table = np.zeros(SLOTS, np.uint8)
-    np.maximum.at(table, found["slot"].to_numpy(), np.minimum(found["level"].to_numpy(), 255).astype(np.uint8))
-    return zlib.compress(table.tobytes(), 1)
+    np.maximum.at(table, found["slot"].to_numpy(), found["level"].to_numpy().astype(np.uint8))
+    return zlib.compress(table.tobytes(), 1), least
 
 
 _tables: dict[int, np.ndarray] = worker_cache({})
@@ -109,14 +142,16 @@ def prefix_length(n: np.ndarray, t: float = SIMILARITY) -> np.ndarray:
 
 SIG = ("s0", "s1", "s2", "s3")
 LINE = ("id", "h", "line")
-LINES = "id long, h long, line int, key binary, n int, s0 long, s1 long, s2 long, s3 long, prefix array<int>"
+LINES = "id long, h long, line int, key binary, n int, s0 long, s1 long, s2 long, s3 long, prefix array<int>, common array<int>"
 
 
-def distinct_lines(source: DataFrame, ranks: bytes, t: float, least: int) -> DataFrame:
+def distinct_lines(source: DataFrame, ranks: bytes, known: int, t: float, least: int) -> DataFrame:
     """Lines of at least ``least`` distinct words, of equal ones in a task those before all met so far; the others, which go, come with n = 0 and a key of their own.
 
-    ``prefix`` holds 32-bit hashes of the words of the prefix, rarest first.
+    ``prefix`` holds 32-bit hashes of the words of the prefix, rarest first; ``common`` those of them that may be in more
+    than BLOCK lines: frequent ones, or all where the counts of some such words are not ``known``.
     """
+    high = int(level(BLOCK)) if known <= level(BLOCK) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
@@ -125,14 +160,14 @@ def distinct_lines(source: DataFrame, ranks: bytes, t: float, least: int) -> Dat
         for batch in batches:
             ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, texts in texts_of(batch.column(2)):
-                yield _lines_of(ids[rows], hs[rows], texts, first, table, t, least)
+                yield _lines_of(ids[rows], hs[rows], texts, first, table, high, t, least)
                 if len(first) > REMEMBERED:
                     first.clear()
 
     return source.mapInArrow(run, LINES)
 
 
-def _lines_of(ids: np.ndarray, hs: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int, int]], ranks: np.ndarray, t: float, least: int) -> pa.RecordBatch:
+def _lines_of(ids: np.ndarray, hs: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int, int]], ranks: np.ndarray, high: int, t: float, least: int) -> pa.RecordBatch:
     text, number, begin, end = texts.lines()
     s, _, h = texts.words()
     line = np.searchsorted(begin, s, "right") - 1
@@ -160,18 +195,21 @@ def _lines_of(ids: np.ndarray, hs: np.ndarray, texts: Texts, first: dict[bytes,
     for lo in range(0, max(len(kept), 1), 1 << 14):
         a, b = np.searchsorted(where, [lo, lo + (1 << 14)])
         pieces.append(_prefixes(where[a:b] - lo, h[a:b], min(len(kept) - lo, 1 << 14), ranks, t))
-    n, sig, sizes, tokens = (np.concatenate(x, axis=-1) for x in zip(*pieces))
+    n, sig, sizes, tokens, rank = (np.concatenate(x, axis=-1) for x in zip(*pieces))
     rows, more = np.concatenate([kept, np.array(gone, np.int64)]), np.zeros(len(gone), np.int64)
     out = ids[text[rows]], hs[text[rows]], number[rows].astype(np.int32)
     keys += [struct.pack("<qqi", *x) for x in zip(*(c[len(kept) :].tolist() for c in out))]
     offsets = np.concatenate(([0], np.cumsum(sizes), sizes.sum() + more)).astype(np.int32)
     columns = [*map(pa.array, out), pa.array(keys, pa.binary()), pa.array(np.append(n, more).astype(np.int32)), *(pa.array(np.append(x.view(np.int64), more)) for x in sig)]
     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.uint32).view(np.int32))))
+    often = rank >= high
+    offsets = np.append(0, np.cumsum(often))[offsets].astype(np.int32)
+    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[often].astype(np.uint32).view(np.int32))))
     return pa.record_batch(columns, names=[x.split()[0] for x in LINES.split(", ")])
 
 
 def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, ranks: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
-    """For each line its distinct words, signature and length of the prefix; and the prefixes' words.
+    """For each line its distinct words, signature and length of the prefix; and the prefixes' words and their ranks.
 
     ``h`` has 50 bits; ``line`` ascends and is less than 2**14.
     """
@@ -192,7 +230,7 @@ def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, ranks: np.ndarray, t:
     size = prefix_length(n, t)
     size[n == 0] = 0
     keep = (np.arange(len(order)) - np.repeat(starts, n)) < np.repeat(size, n)
-    return n, sig, size, order[keep] & np.uint64(2**32 - 1)
+    return n, sig, size, order[keep] & np.uint64(2**32 - 1), (order[keep] >> np.uint64(32)) & np.uint64(255)
 
 
 def _sure(most: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
@@ -278,45 +316,88 @@ CANDIDATES = "a long, b long, more boolean"
 
 def _blocks(lines: DataFrame, block: int) -> DataFrame:
     """(tok, blocks) of the words that are in the prefix of more than ``block`` lines."""
-    often = lines.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    often = lines.select(F.explode("common").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > block)
     return written(often.select("tok", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "often")
 
 
+#: How the columns GROUP travel, many rows in one piece.
+KINDS = ("<u4", "<i4", "<i8", "<i8", "<i4", "<i8", "<i8", "<i8", "<i8", "<i1")
+#: Rows that a task holds before it sends them, and that a part is to have.
+SENT = 400_000
+
+
 def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: DataFrame | None = None) -> DataFrame:
     """(a, b, more): lids of lines that may match, b the later one unless both have one id; ``more`` with null a where some may be left out.
 
     ``often``: what ``_blocks`` gives. With ``asked`` (lid) as later ones for those lines only.
     """
-    columns = ["n", "id", "lid", "place", *SIG]
-    if asked is not None:
+    again = asked is not None
+    if again:
         lines = lines.join(asked.select("lid", F.lit(1).alias("asked")), "lid", "left").fillna(0, ["asked"])
-        columns.append("asked")
-    each = lines.select("*", F.posexplode("prefix").alias("place", "tok")).select("tok", *columns)
-    if asked is not None:
-        each = each.join(written(each.where("asked = 1").select("tok").distinct(), "asked"), "tok", "left_semi")
+        words = written(lines.where("asked = 1").select(F.explode("prefix").alias("tok")).distinct(), "asked")
+        kept = lines.select("*", F.posexplode("prefix").alias("place", "tok")).join(words, "tok", "left_semi")
+        lines = kept.select("n", "id", "lid", *SIG, "asked", F.array("tok").alias("prefix"), "place")
+    else:
+        lines = lines.withColumns({"asked": F.lit(1), "place": F.lit(0)})
     if not often.isEmpty():
+        # groups by word and pair of blocks: (group, place) in the order of the prefix
+        each = lines.select("n", "id", "lid", *SIG, "asked", "place", F.posexplode("prefix").alias("p", "tok")).join(often, "tok", "left")
         own = F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long"))
         parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.hash("tok", F.least(own, k), F.greatest(own, k)))
-        each = each.join(often, "tok", "left").select(F.explode(F.when(F.col("blocks").isNull(), F.array("tok")).otherwise(parts)).alias("tok"), *columns)
-    # one number to sort by: the word and the size
-    sized = each.select(F.shiftleft(F.col("tok").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("key"), *columns[1:])
-    ordered = sized.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
+        dealt = F.explode(F.when(F.col("blocks").isNull(), F.array("tok")).otherwise(parts)).alias("tok")
+        lines = each.select("n", "id", "lid", *SIG, "asked", (F.col("place") + F.col("p")).alias("place"), dealt).withColumn("prefix", F.array("tok"))
+    rows = lines.select("n", "id", "lid", *SIG, "asked", "place", "prefix")
+    total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // SENT)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        held, size = [], 0
+
+        def sent() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            part = (columns[0].astype(np.uint64) * np.uint64(0x9E3779B1) % np.uint64(2**32) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            present, at = np.unique(part[order], return_index=True)
+            columns = [c[order] for c in columns]
+            pieces = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)])]
+            return pa.record_batch([pa.array(present.astype(np.int32)), pa.array(pieces, pa.binary())], names=["part", "rows"])
+
+        for batch in batches:
+            lists = batch.column(9)
+            sizes = lists.value_lengths().to_numpy()
+            n, id_, lid, s0, s1, s2, s3, asked_, place = (np.repeat(c.to_numpy(), sizes) for c in batch.columns[:9])
+            place = place + np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = (lists.flatten().to_numpy().view(np.uint32), n, id_, lid, place, s0, s1, s2, s3, asked_)
+            held.append([c.astype(k) for c, k in zip(columns, KINDS)])
+            size += len(n)
+            if size > SENT:
+                yield sent()
+                held, size = [], 0
+        if size:
+            yield sent()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        for rows in whole_groups(_unpacked(batches, ("key", *columns)), ("key", *columns), 1, 200_000):
-            e, f, more = _named(rows, t, most)
+        pieces = ((p, r) for b in batches for p, r in zip(b.column(0).to_pylist(), b.column(1)))
+        width = sum(np.dtype(k).itemsize for k in KINDS)
+        for _, group in itertools.groupby(pieces, key=lambda x: x[0]):
+            columns = [[] for _ in KINDS]
+            for _, piece in group:
+                data, at = piece.as_buffer(), 0
+                n = len(data) // width
+                for c, k in zip(columns, KINDS):
+                    c.append(np.frombuffer(data, k, n, at))
+                    at += n * np.dtype(k).itemsize
+            rows = np.stack([np.concatenate(c).astype(np.int64) for c in columns])
+            del columns
+            rows = rows[:, np.argsort((rows[0] << 32) | rows[1])]
+            e, f, more = _named(rows if again else rows[:9], t, most)
             k, lid = len(more), rows[3]
             yield pa.record_batch([pa.concat_arrays([pa.array(lid[e]), pa.nulls(k, pa.int64())]), pa.array(np.append(lid[f], lid[more])), pa.array(np.append(np.zeros(len(e), bool), np.ones(k, bool)))], names=["a", "b", "more"])
 
-    return ordered.mapInArrow(run, CANDIDATES).distinct()
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Word and size of the first column apart."""
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        yield pa.record_batch([pa.array(key >> 32), pa.array(key & (2**32 - 1)), *batch.columns[1:]], names=list(names))
+    dealt = rows.mapInArrow(deal, "part int, rows binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, CANDIDATES).distinct()
 
 
 def _spots(ids: np.ndarray, hs: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -357,8 +438,8 @@ def matched(source: DataFrame, lines: DataFrame, pairs: DataFrame, t: float) ->
                 of = text[hit]
                 yield pa.record_batch([pa.array(ids[rows][of]), pa.array(hs[rows][of]), pa.array(number[hit].astype(np.int32)), pa.array(content, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=[*LINE, "words"])
 
-    # rows stored twice give their lines twice
-    found = written(source.mapInArrow(words_of, "id long, h long, line int, words array<string>").join(named, [*LINE]).dropDuplicates(["lid"]), "words")
+    # rows stored twice give their lines twice, which does no harm
+    found = written(source.mapInArrow(words_of, "id long, h long, line int, words array<string>").join(named, [*LINE]), "words")
     later = found.select(F.col("lid").alias("b"), F.struct(*LINE).alias("at"), "words")
     earlier = found.select(F.col("lid").alias("a"), F.struct(*LINE).alias("a_at"), F.col("words").alias("a_words"))
     both = F.size(F.array_intersect("words", "a_words"))
@@ -369,22 +450,22 @@ def matched(source: DataFrame, lines: DataFrame, pairs: DataFrame, t: float) ->
 def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, line) of every line that goes: id as ``id_key`` gives it, h as ``text_key`` does. Rows equal in both are one here."""
     source = _source(docs, id_col, text_col)
-    found = distinct_lines(source, rarity(source), t, least)
+    found = distinct_lines(source, *rarity(source), t, least)
     # a row stored twice has each of its lines twice, at the same place: these have the same rank
     order = Window.partitionBy("key").orderBy(*LINE)
-    ranked = found.select(*LINE, "n", *SIG, "prefix", F.rank().over(order).alias("rank"), F.row_number().over(order).alias("turn"))
+    ranked = found.select(*LINE, "n", *SIG, "prefix", "common", F.rank().over(order).alias("rank"), F.row_number().over(order).alias("turn"))
     first = F.col("turn") == 1
-    equal = written(ranked.select(*LINE, F.when(first, F.col("n")).otherwise(0).alias("n"), *SIG, F.when(first, F.col("prefix")).alias("prefix"), "rank", F.monotonically_increasing_id().alias("lid")), "lines")
+    equal = written(ranked.select(*LINE, F.when(first, F.col("n")).otherwise(0).alias("n"), *SIG, *[F.when(first, F.col(c)).alias(c) for c in ("prefix", "common")], "rank", F.monotonically_increasing_id().alias("lid")), "lines")
     firsts = equal.where("rank = 1 and n > 0").drop("rank")
-    out, asked, most, often = equal.where("rank > 1 or n = 0 and prefix is not null").select(*LINE), None, NAMED, _blocks(firsts, BLOCK)
+    gone, asked, most, often = None, None, NAMED, _blocks(firsts, BLOCK)
     while True:
         named = written(candidates(firsts, often, t, most, asked), "candidates")
-        gone = written(matched(source, firsts, named.where("a is not null").drop("more"), t), "matched")
-        out = out.union(firsts.select("lid", *LINE).join(gone, "lid", "left_semi").select(*LINE))
-        asked = written(named.where("more").select(F.col("b").alias("lid")).distinct().join(gone, "lid", "left_anti"), "unsure")
+        found = written(matched(source, firsts, named.where("a is not null").drop("more"), t), "matched")
+        gone = found if gone is None else gone.union(found)
+        asked = written(named.where("more").select(F.col("b").alias("lid")).distinct().join(found, "lid", "left_anti"), "unsure")
         if asked.isEmpty():
-            return out
-        most *= 16
+            return equal.where("rank > 1 or n = 0 and prefix is not null").select(*LINE).union(firsts.select("lid", *LINE).join(gone, "lid", "left_semi").select(*LINE))
+        most *= 256
 
 
 def dedup_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
