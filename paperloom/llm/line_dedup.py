@@ -42,6 +42,8 @@ TWO, FOUR = 100, 200
 #: Earlier lines named for a line by one word, those with the nearest signatures; one is enough where it is near enough
 #: to be all but sure. If none of them matches and there were more, all are looked at.
 NAMED = 4
+#: So many lines at most have their documents' ids broadcast, so that other texts are passed over.
+FEW = 1 << 19
 #: Lines that a task remembers so as not to send them again; then it forgets all and goes on.
 REMEMBERED = 200_000
 
@@ -170,7 +172,7 @@ def distinct_lines(source: DataFrame, ranks: bytes, known: int, t: float, least:
 def _lines_of(ids: np.ndarray, hs: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int, int]], ranks: np.ndarray, high: int, t: float, least: int) -> pa.RecordBatch:
     text, number, begin, end = texts.lines()
     s, _, h = texts.words()
-    line = np.searchsorted(begin, s, "right") - 1
+    line = np.repeat(np.arange(len(begin)), np.diff(np.append(np.searchsorted(s, begin), len(s))))
     enough = np.bincount(line, minlength=len(text)) >= least
     if least > 1:  # words may repeat
         pairs = np.unique(np.stack([line[enough[line]].astype(np.uint64), h[enough[line]]]), axis=1)
@@ -333,8 +335,8 @@ def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: D
     """
     again = asked is not None
     if again:
+        words = written(lines.join(asked, "lid", "left_semi").select(F.explode("prefix").alias("tok")).distinct(), "asked")
         lines = lines.join(asked.select("lid", F.lit(1).alias("asked")), "lid", "left").fillna(0, ["asked"])
-        words = written(lines.where("asked = 1").select(F.explode("prefix").alias("tok")).distinct(), "asked")
         kept = lines.select("*", F.posexplode("prefix").alias("place", "tok")).join(words, "tok", "left_semi")
         lines = kept.select("n", "id", "lid", *SIG, "asked", F.array("tok").alias("prefix"), "place")
     else:
@@ -347,6 +349,8 @@ def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: D
         dealt = F.explode(F.when(F.col("blocks").isNull(), F.array("tok")).otherwise(parts)).alias("tok")
         lines = each.select("n", "id", "lid", *SIG, "asked", (F.col("place") + F.col("p")).alias("place"), dealt).withColumn("prefix", F.array("tok"))
     rows = lines.select("n", "id", "lid", *SIG, "asked", "place", "prefix")
+    if again or not often.isEmpty():
+        rows = written(rows, "rows")
     total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // SENT)
 
@@ -424,6 +428,8 @@ def matched(source: DataFrame, lines: DataFrame, pairs: DataFrame, t: float) ->
     ends = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     named = written(lines.select("lid", *LINE).join(ends, "lid", "left_semi"), "named")
     screen = _screen(named)
+    if named.count() <= FEW:
+        source = source.join(F.broadcast(named.select("id").distinct()), "id", "left_semi")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
@@ -493,7 +499,7 @@ def dedup_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id_c
     joined = joined.withColumn(gone, F.when(F.col(text_col).isNotNull(), out))
     kept = F.when(F.size(gone) > 0, F.array_join(F.filter(all_, lambda x, i: ~F.array_contains(gone, i)), "\n")).otherwise(text)
     columns = [kept.cast(docs.schema[text_col].dataType).alias(c) if c == text_col else F.col(f"`{c}`") for c in rest]
-    return joined.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_)).alias("n_lines"), F.greatest(F.lit(0), F.size(F.coalesce(gone, F.array().cast("array<int>")))).alias("n_removed"))
+    return joined.select(*columns, F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"), F.greatest(F.lit(0), F.size(F.coalesce(gone, F.array().cast("array<int>")))).alias("n_removed"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
