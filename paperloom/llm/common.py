@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 
@@ -120,6 +122,8 @@ def release_caches() -> None:
             cache.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Rows hold whole documents: so many at most go to a Python worker at a time.

@@ -325,7 +325,7 @@ def _blocks(lines: DataFrame, block: int) -> DataFrame:
 #: How the columns GROUP travel, many rows in one piece.
 KINDS = ("<u4", "<i4", "<i8", "<i8", "<i4", "<i8", "<i8", "<i8", "<i8", "<i1")
 #: Rows that a task holds before it sends them, and that a part is to have.
-SENT = 400_000
+SENT = 200_000
 
 
 def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: DataFrame | None = None) -> DataFrame:
@@ -400,7 +400,7 @@ def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: D
             k, lid = len(more), rows[3]
             yield pa.record_batch([pa.concat_arrays([pa.array(lid[e]), pa.nulls(k, pa.int64())]), pa.array(np.append(lid[f], lid[more])), pa.array(np.append(np.zeros(len(e), bool), np.ones(k, bool)))], names=["a", "b", "more"])
 
-    dealt = rows.mapInArrow(deal, "part int, rows binary").repartition("part").sortWithinPartitions("part")
+    dealt = rows.mapInArrow(deal, "part int, rows binary").repartition(parts, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, CANDIDATES).distinct()
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import connected_components, id_back, id_key, release_caches, written
+from paperloom.llm.common import connected_components, first_of_equals, free_names, id_back, id_key, release_caches, text_key, written
 
 #: Buckets with more fingerprints are compared in pairs of blocks of about this size, each pair a group of its own.
 BLOCK = 8192
@@ -61,16 +61,21 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return _simhash(shingle_hashes(text, words))
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(id_key(id_col).alias("id"), text_key(text).alias("h"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, fp long) for every row; a null or blank text has fingerprint zero."""
+    """(id long, h long, fp long) for every row; a null or blank text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], dtype=np.uint64)
+            yield pa.record_batch([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["id", "h", "fp"])
 
-    return docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, h long, fp long")
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -113,7 +118,9 @@ def near_edges(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> Data
     # each row becomes many, so a few small files must not make a few tasks
     spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     rows = spread.select("fp", "rep", tables.alias("x")).select("x.t", "x.k", "fp", "rep")
-    counted = rows.selectExpr("*", "count(*) over (partition by k, t) n").where("n > 1")
+    # by far the most buckets have one fingerprint; a large one is dealt out before its rows meet
+    shared = rows.groupBy("k", "t").agg(F.count("*").alias("n")).where("n > 1")
+    counted = rows.join(shared, ["k", "t"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
     dealt = counted.select("t", "k", "fp", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
@@ -183,21 +190,21 @@ def bands_of(shingles: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, key, bands) for every row; equal sets of shingles have equal keys."""
+    """(id, h, fp, key, bands) for every row; equal sets of shingles have equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         for batch in batches:
             fps, keys, bands = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), words)
                 own = np.unique(hashes)
                 fps.append(_simhash(hashes))
                 keys.append(_set_key(own))
                 bands.append(bands_of(own))
-            yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "key", "bands"])
+            yield pa.record_batch([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "h", "fp", "key", "bands"])
 
-    return docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long, key long, bands array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, h long, fp long, key long, bands array<long>")
 
 
 def _spots(ids: np.ndarray) -> np.ndarray:
@@ -253,7 +260,8 @@ def similar_edges(docs: DataFrame, prints: DataFrame, distinct: DataFrame, words
     blocks, and are compared exactly; the sets are made anew, as only candidates need them.
     """
     banded = prints.select("key", F.explode("bands").alias("k")).distinct()
-    stars = banded.selectExpr("key", "min(key) over (partition by k) least").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    shared = banded.groupBy("k").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = banded.join(shared, "k").where("key <> a").select("a", F.col("key").alias("b")).distinct()
     rough = written(connected_components(stars), "candidates")
     sizes = rough.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -286,6 +294,24 @@ def similar_edges(docs: DataFrame, prints: DataFrame, distinct: DataFrame, words
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
+def _classes(docs: DataFrame, radius: int, words: int, id_col: str, text_col: str, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """(id, h, fp, key) for every row, and (key, least) with the least (id, h) of the key's component."""
+    if similarity is None:
+        prints = written(fingerprints(docs, words, id_col, text_col).select("*", F.col("fp").alias("key")), "fingerprints")
+    else:
+        prints = written(sketches(docs, words, id_col, text_col), "sketches")
+    # of a key only its least row takes part
+    distinct = written(prints.groupBy("key").agg(F.min(F.struct("id", "h")).alias("least")).select("key", "least", F.col("least.id").alias("rep")), "distinct")
+    if similarity is None:
+        links = near_edges(distinct.select(F.col("key").alias("fp"), F.col("key").alias("rep")), radius)
+    else:
+        links = similar_edges(docs, prints, distinct.drop("least"), words, similarity, id_col, text_col)
+    components = written(connected_components(links), "components")
+    member = distinct.join(components, distinct.key == components.node, "left").select("key", "least", F.coalesce("component", "key").alias("c"))
+    least = member.groupBy("c").agg(F.min("least").alias("least"))
+    return prints.drop("bands"), written(member.drop("least").join(least, "c").select("key", "least"), "classes")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """(doc_id, fp long, component_id): the component is the smallest id reachable over links of at most ``radius`` bits.
 
@@ -294,34 +320,27 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     which a pair at 0.8 is missed with a probability of 3 in a million.
 
     Null and blank texts share fingerprint zero and are linked like any other; a null id sorts before all others and
-    stays null; rows that repeat an id each keep their own fingerprint and row; an empty table gives an empty one. Other
-    columns are not looked at.
+    stays null (-2**63 counts as null); rows that repeat an id each keep their own fingerprint and row; fingerprints
+    are of whole texts, of any length; an empty table gives an empty one. Other columns are not looked at.
     """
-    if similarity is None:
-        prints = written(fingerprints(docs, words, id_col, text_col).select("*", F.col("fp").alias("key")), "fingerprints")
-    else:
-        prints = written(sketches(docs, words, id_col, text_col), "sketches")
-    # only a key's smallest id takes part; an id may stand for several keys when rows repeat it
-    distinct = written(prints.groupBy("key").agg(F.min("id").alias("rep")), "distinct")
-    if similarity is None:
-        links = near_edges(distinct.select(F.col("key").alias("fp"), F.col("key").alias("rep")), radius)
-    else:
-        links = similar_edges(docs, prints, distinct, words, similarity, id_col, text_col)
-    components = written(connected_components(links), "components")
-    member = distinct.join(components, distinct.key == components.node, "left").select("key", "rep", F.coalesce("component", "key").alias("c"))
-    least = member.groupBy("c").agg(F.min("rep").alias("component_id"))
-    classes = written(member.join(least, "c").select("key", "component_id"), "classes")
-    return prints.drop("bands").join(classes, "key").select(id_back("id").alias("doc_id"), "fp", id_back("component_id").alias("component_id"))
+    prints, classes = _classes(docs, radius, words, id_col, text_col, similarity)
+    return prints.join(classes, "key").select(id_back("id").alias("doc_id"), "fp", id_back("least.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = 4, words: int = 5, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
-    """``docs`` without the near copies: of each component the row with the smallest id stays, columns unchanged.
+    """``docs`` without the near copies, columns unchanged: of each component of ``near_duplicates`` one row stays.
 
-    Rows that repeat the id that stays all stay, as they can't be told apart by it.
+    It is the one with the smallest id, null first; where rows repeat that id, the one whose text has the smallest hash;
+    of rows equal in both any one. Null and blank texts are copies of each other; a row that shares no more than its id
+    with a row that goes stays. An empty table gives an empty one; columns may have any names.
     """
-    found = near_duplicates(docs, radius, words, id_col, text_col, similarity)
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    prints, classes = _classes(docs, radius, words, id_col, text_col, similarity)
+    id_, h, again = free_names(docs.columns, 3)
+    gone = prints.join(classes, "key").where((F.col("id") != F.col("least.id")) | (F.col("h") != F.col("least.h")))
+    gone = written(gone.select(F.col("id").alias(id_), F.col("h").alias(h)).distinct(), "gone")
+    rows = docs.withColumns({id_: id_key(id_col), h: text_key(F.col(text_col).cast("string"))})
+    left = first_of_equals(rows, [id_, h], again).join(gone, [id_, h], "left_anti")
+    return left.where(~F.col(again)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -97,6 +97,18 @@ def test_keep_one(make, edge_texts):
     assert 5 in ids and not {6, 8, 9} & ids and {10, 14, 15} <= ids and 4 not in ids
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_keep_one_of_repeated_and_null_ids(make, vocabulary, similarity):
+    """A text that only shares its id with one that goes stays; of rows equal in id and text one stays."""
+    rng = random.Random(17)
+    p, q, r = (" ".join(rng.choices(vocabulary, k=60)) for _ in range(3))
+    docs = [(3, p), (5, p), (5, q), (None, r), (None, r), (9, r), (None, None), (4, ""), (None, None), (7, " "), (8, q + " " + p), (8, q + " " + p)]
+    table = make([t for _, t in docs], [i for i, _ in docs]).selectExpr("*", "1 _gone", "2 _x0", "3 _x1", "4 `a.b`", "5 component", "6 least")
+    kept = simhash.keep_one(table, similarity=similarity)
+    assert kept.schema == table.schema
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted([(3, p), (5, q), (None, r), (None, None), (8, q + " " + p)], key=repr)
+
+
 def test_near_copies_by_similarity(make, vocabulary):
     """Links are the pairs with five-word Jaccard of 0.8 or more, most of them more than 6 bits apart."""
     import corpus_pipeline
@@ -351,6 +363,33 @@ def test_leaks_of_items_with_a_template(make, spark, vocabulary):
     assert got == want and len(want) > 15
 
 
+def test_decontaminate_takes_no_clean_row(make, spark, vocabulary):
+    """Of rows with one id, or none, only those that leak go; a very long text is searched to its end."""
+    rng = random.Random(18)
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = spark.createDataFrame([(1, say(30)), (2, say(12)), (3, say(900))], "item_id long, text string")
+    bad, short, long = (r.text for r in items.orderBy("item_id").collect())
+    far = say(9000) + " " + bad + " " + say(3000) + " " + short
+    docs = [(1, bad), (1, say(40)), (None, "x " + bad), (None, say(20)), (None, None), (2, far), (2, far), (3, ""), (4, say(100) + " " + long), (5, say(6000))]
+    table = make([t for _, t in docs], [i for i, _ in docs]).selectExpr("*", "1 _leak", "2 _x0", "3 h1", "4 `a.b`", "5 s")
+    left = decontaminate.decontaminate(table, items)
+    assert left.schema == table.schema
+    want = [d for k, d in enumerate(docs) if k in (1, 3, 4, 7, 9)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr)
+    found = {(r.doc_id, r.item_id): (r.start_word, r.n_words) for r in decontaminate.leaks(table, items).collect()}
+    assert found == {(1, 1): (0, 30), (None, 1): (1, 30), (2, 1): (9000, 30), (2, 2): (12030, 12), (4, 3): (100, 900)}
+
+
+def test_blocks_name_what_is_near(spark):
+    """SimHash in DataFrame functions equals a slow one; a bit counts by weight."""
+    rng = random.Random(19)
+    rows = [[(rng.getrandbits(64) - 2**63, rng.randint(1, 3), rng.choice([1.0, 0.5, 0.25])) for _ in range(rng.randint(1, 30))] for _ in range(20)]
+    table = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, x array<struct<h:long,n:long,w:double>>")
+    for r in table.select("k", decontaminate.simhash(F.col("x")).alias("p")).collect():
+        got = sum(b << 16 * k for k, b in enumerate(r.p))
+        assert got == sum(1 << b for b in range(64) if 2 * sum(n * w for h, n, w in rows[r.k] if h >> b & 1) > sum(n * w for _, n, w in rows[r.k]))
+
+
 def test_leaks_of_an_item_without_an_id(make, spark):
     items = spark.createDataFrame([(None, "one two three four five six seven"), (1, "a b c d e f g h")], "item_id long, text string")
     found = decontaminate.leaks(make(["x one two three four five six seven y", "a b c d e f g h"]), items).collect()
