@@ -22,8 +22,10 @@ from paperloom.llm.common import held_out
 
 #: The model is fitted on at most so many rows of each language, those with the smallest hash of their id, ...
 SAMPLE = 150
-#: ... of at most so many languages, the most frequent.
-LANGUAGES = 64
+#: ... on fewer of each where there are so many languages that it would be more rows in all, ...
+SAMPLE_ROWS = 10_000
+#: ... and of these on as many whole texts as have so many bytes in all.
+SAMPLE_BYTES = 64_000_000
 HASHED, LEXICON, SEGMENT = 1 << 15, 400, 32
 REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -39,9 +41,8 @@ def _hash(feature: str) -> int:
 
 
 def word_features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
-    """Indices below HASHED for affixes and n-grams, from there for the lexicons; long words count their first and last 12 letters' n-grams."""
-    padded = f"^{word}$"
-    inner = padded if len(padded) <= 26 else padded[:13] + padded[-13:]
+    """Indices below HASHED for affixes and the n-grams of the whole word, from there for the lexicons."""
+    inner = f"^{word}$"
     out = {_hash("w" + word)} if len(word) <= 4 else set()
     out |= {_hash(f"p{word[:k]}") for k in (1, 2, 3)} | {_hash(f"s{word[-k:]}") for k in (1, 2, 3)}
     out |= {_hash(inner[k : k + n]) for n in (2, 3) for k in range(len(inner) - n + 1)}
@@ -166,16 +167,24 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, rate: float = 0.15
     return Model(labels, model.weights, tr, st, lexicon)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from at most ``sample`` rows of each of the ``languages`` most frequent labels, none of them held out."""
+def train(docs: DataFrame, sample: int = SAMPLE, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learns every label from at most ``sample`` of its rows, none of them held out.
+
+    Rows are at most ``sample_rows`` in all, but one at least of each label, and their texts have at most
+    ``sample_bytes``: from each label in turn the row with the next smallest hash of its id is taken until then.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null").where(~held_out(F.col("id")))
-    frequent = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not frequent:
+    labels = rows.agg(F.countDistinct("lang")).first()[0]
+    if not labels:
         return fit([], [])
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.where(F.col("lang").isin(frequent)).select("id", "lang", turn.alias("turn")).where(F.col("turn") <= sample).select("id", "lang").distinct()
+    chosen = rows.select("id", "lang", turn.alias("turn")).where(F.col("turn") <= max(1, min(sample, sample_rows // labels)))
+    chosen = chosen.groupBy("id", "lang").agg(F.min("turn").alias("turn"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), ["id", "lang"]).where("text is not null").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    got = texts.join(F.broadcast(chosen), ["id", "lang"]).where("text is not null")
+    # a window over all, but over the sample's rows only
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("turn", "lang", "id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    got = got.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("turn") == 1) | (F.col("before") < sample_bytes)).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     return fit(got["text"].to_pylist(), got["lang"].to_pylist())
 
 

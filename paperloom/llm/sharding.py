@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import free_names
+
 SHARDS = tuple(f"shard-{k:04d}" for k in range(64))
 #: Prime; at least a hundred times the shards keeps their shares within one per cent.
 SLOTS = 65537
@@ -52,17 +54,19 @@ def shard(docs: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS
     """``docs`` with two more columns (replaced if there): the slot of ``key`` and its shard's name.
 
     One pass without a shuffle, however skewed the keys; rows with equal keys share a shard. A null key is placed like
-    an empty string. The table is a broadcast of ``slots`` rows, a bound that doesn't depend on the data.
+    an empty string, a key of any length by its hash. An empty table gives an empty one; columns may have any names.
+    The table is a broadcast of ``slots`` rows, a bound that doesn't depend on the data.
     """
     table = lookup_table(shards, slots)
     names = F.split(F.lit("\n".join(shards)), "\n")
     spark = docs.sparkSession
-    filled = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")).alias("_slot", "_k"))
-    filled = filled.select("_slot", F.get(names, F.col("_k")).alias("_shard"))
-    rest = [docs[c] for c in docs.columns if c not in (slot_name, shard_name)]
-    placed = docs.select(*rest, slot_of(docs[key], slots).alias("_at"))
-    joined = placed.join(F.broadcast(filled), placed["_at"] == filled["_slot"])
-    return joined.select(*[c for c in docs.columns if c not in (slot_name, shard_name)], F.col("_slot").alias(slot_name), F.col("_shard").alias(shard_name))
+    slot, owner, at = free_names([*docs.columns, slot_name, shard_name], 3)
+    filled = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")).alias(slot, "k"))
+    filled = filled.select(slot, F.get(names, F.col("k")).alias(owner))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (slot_name, shard_name)]
+    placed = docs.select(*rest, slot_of(docs[key], slots).alias(at))
+    joined = placed.join(F.broadcast(filled), F.col(at) == F.col(slot))
+    return joined.select(*rest, F.col(slot).alias(slot_name), F.col(owner).alias(shard_name))
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -12,15 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from paperloom.llm.bytewords import Texts, texts_of
-from paperloom.llm.common import held_out, release_caches
+from paperloom.llm.common import free_names, held_out, release_caches
 
-#: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
+#: The model is fitted on at most so many labelled rows, those with the smallest hash of their id, ...
 SAMPLE = 10_000
+#: ... and of these on as many whole texts as have so many bytes in all.
+SAMPLE_BYTES = 128_000_000
 THRESHOLD = 0.3
 #: Features met in fewer rows of the sample are not learnt.
 LEAST_ROWS = 3
@@ -98,7 +100,7 @@ def _learnable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def fit(texts: list[str | None] | pa.Array, labels: list[int], alpha: float = 5.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.01, epochs: int = 4, seed: int = 7) -> Model:
-    """Per-coordinate FTRL-proximal; the bias isn't penalised. Without both labels the score is the share of label 1 for every text."""
+    """Per-coordinate FTRL-proximal; the bias isn't penalised. Features met in fewer than LEAST_ROWS of the texts are not learnt. Without both labels the score is the share of label 1 for every text."""
     y = np.array(labels, float)
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
     if not 0 < y.sum() < len(y):
@@ -123,12 +125,17 @@ def fit(texts: list[str | None] | pa.Array, labels: list[int], alpha: float = 5.
     return Model(vocabulary[w != 0], w[w != 0], bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from at most ``sample`` rows of ``labels`` outside the held-out quarter, with null ids and labels left out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from ``labels`` outside the held-out quarter, with null ids and labels left out: at most ``sample`` rows, by the hash of their id, and of these the first whose texts have ``sample_bytes`` in all.
+
+    Of rows that repeat an id the largest text and label count.
+    """
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null").where(~held_out(F.col("_id")))
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), "_id")
-    got = rows.groupBy("_id").agg(F.max("_t").alias("_t"), F.max("_y").alias("_y")).toArrow()
+    # a window over all, but over ``sample`` rows at most
+    so_far = F.sum(F.coalesce(F.octet_length("_t"), F.lit(0))).over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
+    got = rows.groupBy("_id").agg(F.max("_t").alias("_t"), F.max("_y").alias("_y")).withColumn("_n", so_far).where(F.col("_n") <= sample_bytes).drop("_n").toArrow()
     got = got.sort_by("_id")
     texts, y = pa.concat_arrays([pa.array([], pa.large_string()), *(c.cast(pa.large_string()) for c in got["_t"].chunks)]), got["_y"].to_pylist()
     del got
@@ -138,10 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the model's probability in a column ``name`` (replaced if there); one pass, no shuffle.
 
-    Null and empty texts have no features and get the score of the bias; every other column is passed through.
+    Null and empty texts have no features and get the score of the bias; texts of any length are read whole; equal texts
+    get equal scores, repeated rows one each; an empty table gives an empty one; every other column, whatever its name,
+    is passed through.
     """
     rest = [c for c in docs.columns if c != name]
-    source = docs.select(*[docs[c] for c in rest], docs[text_col].cast("string").alias("_text_to_score"))
+    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("string").alias(free_names(rest, 1)[0]))
     out = StructType([*[source.schema[c] for c in rest], StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +162,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns unchanged."""
+    """``docs`` without the rows that score ``threshold`` or more; columns unchanged, whatever their names.
+
+    Each row is judged by its whole text alone: null and empty texts by the bias, rows that repeat an id or a text each.
+    An empty table gives an empty one.
+    """
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    return score(docs, model, text_col, "_toxic_score").where(F.col("_toxic_score") < threshold).drop("_toxic_score")
+    name = free_names(docs.columns, 1)[0]
+    return score(docs, model, text_col, name).where(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -406,6 +406,8 @@ def test_sharding(make, edge_texts, edge_ids):
     rows = got.collect()
     assert len(rows) == len(edge_ids) and got.columns == [*make([]).columns, "slot", "shard"]
     assert all(r.slot == want(r.doc_id) and r.shard == shards[table[r.slot]] for r in rows)
+    clash = make(edge_texts, edge_ids).selectExpr("*", "1 _at", "2 _slot", "3 _shard", "4 k", "5 _x0", "6 `a.b`")
+    assert sharding.shard(clash).columns == [*clash.columns, "slot", "shard"] and sharding.shard(clash).count() == len(edge_ids)
     fewer = sharding.lookup_table(shards[:4], slots)
     assert sum(a == b for a, b in zip(table, fewer) if a < 4) > 0.7 * sum(a < 4 for a in table)
     for bad in ((("a", "a"), 211), ((), 211), (("a",), 210)):

@@ -1,8 +1,11 @@
 """Operators on single texts and conversations: packing, token files, toxicity, language, chat."""
 
+import collections
 import hashlib
 import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -98,6 +101,8 @@ def test_toxicity(spark, make, edge_texts, edge_ids):
     model = toxicity.fit(["you idiot there", "all is well here", "an idiot again", "well then"] * 20, [1, 0, 1, 0] * 20)
     got = {r.doc_id: r.score for r in toxicity.score(make(edge_texts, edge_ids), model).collect()}
     assert len(got) == len(edge_ids) and all(0 <= x <= 1 for x in got.values()) and got[0] == got[1] == got[2]
+    clash = make(["so well said", None]).selectExpr("*", "1 _toxic_score", "2 _x0", "3 `a.b`", "4 _text_to_score")
+    assert toxicity.drop_toxic(clash, labels.limit(0)).schema == clash.schema and toxicity.drop_toxic(clash, labels.limit(0)).count() == 2
     dropped = toxicity.drop_toxic(make(["so well said", None]), labels.limit(0))
     assert dropped.columns == make([]).columns and dropped.count() == 2
     assert toxicity.op9(make([]), labels.limit(0)).count() == 0
@@ -105,6 +110,94 @@ def test_toxicity(spark, make, edge_texts, edge_ids):
     assert toxicity.op9(make(["bad", "good"], [5, 4]), null).count() == 2
 
 
+def slow_features(text):
+    """Words, pairs of neighbours and pairs with one word between, as byte strings."""
+    w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+    return {(x,) for x in w} | {("pair", *x) for x in zip(w, w[1:])} | {("skip", *x) for x in zip(w, w[2:])}
+
+
+def slow_ftrl(texts, labels, alpha=5.0, beta=1.0, l1=4.0, l2=0.01, epochs=4, seed=7):
+    """FTRL-proximal as in the papers, a feature at a time."""
+    rows, share = [slow_features(t) for t in texts], min(max(sum(labels) / len(labels), 1e-6), 1 - 1e-6)
+    often = collections.Counter(f for r in rows for f in r)
+    rows = [[f for f in r if often[f] >= toxicity.LEAST_ROWS] for r in rows]
+    z, n, bias, bias_n = collections.defaultdict(float), collections.defaultdict(float), math.log(share / (1 - share)), 0.0
+
+    def weight(f):
+        if abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            w = {f: weight(f) for f in rows[k]}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - labels[k]
+            for f, x in w.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * x
+                n[f] += g * g
+            bias_n += g * g
+            bias -= 0.1 / (1 + math.sqrt(bias_n)) * g
+    weights = {f: weight(f) for f in z}
+    return lambda t: 1 / (1 + math.exp(-(bias + sum(weights.get(f, 0.0) for f in slow_features(t)))))
+
+
+def test_toxicity_against_a_slow_version(spark, make, edge_texts):
+    """op9's scores, from the choice of the rows to the weights, are those of a plain FTRL over plain features."""
+    rng = random.Random(20)
+    say = lambda bad, n: " ".join(rng.choice(["vile", "Scum!", "you are", "trash,"] if bad and rng.random() < 0.3 else ["tree", "Haus", "walks", "to", "the", "shop.", "été", "x"]) for _ in range(n))
+    toxic = [rng.random() < 0.3 for _ in range(400)]
+    texts = [say(b, rng.randint(1, 40)) for b in toxic] + edge_texts
+    ids = [*range(len(texts) - 1), None]
+    labels = [(k, int(b)) for k, b in enumerate(toxic) if k % 3] + [(5000, 1), (None, 1), (7, None), (8, 1), (8, 0)]
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    y = {k: max(b for j, b in labels if j == k and b is not None) for k in sorted({k for k, b in labels if k is not None and b is not None and k < len(texts)}) if not held(k)}
+    score = slow_ftrl([texts[k] for k in y], list(y.values()))
+    got = {r.doc_id: r for r in toxicity.op9(make(texts, ids), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert len(got) == len(texts)
+    for k, t in zip(ids, texts):
+        assert math.isclose(got[k].score, score(t), abs_tol=1e-9) and got[k].predicted == (score(t) >= 0.3) and got[k].held_out == (k is not None and held(k))
+    assert len({r.predicted for r in got.values()}) == 2
+
+
+def test_the_samples_are_bounded_by_bytes(spark, make):
+    docs = make([f"text number {k} " + "word " * 20 for k in range(100)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, sample_bytes=0).bias == toxicity.fit([], []).bias
+    assert len(toxicity.train(docs, labels, sample_bytes=1000).hashes) <= len(toxicity.train(docs, labels).hashes)
+    many = docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 70))
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    assert language.train(many, sample_rows=10, sample_bytes=10).labels == sorted({f"l{k % 70}" for k in range(100) if not held(k)})
+
+
+def test_a_long_word_counts_whole():
+    word = "ab" * 30
+    assert language.word_features(word, {}) != language.word_features(word[:12] + "xyz" * 12 + word[48:], {})
+
+
+def slow_label(model, text):
+    """The expected share of letters by sums over all labellings of short texts."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    k = len(model.labels)
+    scores = [sum((model.weights[i] for i in language.word_features(w, model.lexicon)), np.zeros(k)) for w in words]
+    share, total = np.zeros(k), 0.0
+    for path in itertools.product(range(k), repeat=len(words)):
+        p = math.exp(model.start[path[0]] + sum(s[y] for s, y in zip(scores, path)) + sum(model.transitions[a, b] for a, b in zip(path, path[1:])))
+        total += p
+        for w, y in zip(words, path):
+            share[y] += p * len(w)
+    return share / total / sum(map(len, words))
+
+
+def test_language_against_all_labellings(spark, make):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    model = language.train(docs, sample=20)
+    texts = ["the house", "la maison des", "und der " + "Donaudampfschiff" * 4, "el perro the der", "x", "été 12 a"]
+    for r in language.identify(make(texts), model).collect():
+        want = slow_label(model, texts[r.doc_id])
+        assert np.allclose([r.shares[x] for x in model.labels], want, atol=2e-3) and r.lang_pred == model.labels[int(want.argmax())]
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(4)
     k, lengths = 3, np.array([4, 1, 0, 3])
