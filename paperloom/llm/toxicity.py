@@ -87,16 +87,19 @@ def _learnable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         x = _once(features(texts))
         x = x[count[(x & np.uint64(2**32 - 1)) >> np.uint64(8)] >= LEAST_ROWS]
         kept.append(x + (np.uint64(rows.start) << np.uint64(32)))
-    x = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-    f = (x & np.uint64(2**32 - 1)).astype(np.uint32)
-    vocabulary = np.sort(f)
-    starts = np.flatnonzero(np.append(True, vocabulary[1:] != vocabulary[:-1])) if len(f) else np.zeros(0, np.int64)
-    often = np.diff(np.append(starts, len(f))) >= LEAST_ROWS
-    vocabulary = vocabulary[starts[often]]
-    at = np.minimum(np.searchsorted(vocabulary, f), max(len(vocabulary) - 1, 0))
-    hit = vocabulary[at] == f if len(vocabulary) else np.zeros(len(f), bool)
-    row = (x[hit] >> np.uint64(32)).astype(np.int64)
-    return vocabulary, np.split(at[hit], np.searchsorted(row, np.arange(1, len(column)))) if len(column) else []
+    vocabulary = np.sort(np.concatenate([np.zeros(0, np.uint32), *((x & np.uint64(2**32 - 1)).astype(np.uint32) for x in kept)]))
+    starts = np.flatnonzero(np.append(True, vocabulary[1:] != vocabulary[:-1])) if len(vocabulary) else np.zeros(0, np.int64)
+    vocabulary = vocabulary[starts[np.diff(np.append(starts, len(vocabulary))) >= LEAST_ROWS]]
+    found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(column)
+    for x in kept if len(vocabulary) else ():
+        f, row = (x & np.uint64(2**32 - 1)).astype(np.uint32), (x >> np.uint64(32)).astype(np.int64)
+        at = np.minimum(np.searchsorted(vocabulary, f), len(vocabulary) - 1).astype(np.int32)
+        hit = vocabulary[at] == f
+        at, row = at[hit], row[hit]
+        heads = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+        for r, part in zip(row[heads].tolist(), np.split(at, heads[1:])):
+            found[r] = part
+    return vocabulary, found
 
 
 def fit(texts: list[str | None] | pa.Array, labels: list[int], alpha: float = 5.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.01, epochs: int = 4, seed: int = 7) -> Model:
@@ -150,15 +153,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     is passed through.
     """
     rest = [c for c in docs.columns if c != name]
-    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("string").alias(free_names(rest, 1)[0]))
-    out = StructType([*[source.schema[c] for c in rest], StructField(name, DoubleType())])
+    # columns go through Python by number, as names with dots can't
+    numbers = [f"c{k}" for k in range(len(rest))]
+    source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(rest, numbers)], F.col(text_col).cast("string").alias("text"))
+    out = StructType([*[source.schema[k] for k in numbers], StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         for batch in batches:
-            yield pa.record_batch([*batch.columns[:-1], pa.array(model.scores(batch.column(len(rest))))], names=[*rest, name])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(model.scores(batch.column(len(rest))))], names=[*numbers, "score"])
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(run, out).toDF(*rest, name)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

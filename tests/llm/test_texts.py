@@ -110,6 +110,10 @@ def test_toxicity(spark, make, edge_texts, edge_ids):
     assert toxicity.op9(make(["bad", "good"], [5, 4]), null).count() == 2
 
 
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
 def slow_features(text):
     """Words, pairs of neighbours and pairs with one word between, as byte strings."""
     w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
@@ -150,7 +154,7 @@ def test_toxicity_against_a_slow_version(spark, make, edge_texts):
     texts = [say(b, rng.randint(1, 40)) for b in toxic] + edge_texts
     ids = [*range(len(texts) - 1), None]
     labels = [(k, int(b)) for k, b in enumerate(toxic) if k % 3] + [(5000, 1), (None, 1), (7, None), (8, 1), (8, 0)]
-    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    held = held_out
     y = {k: max(b for j, b in labels if j == k and b is not None) for k in sorted({k for k, b in labels if k is not None and b is not None and k < len(texts)}) if not held(k)}
     score = slow_ftrl([texts[k] for k in y], list(y.values()))
     got = {r.doc_id: r for r in toxicity.op9(make(texts, ids), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
@@ -166,7 +170,7 @@ def test_the_samples_are_bounded_by_bytes(spark, make):
     assert toxicity.train(docs, labels, sample_bytes=0).bias == toxicity.fit([], []).bias
     assert len(toxicity.train(docs, labels, sample_bytes=1000).hashes) <= len(toxicity.train(docs, labels).hashes)
     many = docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 70))
-    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    held = held_out
     assert language.train(many, sample_rows=10, sample_bytes=10).labels == sorted({f"l{k % 70}" for k in range(100) if not held(k)})
 
 
