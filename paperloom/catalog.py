@@ -34,23 +34,32 @@ def _entries(s: SparkSession, d: str) -> DataFrame:
 def bundle_md5(s: SparkSession, d: str) -> DataFrame:
     """A digest of each entry, and of each source's entries in order; only digests meet."""
     e = _entries(s, d).select(F.regexp_extract("rel_path", "^[^/]*", 0).alias("source"), "rel_path", F.md5(F.col("entry").cast("binary")).alias("digest"))
-    return relations.ordered_text(e, "source", "rel_path", "digest").select("source", F.md5(F.col("digest").cast("binary")).alias("bundle_md5"))
+    return relations.ordered_digest(e, "source", "rel_path", "digest").withColumnRenamed("md5", "bundle_md5")
 
 
 def thread_md5(s: SparkSession, d: str) -> DataFrame:
     c = _t(s, d, "conversations")
     part = F.concat(F.lit("### "), F.col("turn") + 1, F.lit(". "), "role", F.lit("\n\n```\n"), "text", F.lit("\n```\n\n"))
-    return relations.ordered_text(c.select("conv_id", "turn", F.md5(part.cast("binary")).alias("digest")), "conv_id", "turn", "digest").select("conv_id", F.md5(F.col("digest").cast("binary")).alias("thread_md5"))
+    return relations.ordered_digest(c.select("conv_id", "turn", F.md5(part.cast("binary")).alias("digest")), "conv_id", "turn", "digest").withColumnRenamed("md5", "thread_md5")
 
 
 def _bench_stats(s: SparkSession, d: str) -> DataFrame:
-    e = _t(s, d, "events").where("value is not null")
-    return e.groupBy(F.col("event_type").alias("file"), (F.col("user_id") % 7).alias("priority")).agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("runs"))
+    """Events stand for runs of converters: the type is the file, the user the converter, the value the time."""
+    e = _t(s, d, "events").where("value is not null").withColumn("priority", F.col("user_id") % 7)
+    runs = e.select(F.col("event_type").alias("file"), F.substring("event_type", 1, 1).alias("fmt"), F.concat(F.lit("c"), "priority").alias("converter"), "priority", F.lit(0).alias("run"), F.col("value").alias("elapsed"), F.lit("done").alias("text"))
+    return ranking.run_stats(runs)
 
 
 def _bench_rank(s: SparkSession, d: str) -> DataFrame:
-    b = _bench_stats(s, d).withColumn("converter", F.concat(F.lit("c"), "priority")).withColumn("success", F.lit(True)).withColumn("fmt", F.substring("file", 1, 1)).withColumn("accuracy", F.col("priority") / 7)
-    return ranking.scored(b)
+    return ranking.scored(_bench_stats(s, d).withColumn("accuracy", F.col("priority") / 7))
+
+
+def _converters(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts stand for converters that are asked for, line items of over 45 pieces for those that are there."""
+    fmt = F.lit("any").alias("fmt")
+    asked = _t(s, d, "part").select(fmt, F.col("p_partkey").alias("converter"))
+    there = _t(s, d, "lineitem").where("l_quantity > 45").select(fmt, F.col("l_partkey").alias("converter"))
+    return tuple(x.select(F.col("converter").alias("p_partkey")) for x in ranking.active_and_missing(asked, there))
 
 
 def _tables(s: SparkSession, d: str) -> DataFrame:
@@ -60,10 +69,11 @@ def _tables(s: SparkSession, d: str) -> DataFrame:
 
 def _attachment(s: SparkSession, d: str) -> DataFrame:
     """Documents stand for e-mails, labelled ones have a folder; sizes by kind."""
-    docs, labels = _t(s, d, "documents"), _t(s, d, "labels").select(F.col("doc_id").alias("in_folder"), F.col("quality").alias("files"))
-    j = docs.join(labels, docs.doc_id == labels.in_folder, "left")
-    source = F.when(F.col("in_folder").isNotNull() & (F.col("files") > 0), "Local folder").otherwise("Extracted from email")
-    return j.groupBy(T.email_label(source).alias("method")).agg(F.count("*").alias("emails"), F.sum(F.octet_length("text").cast("long")).alias("total_size"))
+    place = F.concat(F.lit("mail/"), F.col("doc_id").cast("string"))
+    emails = _t(s, d, "documents").select(place.alias("dir"), "text")
+    files = _t(s, d, "labels").where("quality > 0").select(F.concat(place, F.lit("/"), F.get(F.array(*map(F.lit, relations.FOLDERS)), (F.col("doc_id") % 4).cast("int"))).alias("dir"))
+    source = F.when(F.col("folder").isNotNull(), "Local folder").otherwise("Extracted from email")
+    return relations.attachment_folder(emails, files).groupBy(T.email_label(source).alias("method")).agg(F.count("*").alias("emails"), F.sum(F.octet_length("text").cast("long")).alias("total_size"))
 
 
 AUTH = ("spf=pass dkim=fail dmarc=pass", "spf=fail spf=pass", "dkim=pass", "none", "")
@@ -106,11 +116,20 @@ def word_bound(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out.unionByName(empty).select("doc_id", "item_id", "common", "doc_words", "item_words", "bound")
 
 
+def best_similarity(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, similarity): each document against the item to whose words it comes nearest by ``word_bound``, the first of equals.
+
+    Documents without a word in common with any item have no row. Only the item's text is added to a document's row.
+    """
+    best = word_bound(docs, items).groupBy("doc_id").agg(F.min_by("item_id", F.struct(-F.col("bound"), "item_id")).alias("item_id"))
+    reference = items.select("item_id", F.coalesce("text", F.lit("")).alias("reference"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(best, "doc_id").join(reference, "item_id").repartition(4 * tasks, "doc_id")
+    return pairs.select("doc_id", "item_id", T.word_similarity("reference", "text").alias("similarity"))
+
+
 def _similarity(s: SparkSession, d: str) -> DataFrame:
-    """Each document against the longest of its source, as converters are against the longest output."""
-    docs = _t(s, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    best = docs.groupBy("source").agg(F.max_by("text", F.struct(F.length("text"), -F.col("doc_id"))).alias("reference"))
-    return docs.join(best, "source").select("doc_id", T.word_similarity("reference", "text").alias("similarity"))
+    return best_similarity(_t(s, d, "documents"), _t(s, d, "benchmark"))
 
 
 def _pages(s: SparkSession, d: str, fn, name: str) -> DataFrame:
@@ -172,8 +191,8 @@ def queries() -> dict[str, Query]:
         "q_markdown_table": lambda s, d: _tables(s, d).select("n_regionkey", T.markdown_table(F.col("cells")).alias("md")),
         "q_table_density": lambda s, d: _tables(s, d).select("n_regionkey", T.cell_density(F.col("cells")).alias("density")),
         "q_converter_first_success": _first_success,
-        "q_converter_missing": lambda s, d: _t(s, d, "part").select("p_partkey").join(_t(s, d, "lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_anti"),
-        "q_converter_active": lambda s, d: _t(s, d, "part").select("p_partkey").join(_t(s, d, "lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_semi"),
+        "q_converter_missing": lambda s, d: _converters(s, d)[1],
+        "q_converter_active": lambda s, d: _converters(s, d)[0],
         "q_attachment_join": _attachment,
         "q_auth_results": _auth,
         "q_bench_stats": lambda s, d: _bench_stats(s, d).select("file", "priority", "runs", F.round("mean", 6).alias("mean"), "min", "max"),

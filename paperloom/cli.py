@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -18,7 +19,7 @@ def suffixes(text: str) -> tuple[str, ...]:
 
 
 def converter_list(fmt: str, text: str | None) -> list[str]:
-    names = [x.strip() for x in (text or "").split(",") if x.strip()]
+    names = [converters.ALIASES.get(x, x) for x in (x.strip() for x in (text or "").split(",")) if x]
     unknown = [x for x in names if x not in converters.REGISTRY[fmt]]
     if unknown:
         print(f"Unknown {fmt} converter: {', '.join(unknown)}; there are {', '.join(converters.REGISTRY[fmt])}", file=sys.stderr)
@@ -38,9 +39,12 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("files", nargs="*")
         p.add_argument("--runs", type=int, default=3)
         p.add_argument("--output-dir", default="benchmark")
-        p.add_argument("--formats", default="")
+        p.add_argument("--formats", default="all")
         a = p.parse_args(argv[1:])
-        _, order = benchmark.run_benchmark(SparkSession.builder.getOrCreate(), a.files, a.output_dir, a.runs, [x.strip() for x in a.formats.split(",") if x.strip()])
+        _, order = benchmark.run_benchmark(SparkSession.builder.getOrCreate(), a.files, a.output_dir, a.runs, benchmark.chosen(a.formats))
+        with open(f"{a.output_dir}/results.json", encoding="utf-8") as f:
+            found = json.load(f)
+        print(benchmark.table(found["results"], found["failed"]))
         print("\n".join(f"{fmt}: {', '.join(own)}" for fmt, own in sorted(order.items())))
         return 0
     p = argparse.ArgumentParser(prog="paperloom")

@@ -51,10 +51,15 @@ def token_count(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(f"[^{WS}]+")) + F.when(text.rlike(rf"[.!?][{WS}]*\z"), 1).otherwise(0)).cast("long")
 
 
+# Units of sizes, each 1024 of the one before.
+UNITS = ("B", "KB", "MB", "GB", "TB")
+
+
 def human_size(size: Column) -> Column:
-    """Bytes to one decimal, ties to even, through B, KB, MB and GB, else TB."""
-    out = F.format_string("%.1f TB", F.bround(size / float(1024**4), 1))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
+    """Bytes to one decimal, ties to even, in the first unit that leaves less than 1024, else the last."""
+    last = len(UNITS) - 1
+    out = F.format_string(f"%.1f {UNITS[last]}", F.bround(size / float(1024**last), 1))
+    for power, unit in reversed([*enumerate(UNITS[:last])]):
         out = F.when(size < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(size / float(1024**power), 1))).otherwise(out)
     return out
 

@@ -221,6 +221,7 @@ REGISTRY: dict[str, dict[str, Callable[[bytes], str | None]]] = {
     "pdf": {
         "mineru": _tables_too(command("mineru", "-p", "IN", "-o", "DIR", "-b", "pipeline", suffix=".pdf", output="in/auto/in.md")),
         "markitdown": command("markitdown", "IN", "-o", "OUT", suffix=".pdf"),
+        "markitdown-uvx": command("uvx", "markitdown", "IN", "-o", "OUT", suffix=".pdf"),
         "pdftotext": command("pdftotext", "-layout", "IN", "OUT", suffix=".pdf"),
         "paddleocr": _tables_too(command("paddleocr", "pp_structurev3", "-i", "IN", "--save_path", "DIR", suffix=".pdf", output="in.md")),
         "builtin-pdf": pdf_to_text,
@@ -232,8 +233,14 @@ REGISTRY: dict[str, dict[str, Callable[[bytes], str | None]]] = {
 }
 
 
+# Names of Python converters whose part the built-in readers take.
+ALIASES = {"pdfplumber": "builtin-pdf", "docx2txt": "builtin-docx", "striprtf": "builtin-rtf"}
+
+
 def available() -> dict[str, list[str]]:
     tools = {"builtin", *filter(shutil.which, ("mineru", "markitdown", "pdftotext", "paddleocr", "pandoc", "unrtf", "ebook-convert", "soffice"))}
+    if shutil.which("uvx"):
+        tools.add("markitdown-uvx")
     return {fmt: [c for c in own if c in tools or c.startswith("builtin")] for fmt, own in REGISTRY.items()}
 
 

@@ -15,7 +15,7 @@ def run_stats(runs: DataFrame) -> DataFrame:
     """From (file, fmt, converter, priority, run, elapsed, text) one row for each file and converter, with its first text that isn't a failure."""
     good = F.col("text").isNotNull() & (F.length("text") > 0) & ~F.col("text").startswith("[Failed")
     return runs.groupBy("file", "fmt", "converter", "priority").agg(
-        F.avg("elapsed").alias("mean"), F.min("elapsed").alias("min"), F.max("elapsed").alias("max"), F.min_by(F.when(good, F.col("text")), F.when(good, F.col("run"))).alias("text")
+        F.avg("elapsed").alias("mean"), F.min("elapsed").alias("min"), F.max("elapsed").alias("max"), F.count("*").alias("runs"), F.min_by(F.when(good, F.col("text")), F.when(good, F.col("run"))).alias("text")
     ).withColumn("success", F.col("text").isNotNull()).withColumn("output_length", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from paperloom.functions.text import char_count, token_count
 # The security check.
 SUSPICIOUS = (".exe", ".bat", ".sh", ".com", ".vbs", ".ps1", ".py", ".rb")
 LARGE, PREFIX = 1024 * 1024, 4096
+# The folder of an e-mail's attachments, in order.
+FOLDERS = ("attachments", "Attachments", "attachment", "Attachment")
 RISKY = r"exec|eval|system|subprocess|os\."
 #: Java's regular expressions mean the same as Python's for patterns of these parts.
 _SHARED = re.compile(r"(?:[\w\s\-_/,:;@=<>~!%&']|\\[.\\dDsSwWbB/\-()\[\]{}+*?^$|]|[.*+?^$|()\[\]]|\{\d+(?:,\d*)?\})*")
@@ -41,7 +45,6 @@ def excluded(name: Column, patterns: list[str]) -> Column:
     for p in java:
         out = out | name.rlike(p)
     if rest:
-        import pandas as pd
 
         @F.pandas_udf("boolean")
         def found(names: pd.Series) -> pd.Series:
@@ -95,13 +98,11 @@ def directory_tree(files: DataFrame) -> DataFrame:
 
 
 def attachment_folder(emails: DataFrame, files: DataFrame) -> DataFrame:
-    """(email, folder): of the four spellings beside each e-mail the first that exists."""
-    # The spellings, in order.
-    spellings = ("attachments", "Attachments", "attachment", "Attachment")
-    found = files.select("dir").distinct().withColumn("leaf", F.substring_index("dir", "/", -1)).where(F.col("leaf").isin(*spellings))
-    found = found.select(F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).otherwise("").alias("parent"), "dir", F.array_position(F.array(*map(F.lit, spellings)), F.col("leaf")).alias("priority"))
+    """``emails`` with ``folder``: of the four spellings beside each e-mail the first that exists, null without one."""
+    found = files.select("dir").distinct().withColumn("leaf", F.substring_index("dir", "/", -1)).where(F.col("leaf").isin(*FOLDERS))
+    found = found.select(F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).otherwise("").alias("parent"), "dir", F.array_position(F.array(*map(F.lit, FOLDERS)), F.col("leaf")).alias("priority"))
     best = found.groupBy("parent").agg(F.min_by("dir", "priority").alias("folder"))
-    return emails.join(best, emails["dir"] == best["parent"], "left").select(F.col("rel_path").alias("email"), "folder")
+    return emails.join(best, emails["dir"] == best["parent"], "left").drop("parent")
 
 
 def first_success(candidates: DataFrame) -> DataFrame:
@@ -113,3 +114,24 @@ def ordered_text(rows: DataFrame, by: str, order: str, text: str, separator: str
     """One text for each group, its parts in order; for groups known to be small (an e-mail, an archive)."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(text).alias("s"))))
     return rows.groupBy(by).agg(F.array_join(F.transform(parts, lambda x: x["s"]), separator).alias(text))
+
+
+def ordered_digest(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
+    """(by, md5) of each group's texts end to end in order. Groups may be of any size: they are sorted by Spark and go through the digest a row at a time."""
+
+    def run(batches):
+        key, digest = None, None
+        for batch in batches:
+            out = []
+            for k, part in zip(batch[by], batch[text]):
+                if digest is None or k != key:
+                    if digest is not None:
+                        out.append((key, digest.hexdigest()))
+                    key, digest = k, hashlib.md5()
+                digest.update((part or "").encode())
+            yield pd.DataFrame(out, columns=[by, "md5"])
+        if digest is not None:
+            yield pd.DataFrame([(key, digest.hexdigest())], columns=[by, "md5"])
+
+    dealt = rows.select(by, order, text).repartition(by).sortWithinPartitions(by, order).select(by, text)
+    return dealt.mapInPandas(run, f"{by} {dict(rows.dtypes)[by]}, md5 string")

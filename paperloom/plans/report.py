@@ -53,7 +53,7 @@ def _header(source: str, when: str, n: int) -> str:
 
 
 def _folder_of(path: str) -> list[tuple[str, bytes]]:
-    for spelling in ("attachments", "Attachments", "attachment", "Attachment"):
+    for spelling in relations.FOLDERS:
         folder = os.path.join(os.path.dirname(path), spelling)
         if os.path.isdir(folder):
             out = []

@@ -1,3 +1,5 @@
+import html
+import re
 from collections import Counter
 
 import duckdb
@@ -6,6 +8,7 @@ import pytest
 import __spark_entry__
 from paperloom import catalog
 from paperloom.functions.text import similarity
+from paperloom.operators import relations
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.01"
@@ -52,6 +55,45 @@ def test_word_bound(spark):
     assert got == want and len(rows) == len(got)
 
 
+def test_best_similarity(spark, sf_dir):
+    """Each document against the item with the highest bound, the same as by a loop over all pairs."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()] + [(-1, None), (-2, "zzz")]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = {}
+    for i, t in docs:
+        bounds = []
+        for k, u in items:
+            a, b = Counter((t or "").split()), Counter(u.split())
+            if c := (a & b).total():
+                bounds.append((-2 * c / (a.total() + b.total()), k, u))
+        if bounds:
+            _, k, u = min(bounds)
+            want[i] = (k, round(similarity(u, t), 4))
+    got = catalog.best_similarity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.item_id, r.similarity) for r in got} == want and len(got) == len(want) > 10
+
+
+def test_attachment_folder(spark):
+    emails = spark.createDataFrame([("a", "a/m.eml"), ("", "n.eml"), ("b", "b/o.eml"), ("c", "c/p.eml")], "dir string, rel_path string")
+    files = spark.createDataFrame([("a/Attachments",), ("a/attachment",), ("Attachment",), ("b/other",), ("d/attachments",)], "dir string")
+    got = {r.rel_path: r.folder for r in relations.attachment_folder(emails, files).collect()}
+    assert got == {"a/m.eml": "a/Attachments", "n.eml": "Attachment", "b/o.eml": None, "c/p.eml": None}
+
+
+def test_converters_of_pages_and_messages(spark, sf_dir):
+    """What the queries without SQL give, against what was put in."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    q = catalog.queries()
+    zips = q["q_zip_members"](spark, sf_dir).collect()
+    assert len(zips) == len(texts) and all(texts[r.doc_id].strip() in r.text for r in zips)
+    mails = q["q_email_compile"](spark, sf_dir).collect()
+    assert all(f"# Email Document: document {r.doc_id}" in r.text and " ".join(texts[r.doc_id].split()) in " ".join(r.text.split()) and r.method == "email+extracted_from_email" for r in mails)
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in q["q_html_to_markdown"](spark, sf_dir).collect():
+        said = re.findall(r"<p>([^<]*)</p>", pages[r.page_id])
+        assert all(" ".join(html.unescape(x).split()) in " ".join(r.markdown.split()) for x in said)
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and rows == sorted(rows, key=lambda r: (-r.chars, r.path))
