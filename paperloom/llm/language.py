@@ -36,17 +36,44 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _hash(feature: str) -> int:
-    return xxhash.xxh32_intdigest(feature.encode("utf-8", "replace"), 6) % HASHED
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _hash(kind: int, *letters: np.ndarray) -> np.ndarray:
+    """Below HASHED, for strings of up to four letters given letter by letter, 0 where they end."""
+    h = np.full(len(letters[0]), kind, np.uint64) * np.uint64(0x27D4EB2F165667C5)
+    for x, f in zip(letters, _FACTORS):
+        h += x * f
+    h ^= h >> np.uint64(33)
+    h *= _FACTORS[3]
+    return ((h >> np.uint64(40)) & np.uint64(HASHED - 1)).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) for many words at a time, in no order: prefixes and suffixes of one to three letters, n-grams of two and three letters
+    of the whole word between ^ and $, each time they occur, short words themselves, and the lexicons that have the word.
+
+    Features are indices, below HASHED for letters and from there for the lexicons.
+    """
+    n = np.array([len(w) for w in words], np.int64)
+    c = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    begin = np.cumsum(n + 2) - n - 2
+    of = np.repeat(np.arange(len(words)), n + 2)
+    left = (begin + n + 2)[of] - np.arange(len(c))
+    first = [np.where(n > k, c[np.minimum(begin + 1 + k, len(c) - 1)], np.uint64(0)) for k in range(4)]
+    last = [np.where(n > k, c[np.maximum(begin + n - k, 0)], np.uint64(0)) for k in range(3)]
+    two, three, short = np.flatnonzero(left >= 2), np.flatnonzero(left >= 3), np.flatnonzero(n <= 4)
+    each = np.arange(len(words))
+    found = [(of[two], _hash(2, c[two], c[two + 1])), (of[three], _hash(3, c[three], c[three + 1], c[three + 2])), (short, _hash(4, *(x[short] for x in first)))]
+    for k in range(1, 4):
+        found += [(each, _hash(10 + k, *first[:k])), (each, _hash(20 + k, *last[:k]))]
+    known = [(i, HASHED + y) for i, w in enumerate(words) for y in lexicon.get(w, ())]
+    found.append(tuple(np.array(known, np.int64).reshape(-1, 2).T))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def word_features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
-    """Indices below HASHED for affixes and the n-grams of the whole word, from there for the lexicons."""
-    inner = f"^{word}$"
-    out = {_hash("w" + word)} if len(word) <= 4 else set()
-    out |= {_hash(f"p{word[:k]}") for k in (1, 2, 3)} | {_hash(f"s{word[-k:]}") for k in (1, 2, 3)}
-    out |= {_hash(inner[k : k + n]) for n in (2, 3) for k in range(len(inner) - n + 1)}
-    return [*out, *(HASHED + k for k in lexicon.get(word, ()))]
+    return features([word], lexicon)[1].tolist()
 
 
 @dataclass(frozen=True)
@@ -57,8 +84,10 @@ class Model:
     start: np.ndarray
     lexicon: dict[str, list[int]]
 
-    def emission(self, word: str) -> np.ndarray:
-        return self.weights[word_features(word, self.lexicon)].sum(axis=0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """The score of each word for each label."""
+        word, feature = features(words, self.lexicon)
+        return np.stack([np.bincount(word, w[feature], minlength=len(words)) for w in self.weights.T], axis=1).astype(np.float32)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -136,10 +165,10 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, rate: float = 0.15
     index: dict[str, int] = {}
     word = np.array([index.setdefault(w, len(index)) for w, _ in flat])
     y = np.array([v for _, v in flat])
-    feats = [word_features(w, lexicon) for w in index]
-    rows = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    cols = np.array([i for f in feats for i in f])
-    starts = np.concatenate(([0], np.cumsum([len(f) for f in feats])[:-1]))
+    rows, cols = features(list(index), lexicon)
+    order = np.argsort(rows, kind="stable")
+    rows, cols = rows[order], cols[order]
+    starts = np.searchsorted(rows, np.arange(len(index)))
     by_col = np.argsort(cols, kind="stable")
     used, at = np.unique(cols[by_col], return_index=True)
     begins = np.cumsum(lengths) - lengths
@@ -151,12 +180,12 @@ def fit(texts: list[str], langs: list[str], rounds: int = 60, rate: float = 0.15
     w, tr, st = np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k)
     place = np.searchsorted(used, cols)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, tr, st)]
-    gold = np.zeros((len(feats), k))
+    gold = np.zeros((len(index), k))
     np.add.at(gold, (word, y), 1)
     for r in range(1, rounds + 1):
         emissions = np.add.reduceat(w[place], starts, axis=0)
         p, moved, begun = forward_backward(emissions[word], lengths, tr, st, pairs=True)
-        expected = np.stack([np.bincount(word, p[:, c], minlength=len(feats)) for c in range(k)], axis=1)
+        expected = np.stack([np.bincount(word, p[:, c], minlength=len(index)) for c in range(k)], axis=1)
         g = np.add.reduceat((gold - expected)[rows[by_col]], at, axis=0)
         grads = [g / len(flat) - 1e-6 * w, (seen - moved) / len(flat), (first - begun) / len(flat)]
         for x, d, (m, v) in zip((w, tr, st), grads, moments):
@@ -192,18 +221,16 @@ class Labeller:
     """Keeps the scores of words that it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.index, self.rows = model, {}, []
+        self.model, self.index, self.table = model, {}, np.zeros((0, len(model.labels)), np.float32)
 
     def scores(self, words: list[list[str]]) -> np.ndarray:
-        if len(self.rows) > REMEMBERED:
+        if len(self.index) > REMEMBERED:
             self.index.clear()
-            self.rows.clear()
-        for w in words:
-            for x in set(w).difference(self.index):
-                self.index[x] = len(self.rows)
-                self.rows.append(self.model.emission(x))
-        table = np.array(self.rows, np.float32).reshape(-1, len(self.model.labels))
-        return table[np.fromiter((i for w in words for i in map(self.index.__getitem__, w)), np.int64)]
+            self.table = self.table[:0]
+        if new := list(set().union(*words).difference(self.index)):
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.table = np.concatenate([self.table, *(self.model.emissions(new[at : at + 20_000]) for at in range(0, len(new), 20_000))])
+        return self.table[np.fromiter((i for w in words for i in map(self.index.__getitem__, w)), np.int64)]
 
     def shares(self, words: list[list[str]]) -> np.ndarray:
         """For each text the expected share of its letters in each language."""
