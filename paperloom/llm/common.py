@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import itertools
 import sys
 import tempfile
 import uuid
@@ -116,16 +117,22 @@ def worker_cache(cache: dict) -> dict:
 
 
 _last: list[tuple[str, int]] = []
+_tasks = itertools.count()
 
 
 def release_caches() -> None:
-    """Called where a task begins: workers serve one operator after another, and a new one finds no caches nor memory of those before."""
+    """Called where a task begins: workers serve one operator after another, and a new one finds no caches of those before.
+
+    Memory is given back then and at every fourth task, as more often would cost more than it saves.
+    """
     caller = sys._getframe(1).f_code
     if _last == [now := (caller.co_filename, caller.co_firstlineno)]:
-        return
-    _last[:] = [now]
-    for cache in _caches:
-        cache.clear()
+        if next(_tasks) % 4:
+            return
+    else:
+        _last[:] = [now]
+        for cache in _caches:
+            cache.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

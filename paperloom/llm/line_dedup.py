@@ -301,7 +301,7 @@ def _named(rows: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.ndarra
             pairs.append(np.stack([e, f, np.append(sure[one], sure[other])]))
             near.append(np.append(close[one], close[other]))
             held += len(e)
-            if held > 1_000_000:
+            if held > 250_000:
                 named, close = _nearest(pairs, near, most)
                 pairs, near, held = [named], [close], 0
                 # what lies further on isn't looked at for those that have a sure one
