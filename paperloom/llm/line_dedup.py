@@ -69,7 +69,7 @@ def word_counts(source: DataFrame) -> DataFrame:
             order = np.argsort(all_)
             all_, n = all_[order], np.concatenate(n)[order]
         at = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.zeros(0, np.int64)
-        return all_[at], np.diff(np.append(at, len(all_))) if n is None else np.add.reduceat(n, at) if len(at) else n
+        return all_[at], np.diff(np.append(at, len(all_))).astype(np.int32) if n is None else np.add.reduceat(n, at) if len(at) else n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
@@ -81,7 +81,7 @@ def word_counts(source: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(range(parts), pa.int32()), *(pa.array([x.tobytes() for x in np.split(c, cut)], pa.binary()) for c in (words, n))], names=["part", "words", "n"])
 
         for batch in batches:
-            for _, texts in texts_of(batch.column(2)):
+            for _, texts in texts_of(batch.column(0)):
                 held.append(texts.words()[2])
                 size += len(held[-1])
                 if size > COUNTED:
@@ -96,7 +96,7 @@ def word_counts(source: DataFrame) -> DataFrame:
         for batch in batches:
             for w, k in zip(batch.column(1), batch.column(2)):
                 words.append(np.frombuffer(w.as_buffer(), np.uint64))
-                n.append(np.frombuffer(k.as_buffer(), np.int64))
+                n.append(np.frombuffer(k.as_buffer(), np.int32).astype(np.int64))
                 if sum(map(len, words[1:])) > max(COUNTED, len(words[0])):
                     words, n = ([x] for x in counted(words, n))
         words, n = counted(words, n)
@@ -104,7 +104,7 @@ def word_counts(source: DataFrame) -> DataFrame:
             few = n[at : at + (1 << 16)] > 1
             yield pa.record_batch([pa.array(words[at : at + (1 << 16)][few].view(np.int64)), pa.array(n[at : at + (1 << 16)][few])], names=["word", "n"])
 
-    return source.mapInArrow(count, "part int, words binary, n binary").repartition(parts, "part").mapInArrow(summed, "word long, n long")
+    return source.select("text").mapInArrow(count, "part int, words binary, n binary").repartition(parts, "part").mapInArrow(summed, "word long, n long")
 
 
 def level(n: np.ndarray | int) -> np.ndarray:
