@@ -51,10 +51,14 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/paperloom-{what}-{uuid.uuid4().hex}"
 
 
+#: Hashes and numbers hardly repeat: dictionaries would double the time of writing and give larger files.
+TABLE = {"parquet.enable.dictionary": "false", "compression": "lz4_raw"}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: cuts lineage, outlives lost executors, and gives AQE real sizes."""
     folder = new_folder(df.sparkSession, what)
-    df.write.parquet(folder)
+    df.write.options(**TABLE).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
