@@ -244,14 +244,19 @@ def _sure(most: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
 GROUP = ("key", "n", "id", "lid", "place", *SIG, "asked")
 
 
-def _passes(a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positional and signature filter for pairs of lines (columns n, place, s0 to s3, all four in one): what passes, how many bits differ for each that may, and whether so few that a match is all but sure."""
-    most = (a[0] + b[0]) * ((1 - t) / (1 + t)) + 1e-9
-    differ = np.bitwise_count((a[6] ^ b[6]).view(np.uint64)).astype(np.float64)
+def _passes(a: np.ndarray, b: np.ndarray, t: float, i: np.ndarray | slice = slice(None), j: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature filter for pairs of lines (columns n, place, s0 to s3, all four in one): what passes, how many bits differ for each that may, and whether so few that a match is all but sure.
+
+    The pairs are those of ``i`` in ``a`` with ``j`` in ``b``; s0 to s3 are looked at for long lines only.
+    """
+    n, m = a[0][i], b[0][j]
+    most = (n + m) * ((1 - t) / (1 + t)) + 1e-9
+    differ = np.bitwise_count((a[6][i] ^ b[6][j]).view(np.uint64)).astype(np.float64)
     ok, sure = differ <= most, differ <= _sure(most, 64)
-    long = np.flatnonzero(ok & (np.minimum(a[0], b[0]) > TWO))
+    long = np.flatnonzero(ok & (np.minimum(n, m) > TWO))
     if len(long):
-        x, four = (a[2:6, long] ^ b[2:6, long]).view(np.uint64), np.minimum(a[0, long], b[0, long]) > FOUR
+        one, other = (np.arange(len(x[0]))[k][long] for x, k in ((a, i), (b, j)))
+        x, four = (a[2:6, one] ^ b[2:6, other]).view(np.uint64), np.minimum(n, m)[long] > FOUR
         differ[long] = np.bitwise_count(np.where(four, x, np.stack([x[0] ^ x[2], x[1] ^ x[3], 0 * x[0], 0 * x[0]]))).sum(axis=0)
         ok[long] = differ[long] <= most[long]
         sure[long] = differ[long] <= _sure(most[long], np.where(four, 256, 128))
@@ -270,30 +275,30 @@ def _nearest(pairs: list[np.ndarray], near: list[np.ndarray], most: int) -> tupl
     return a[:, keep], near_[keep]
 
 
-def _named(rows: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _named(rows: list[np.ndarray], t: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows of whole groups (columns GROUP): pairs (earlier, later) to verify and the later ones that have more.
 
     Lines of one id may be either. With ``asked`` only rows where it is true are looked at as later ones, and none is
     sure: such have been verified in vain.
     """
-    size, all_ = rows.shape[1], rows.shape[0] < len(GROUP)
-    group = np.cumsum(np.append(0, rows[0, 1:] != rows[0, :-1]))
-    n, ids = rows[1], rows[2]
+    size, all_ = len(rows[0]), len(rows) < len(GROUP)
+    group = np.cumsum(np.append(0, rows[0][1:] != rows[0][:-1]))
+    n, ids, lids = rows[1].astype(np.int64), rows[2], rows[3]
     reach = np.minimum(np.floor(n / t + 1e-9).astype(np.int64), 2**31 - 1)
     last = np.searchsorted((group << 32) | n, (group << 32) | reach, "right") - 1  # the length filter
-    left, x = n - rows[4] - 1, np.vstack([n, rows[4:9], np.bitwise_xor.reduce(rows[5:9])])
+    left, x = n - rows[4] - 1, np.vstack([n, *rows[4:9], rows[5] ^ rows[6] ^ rows[7] ^ rows[8]])
     wanted = np.ones(size, bool) if all_ else rows[9].astype(bool)
     share, count = t / (1 + t), np.zeros(size, np.int64)
     pairs, near, held = [np.zeros((3, 0), np.int64)], [np.zeros(0)], 0
-    a, d = np.arange(size), 1
+    a, d, untouched = np.arange(size), 1, all_
     while len(a := a[last[a] >= a + d]):
-        i = a[wanted[a] | wanted[a + d]]
+        i = a if untouched else a[wanted[a] | wanted[a + d]]
         i = i[1 + np.minimum(left[i], left[i + d]) >= (n[i] + n[i + d]) * share - 1e-9]
         if len(i):
-            ok, close, sure = _passes(x[:, i], x[:, i + d], t)
+            ok, close, sure = _passes(x, x, t, i, i + d)
             i, close, sure = i[ok], close[ok], sure[ok] & all_
             j = i + d
-            two = rows[3, i] != rows[3, j]  # hashes of two words of a line may be equal
+            two = lids[i] != lids[j]  # hashes of two words of a line may be equal
             one, other = two & (ids[i] <= ids[j]) & wanted[j], two & (ids[i] >= ids[j]) & wanted[i]
             e, f = np.append(i[one], j[other]), np.append(j[one], i[other])
             if len(f):
@@ -308,6 +313,7 @@ def _named(rows: np.ndarray, t: float, most: int) -> tuple[np.ndarray, np.ndarra
                 done = named[1, (named[2] == 1) & (ids[named[0]] != ids[named[1]])]
                 count[done] += 1
                 wanted[done] = False
+                untouched = untouched and not len(done)
         d += 1
     (e, f, _), _ = _nearest(pairs, near, most)
     return e, f, np.flatnonzero(count > np.bincount(f, minlength=size))
@@ -354,27 +360,31 @@ def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: D
     total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // SENT)
 
+    narrow = np.uint16 if parts < 1 << 16 else np.uint32  # of 16 bits a stable sort is by radix
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         held, size = [], 0
 
         def sent() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            part = (columns[0].astype(np.uint64) * np.uint64(0x9E3779B1) % np.uint64(2**32) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
+            sizes, token, *columns = (np.concatenate(c) for c in zip(*held))
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            place = columns[3][of] + (np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            part = (token.astype(np.uint64) * np.uint64(0x9E3779B1) % np.uint64(2**32) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(part.astype(narrow), kind="stable")
+            of = of[order]
+            rows = [token[order], *(c[of] for c in columns)]
+            rows[4] = place[order].astype(KINDS[4])
             present, at = np.unique(part[order], return_index=True)
-            columns = [c[order] for c in columns]
-            pieces = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)])]
+            pieces = [b"".join(c[a:b].tobytes() for c in rows) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)])]
             return pa.record_batch([pa.array(present.astype(np.int32)), pa.array(pieces, pa.binary())], names=["part", "rows"])
 
         for batch in batches:
             lists = batch.column(9)
-            sizes = lists.value_lengths().to_numpy()
-            n, id_, lid, s0, s1, s2, s3, asked_, place = (np.repeat(c.to_numpy(), sizes) for c in batch.columns[:9])
-            place = place + np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            columns = (lists.flatten().to_numpy().view(np.uint32), n, id_, lid, place, s0, s1, s2, s3, asked_)
-            held.append([c.astype(k) for c, k in zip(columns, KINDS)])
-            size += len(n)
+            n, id_, lid, s0, s1, s2, s3, asked_, place = (c.to_numpy() for c in batch.columns[:9])
+            columns = [c.astype(k, copy=False) for c, k in zip((n, id_, lid, place, s0, s1, s2, s3, asked_), KINDS[1:])]
+            held.append([lists.value_lengths().to_numpy(), lists.flatten().to_numpy().view(np.uint32), *columns])
+            size += len(held[-1][1])
             if size > SENT:
                 yield sent()
                 held, size = [], 0
@@ -393,10 +403,11 @@ def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: D
                 for c, k in zip(columns, KINDS):
                     c.append(np.frombuffer(data, k, n, at))
                     at += n * np.dtype(k).itemsize
-            rows = np.stack([np.concatenate(c).astype(np.int64) for c in columns])
+            rows = [np.concatenate(c) for c in columns]
             del columns
-            rows = rows[:, np.argsort((rows[0] << 32) | rows[1])]
-            e, f, more = _named(rows if again else rows[:9], t, most)
+            order = np.argsort((rows[0].astype(np.int64) << 32) | rows[1])
+            rows = [c[order] for c in (rows if again else rows[:9])]
+            e, f, more = _named(rows, t, most)
             k, lid = len(more), rows[3]
             yield pa.record_batch([pa.concat_arrays([pa.array(lid[e]), pa.nulls(k, pa.int64())]), pa.array(np.append(lid[f], lid[more])), pa.array(np.append(np.zeros(len(e), bool), np.ones(k, bool)))], names=["a", "b", "more"])
 
