@@ -8,8 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are looked at in one go; a longer text is one go.
@@ -27,6 +25,10 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
 @dataclass
 class Texts:
     """``data``: the texts end to end, A-Z lower-cased; text d is data[starts[d]:starts[d + 1]]."""
@@ -40,7 +42,7 @@ class Texts:
         if not n:
             none = np.zeros(0, np.int64)
             return none, none, none.astype(np.uint64)
-        apart = separators[self.data]
+        apart = (self.data == 32) | (self.data - np.uint8(9) < 5) if separators is SPACE else separators[self.data]
         edge = np.zeros(n + 1, bool)  # a text begins here
         edge[self.starts] = True
         begins = ~apart
@@ -51,7 +53,9 @@ class Texts:
         up, down = _power(n)
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        np.add(self.data, np.uint64(1), out=total[1:])
+        total[1:] *= up[:n]
+        np.cumsum(total[1:], out=total[1:])
         h = (total[e] - total[s]) * down[s]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
@@ -93,5 +97,5 @@ def texts_of(column: pa.Array) -> Iterator[tuple[slice, Texts]]:
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + AT_ONCE, "right")) - 1)
-        yield slice(at, to), Texts(LOWER[data[offsets[at] : offsets[to]]], offsets[at : to + 1] - offsets[at])
+        yield slice(at, to), Texts(lowered(data[offsets[at] : offsets[to]]), offsets[at : to + 1] - offsets[at])
         at = to
