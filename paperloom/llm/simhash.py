@@ -5,7 +5,9 @@ non-zero vector m(i) of radius + 1 bits, and mask v keeps the bits whose vector
 ``radius`` differing bits span at most ``radius`` dimensions, so some v is orthogonal to all of them; under that mask
 the two fingerprints are equal. No pair within the radius is missed, and buckets are verified exactly.
 
-Where a similarity is asked for, least hashes in bands find the candidates and the sets of shingles verify them.
+Where a similarity is asked for, pairs lie too far apart for that. Then SimHash goes over the distinct shingles and has
+``TABLES`` times 16 bits: texts that agree in ``BITS`` bits of some 16 meet in a bucket, are candidates if the first
+``64 * WORDS`` bits differ in at most ``APART``, and the sets of shingles verify them.
 """
 
 from __future__ import annotations
@@ -27,9 +29,14 @@ from paperloom.llm.common import connected_components, first_of_equals, free_nam
 BLOCK = 8192
 #: The same for sets of shingles, which are larger.
 SETS = 1024
-#: A pair with Jaccard s shares a band with a probability of 1 - (1 - s**ROWS)**BANDS.
-BANDS, ROWS = 42, 6
-_FACTORS = np.array([x | 1 for x in map(random.Random(10).getrandbits, [64] * (BANDS * ROWS))], np.uint64)
+#: Of two sets with Jaccard 0.8 a bit differs with a probability of at most q = 0.1515 (0.162 where sets are small), so
+#: they share no bucket with one of (1 - (1 - q)**BITS)**TABLES: 3 in ten million (3 in a million).
+TABLES, BITS = 100, 12
+#: Of 192 bits such a pair differs in 29, in over 56 with one of 3 in ten million (2 in a million); unrelated texts in 96.
+WORDS, APART = 3, 56
+#: Rows that are compared at a time in groups of up to SMALL rows.
+ROWS, SMALL = 32768, 256
+_FACTORS = np.array([x | 1 for x in map(random.Random(10).getrandbits, [64] * (TABLES // 4))], np.uint64)
 
 
 def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
@@ -96,6 +103,12 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ, each a number or a row of numbers."""
+    differ = np.bitwise_count(a ^ b)
+    return differ if differ.ndim == 1 else differ.sum(axis=1)
+
+
 def _stars(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """For each set of fingerprints linked within one bucket, edges from its first to the others. Exact; no pairs are kept."""
     out, left = [], np.arange(len(fps))
@@ -103,7 +116,7 @@ def _stars(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, in
         root, left = left[0], left[1:]
         todo = [root]
         while todo and len(left):
-            near = np.bitwise_count(fps[left] ^ fps[todo.pop()]) <= radius
+            near = _apart(fps[left], fps[todo.pop()]) <= radius
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -173,38 +186,109 @@ def _set_key(shingles: np.ndarray) -> int:
     return struct.unpack("<q", struct.pack("<Q", xxhash.xxh3_64_intdigest(shingles.astype("<u8").tobytes())))[0]
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS numbers; each is equal for two sets with a probability of their Jaccard similarity."""
-    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), 512):
-        np.minimum(out, (_FACTORS[:, None] * shingles[None, at : at + 512]).min(axis=1), out=out)
-    return out
+def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of TABLES * 16 bits over distinct shingles, as numbers of 64 bits: each shingle has a hash of that length, a bit is 1 if set in over half of them."""
+    ones = np.zeros(TABLES * 16, np.int64)
+    for at in range(0, len(shingles), 255):  # so many fit in a byte
+        x = shingles[at : at + 255, None] * _FACTORS
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(shingles), bitorder="little").view("<u8").astype(np.uint64)
+
 
+def buckets_of(shingles: np.ndarray, bits: np.ndarray) -> list[int]:
+    """One bucket in each table by the bits of the long fingerprint; none for an empty set.
 
-def bands_of(shingles: np.ndarray) -> list[int]:
-    """A hash for each band of the set's least hashes; none for an empty set."""
+    Sums over four or five shingles are too coarse (a bit differs with a probability of 0.19): such sets also have
+    buckets, negative ones, for every four of their shingles, as with Jaccard 0.8 they are equal or have four in common.
+    """
     if not len(shingles):
         return []
-    rows = min_hashes(shingles).astype("<u8").reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+    out = ((bits.astype("<u8").view("<u2") & (2**BITS - 1)) + (np.arange(TABLES) << BITS)).tolist()
+    if len(shingles) in (4, 5):
+        out += [_set_key(np.array(four, np.uint64)) % 2**31 - 2**31 for four in itertools.combinations(shingles.tolist(), 4)]
+    return out
 
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, fp, key, bands) for every row; equal sets of shingles have equal keys."""
+    """(id, h, fp, key, p0.., buckets) for every row: the first WORDS numbers of the long fingerprint, and its buckets; equal sets of shingles have equal keys."""
+    parts = [f"p{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         for batch in batches:
-            fps, keys, bands = [], [], []
+            fps, keys, prints, buckets = [], [], [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), words)
                 own = np.unique(hashes)
+                bits = long_fingerprint(own)
                 fps.append(_simhash(hashes))
                 keys.append(_set_key(own))
-                bands.append(bands_of(own))
-            yield pa.record_batch([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "h", "fp", "key", "bands"])
+                prints.append(bits[:WORDS])
+                buckets.append(buckets_of(own, bits))
+            first = np.array(prints, np.uint64).reshape(-1, WORDS).view(np.int64)
+            columns = [*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.int64()), *(pa.array(first[:, k].copy()) for k in range(WORDS)), pa.array(buckets, pa.list_(pa.int32()))]
+            yield pa.record_batch(columns, names=["id", "h", "fp", "key", *parts, "buckets"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, f"id long, h long, fp long, key long, {', '.join(f'{p} long' for p in parts)}, buckets array<int>")
+
+
+def close_edges(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between the keys of ``prints`` (key, p0.., buckets) that link all rows that share a bucket and differ in at most APART bits, directly or through others."""
+    parts = [f"p{k}" for k in range(WORDS)]
+    # rows of a negative bucket are candidates whatever their bits
+    rows = prints.select("key", F.explode("buckets").alias("g"), *parts)
+    rows = rows.select(F.col("g").cast("long").alias("g"), "key", *[F.when(F.col("g") < 0, F.lit(0).cast("long")).otherwise(F.col(p)).alias(p) for p in parts])
+    crowded = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks.cast("long")).cast("int")
+    met = rows.join(F.broadcast(crowded), "g", "left")
+    # a bucket that is large is dealt out under a name for each pair of blocks; names that clash only meet more rows
+    other = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
+    dealt = met.select("g", "n", "key", *parts, own.alias("own"), other.alias("with"))
+    name = F.when(F.col("n").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.least("own", "with"), F.greatest("own", "with")))
+    sorted_ = dealt.select(name.alias("g"), "key", *parts).repartition("g").sortWithinPartitions("g")
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, h long, fp long, key long, bands array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        held: list[np.ndarray] = []
+        for rows_ in itertools.chain(whole_groups(batches, ("g", "key", *parts), 1), [None]):
+            if rows_ is not None:
+                held.append(rows_)
+            if held and (rows_ is None or sum(x.shape[1] for x in held) >= ROWS):
+                yield _close_of(np.concatenate(held, axis=1))
+                held = []
+
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
+
+
+def _close_of(rows: np.ndarray) -> pa.RecordBatch:
+    """Rows with none near them are most and go first, by comparing each with the one next to it, the one after that, and so on."""
+    starts = np.concatenate(([0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1))
+    sizes = np.diff(np.append(starts, rows.shape[1]))
+    size = np.repeat(sizes, sizes)
+    stay = size > SMALL
+    small = rows[:, ~stay]
+    near, prints = np.zeros(small.shape[1], bool), small[2:].view(np.uint64)
+    for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+        apart = np.bitwise_count(prints[:, d:] ^ prints[:, :-d]).sum(axis=0, dtype=np.uint8)
+        hit = np.flatnonzero((apart <= APART) & (small[0, d:] == small[0, :-d]))
+        near[hit] = near[hit + d] = True
+    stay[np.flatnonzero(~stay)[near]] = True
+    rows = rows[:, stay]
+    edges = []
+    if rows.shape[1]:
+        starts = np.concatenate(([0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1))
+        sizes = np.diff(np.append(starts, rows.shape[1]))
+        two = starts[sizes == 2]
+        two = two[_apart(rows[2:, two].T.view(np.uint64), rows[2:, two + 1].T.view(np.uint64)) <= APART]
+        edges.append(np.stack([rows[1, two], rows[1, two + 1]], axis=1))
+        for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            if found := _stars(np.ascontiguousarray(rows[2:, a : a + n].T).view(np.uint64), rows[1, a : a + n], APART):
+                edges.append(np.array(found, dtype=np.int64))
+    out = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+    return pa.record_batch([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["a", "b"])
 
 
 def _spots(ids: np.ndarray) -> np.ndarray:
@@ -256,13 +340,11 @@ def set_edges(keys: list[int], sets: list[np.ndarray], similarity: float) -> lis
 def similar_edges(docs: DataFrame, prints: DataFrame, distinct: DataFrame, words: int, similarity: float, id_col: str, text_col: str, block: int = SETS) -> DataFrame:
     """Edges (a, b) between the keys of ``distinct`` (key, rep) that link the sets of shingles with Jaccard ``similarity`` or more.
 
-    Sets that share a band fall into one candidate component. Each component's sets then meet, large ones in pairs of
-    blocks, and are compared exactly; the sets are made anew, as only candidates need them.
+    Sets whose long fingerprints are close fall into one candidate component. Each component's sets then meet, large
+    ones in pairs of blocks, and are compared exactly; the sets are made anew, as only candidates need them.
     """
-    banded = prints.select("key", F.explode("bands").alias("k")).distinct()
-    shared = banded.groupBy("k").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = banded.join(shared, "k").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    rough = written(connected_components(stars), "candidates")
+    once = prints.groupBy("key").agg(*[F.first(c).alias(c) for c in prints.columns if c not in ("id", "h", "fp", "key")])
+    rough = written(connected_components(close_edges(written(once, "once"))), "candidates")
     sizes = rough.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks.cast("long")).cast("int")
@@ -309,15 +391,15 @@ def _classes(docs: DataFrame, radius: int, words: int, id_col: str, text_col: st
     components = written(connected_components(links), "components")
     member = distinct.join(components, distinct.key == components.node, "left").select("key", "least", F.coalesce("component", "key").alias("c"))
     least = member.groupBy("c").agg(F.min("least").alias("least"))
-    return prints.drop("bands"), written(member.drop("least").join(least, "c").select("key", "least"), "classes")
+    return prints.select("id", "h", "fp", "key"), written(member.drop("least").join(least, "c").select("key", "least"), "classes")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """(doc_id, fp long, component_id): the component is the smallest id reachable over links of at most ``radius`` bits.
 
     With ``similarity`` the links are instead between texts whose sets of shingles have that Jaccard similarity or more,
-    checked exactly; fingerprints are then only returned. Candidates share one of BANDS bands of ROWS least hashes, by
-    which a pair at 0.8 is missed with a probability of 3 in a million.
+    checked exactly. Candidates are found by a longer SimHash than the one returned; a pair at 0.8 is missed with a
+    probability of at most 5 in a million, by calculation.
 
     Null and blank texts share fingerprint zero and are linked like any other; a null id sorts before all others and
     stays null (-2**63 counts as null); rows that repeat an id each keep their own fingerprint and row; fingerprints

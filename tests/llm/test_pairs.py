@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -142,6 +143,77 @@ def test_near_copies_by_similarity(make, vocabulary):
     assert simhash.near_duplicates(make([]), **corpus_pipeline.NEAR).count() == 0
 
 
+def slow_long_fingerprint(hashes):
+    """As one number of TABLES * 16 bits."""
+    mask, sums = 2**64 - 1, [0] * (simhash.TABLES * 16)
+    for h in hashes:
+        for w, factor in enumerate(simhash._FACTORS.tolist()):
+            x = h * factor & mask
+            x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & mask
+            x ^= x >> 32
+            for b in range(64):
+                sums[w * 64 + b] += 1 if x >> b & 1 else -1
+    return sum(1 << b for b, n in enumerate(sums) if n > 0)
+
+
+def test_long_fingerprints(vocabulary):
+    """Bits are those of a majority; pairs at Jaccard 0.8 differ in some 15 % of them, whatever the place of a bit, unrelated ones in half."""
+    rng = random.Random(31)
+    hashes = lambda n: [rng.getrandbits(64) for _ in range(n)]
+    for n in (1, 2, 5, 254, 255, 256, 600):
+        own = sorted(hashes(n))
+        bits = simhash.long_fingerprint(np.array(own, np.uint64))
+        whole = sum(x << (64 * k) for k, x in enumerate(bits.tolist()))
+        assert whole == slow_long_fingerprint(own)
+        assert simhash.buckets_of(np.array(own, np.uint64), bits)[: simhash.TABLES] == [(t << simhash.BITS) + (whole >> 16 * t) % 2**simhash.BITS for t in range(simhash.TABLES)]
+    near, far = np.zeros(simhash.TABLES * 16, int), np.zeros(simhash.TABLES * 16, int)
+    say = lambda n: [" ".join(rng.choices(vocabulary, k=5)) for _ in range(n)]
+    bits_of = lambda grams: np.unpackbits(simhash.long_fingerprint(np.unique([xxhash.xxh64_intdigest(g, 42) for g in grams]).astype(np.uint64)).view(np.uint8), bitorder="little")
+    for _ in range(200):
+        base = say(160)
+        a, b = bits_of(base + say(20)), bits_of(base + say(20))
+        near += a != b
+        far += a != bits_of(say(180))
+    assert abs(near.mean() / 200 - 0.1515) < 0.005 and near.max() / 200 < 0.27
+    assert abs(far.mean() / 200 - 0.5) < 0.01
+
+
+def test_close_edges(spark):
+    """Those of brute force over all that share a bucket, in small groups and in groups dealt out in blocks; a bucket below zero joins whatever the bits."""
+    rng = random.Random(32)
+    rows, word = [], lambda: rng.getrandbits(192)
+    for _ in range(25):
+        x, buckets = word(), rng.sample(range(40), 3)
+        for _ in range(rng.randint(1, 12)):
+            rows.append((x, sorted({*buckets[: rng.randint(1, 3)], rng.randrange(40)} | ({-5} if rng.random() < 0.05 else set()))))
+            for b in rng.sample(range(192), rng.randint(1, 70)):
+                x ^= 1 << b
+    crowd = word()
+    rows += [(crowd ^ sum(1 << b for b in rng.sample(range(192), 20)), [77]) for _ in range(300)] + [(word(), [77]) for _ in range(100)]
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    table = spark.createDataFrame([(k, *(signed(x >> 64 * p & 2**64 - 1) for p in range(3)), b) for k, (x, b) in enumerate(rows)], "key long, p0 long, p1 long, p2 long, buckets array<int>")
+    linked = lambda a, b: bool(s := set(a[1]) & set(b[1])) and (min(s) < 0 or (a[0] ^ b[0]).bit_count() <= simhash.APART)
+    want = components(rows, linked)
+    assert len(set(want)) < len(want) - 300
+    for block in (8192, 50, 3):
+        found = {r.node: r.component for r in common.connected_components(simhash.close_edges(table, block)).collect()}
+        assert [found.get(k, k) for k in range(len(rows))] == want
+
+
+def test_near_copies_are_named_by_simhash(spark, make, vocabulary, monkeypatch):
+    """No link of short texts is lost (nine words and eight of them); without fingerprints there are no links."""
+    rng = random.Random(33)
+    texts = []
+    for _ in range(150):
+        w = rng.choices(vocabulary, k=9)
+        texts += [" ".join(w), " ".join(w[:8] if rng.random() < 0.5 else w[1:])]
+    docs = make(texts)
+    pairs = [r.component_id for r in simhash.near_duplicates(docs, words=5, similarity=0.8).orderBy("doc_id").collect()]
+    assert pairs == [k // 2 * 2 for k in range(300)]
+    monkeypatch.setattr(simhash, "close_edges", lambda prints: prints.selectExpr("key a", "key b").limit(0))
+    assert [r.component_id for r in simhash.near_duplicates(docs, words=5, similarity=0.8).orderBy("doc_id").collect()] == list(range(300))
+
+
 def test_set_edges_in_blocks(spark, make, vocabulary, monkeypatch):
     monkeypatch.setattr(simhash.similar_edges, "__defaults__", (3,))
     rng = random.Random(13)
