@@ -8,6 +8,7 @@ import gc
 import itertools
 import sys
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -59,9 +60,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: cuts lineage, outlives lost executors, and gives AQE real sizes."""
     folder = new_folder(df.sparkSession, what)
     df.write.options(**TABLE).parquet(folder)
+    collect_garbage(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Seconds between two collections on the driver.
+COLLECTED_EVERY = 10
+_collected = [0.0]
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the driver forget plans, broadcasts and task results of what is done, now and then; Spark drops shuffle files and broadcasts only when these are collected."""
+    if time.monotonic() - _collected[0] >= COLLECTED_EVERY:
+        give_back()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def id_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
@@ -120,6 +135,14 @@ def worker_cache(cache: dict) -> dict:
     return cache
 
 
+def give_back() -> None:
+    """Memory of this Python process that isn't used any more goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _last: list[tuple[str, int]] = []
 _tasks = itertools.count()
 
@@ -137,10 +160,7 @@ def release_caches() -> None:
         _last[:] = [now]
         for cache in _caches:
             cache.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
 
 
 #: Rows hold whole documents: so many at most go to a Python worker at a time.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from paperloom.llm.bytewords import Texts, texts_of
-from paperloom.llm.common import free_names, held_out, release_caches
+from paperloom.llm.common import free_names, give_back, held_out, release_caches
 
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their id, ...
 SAMPLE = 10_000
@@ -82,22 +82,25 @@ def _learnable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     count = np.zeros(1 << 24, np.uint16 if len(column) < 65_536 else np.uint32)
     for _, texts in texts_of(column):
         np.add.at(count, (_once(features(texts)) & np.uint64(2**32 - 1)) >> np.uint64(8), 1)
-    kept = []
+    kept = []  # for each go its first text, how many features its texts have, and these
     for rows, texts in texts_of(column):
         x = _once(features(texts))
         x = x[count[(x & np.uint64(2**32 - 1)) >> np.uint64(8)] >= LEAST_ROWS]
-        kept.append(x + (np.uint64(rows.start) << np.uint64(32)))
-    vocabulary = np.sort(np.concatenate([np.zeros(0, np.uint32), *((x & np.uint64(2**32 - 1)).astype(np.uint32) for x in kept)]))
-    starts = np.flatnonzero(np.append(True, vocabulary[1:] != vocabulary[:-1])) if len(vocabulary) else np.zeros(0, np.int64)
-    vocabulary = vocabulary[starts[np.diff(np.append(starts, len(vocabulary))) >= LEAST_ROWS]]
+        kept.append((rows.start, np.bincount((x >> np.uint64(32)).astype(np.int64), minlength=rows.stop - rows.start), (x & np.uint64(2**32 - 1)).astype(np.uint32)))
+    del count
+    vocabulary = np.concatenate([np.zeros(0, np.uint32), *(f for _, _, f in kept)])
+    vocabulary.sort()
+    # equal ones lie side by side: one that is the same LEAST_ROWS - 1 further on, and not the same as the one before
+    often = vocabulary[: max(0, len(vocabulary) - LEAST_ROWS + 1)] == vocabulary[LEAST_ROWS - 1 :]
+    often[1:] &= vocabulary[1 : len(often)] != vocabulary[: max(0, len(often) - 1)]
+    vocabulary = vocabulary[: len(often)][often]
     found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(column)
-    for x in kept if len(vocabulary) else ():
-        f, row = (x & np.uint64(2**32 - 1)).astype(np.uint32), (x >> np.uint64(32)).astype(np.int64)
+    while kept and len(vocabulary):
+        start, sizes, f = kept.pop()
         at = np.minimum(np.searchsorted(vocabulary, f), len(vocabulary) - 1).astype(np.int32)
         hit = vocabulary[at] == f
-        at, row = at[hit], row[hit]
-        heads = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-        for r, part in zip(row[heads].tolist(), np.split(at, heads[1:])):
+        ends = np.append(0, np.cumsum(hit))[np.cumsum(sizes)]
+        for r, part in enumerate(np.split(at[hit], ends[:-1]), start):
             found[r] = part
     return vocabulary, found
 
@@ -142,7 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     got = got.sort_by("_id")
     texts, y = pa.concat_arrays([pa.array([], pa.large_string()), *(c.cast(pa.large_string()) for c in got["_t"].chunks)]), got["_y"].to_pylist()
     del got
-    return fit(texts, y)
+    model = fit(texts, y)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -278,3 +278,12 @@ def test_events(spark):
     assert next(chat.parse(next(r.piece for r in pieces if r.conv_id == 2)))[1] == "".join(f"{k} " for k in range(1, 9001))
     with pytest.raises(ValueError):
         chat.fold([(0, "nonsense", "", "")])
+
+
+def test_the_driver_forgets_what_is_done(spark, monkeypatch):
+    monkeypatch.setattr(common, "COLLECTED_EVERY", 0, raising=False)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    common.written(spark.range(3), "small")
+    assert full() > before
