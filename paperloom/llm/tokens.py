@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import gc
+import re
 import sys
 from array import array
 
-import numpy as np
-
 from paperloom.llm.common import worker_cache
 
 #: Pieces that a worker remembers, some 200 bytes each; then it forgets all and goes on.
 REMEMBERED = 800_000
 _FITS = sys.byteorder == "little" and array("I").itemsize == 4
+#: Letters that are one pre-token: composed, and lower-cased one by one.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]+"
+_letters = re.compile(_LETTERS).fullmatch
+#: Such letters and the marks behind them, without an apostrophe, are two.
+_marked = re.compile(f"(\0?{_LETTERS})([!-&(-/:-@[-`{{-~]+)").fullmatch
+#: Byte-level BPE's characters of the bytes that aren't their own.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
@@ -25,16 +31,29 @@ def encoder(path: str, kind: str, remember: int = REMEMBERED) -> PieceEncoder:
 
 
 def _little(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes() if _FITS else np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes() if _FITS else b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+class _Known(dict[str, bytes | None]):
+    """What an encoder remembers; a piece that isn't here is found as it is asked for."""
+
+    def __init__(self, owner: PieceEncoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> bytes | None:
+        return self.keep(piece, self.owner.find(piece))
+
+    def keep(self, piece: str, ids: bytes | None) -> bytes | None:
+        if len(self) >= self.owner.remember:
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
     """Ids as little-endian 32-bit bytes, the same as the library gives for the whole text."""
 
-    #: What a pre-token's first (``leads``) or last id has in its string.
-    mark: str
-    leads: bool
-
     def __init__(self, path: str):
         import os
 
@@ -44,10 +63,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.remember = REMEMBERED
-        self.known: dict[str, bytes | None] = worker_cache({})
-        vocabulary = self.tokenizer.get_vocab()
-        self.edges = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.edges[[i for t, i in vocabulary.items() if (t.startswith(self.mark) if self.leads else t.endswith(self.mark))]] = True
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known = worker_cache(_Known(self))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return [_little(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,29 +76,25 @@ class PieceEncoder:
     def as_text(self, piece: str) -> str:
         return piece
 
-    def learn(self, pieces: set[str]) -> None:
-        cut = {p: self.parts(p) for p in pieces}
-        new = {x for c in cut.values() if c for x in c}.difference(self.known)
-        words = [x for x in new if x.isalpha()]
-        for at in range(0, len(words), 200):
-            self._learn_words(words[at : at + 200])
-        rest = [x for x in new if x not in self.known]
-        self.known.update(zip(rest, self.encode_batch([self.as_text(x) for x in rest])))
-        for p, c in cut.items():
-            if c is None:
-                self.known[p] = None
-            elif c != (p,):
-                self.known[p] = b"".join(self.known[x] for x in c)
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Words of letters, in one call: each is one pre-token, whose first or last id shows."""
-        ids = np.array(self.tokenizer.encode("".join(" " + w for w in words), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(self.edges[ids])
-        if len(at) != len(words):  # left to the caller
-            return
-        cuts = [*at.tolist(), len(ids)] if self.leads else [0, *(at + 1).tolist()]
-        data = ids.tobytes()
-        self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, cuts, cuts[1:]))
+    def as_word(self, piece: str) -> str | None:
+        """The one pre-token of a piece of letters, before its bytes become characters; None for other pieces."""
+        raise NotImplementedError
+
+    def find(self, piece: str) -> bytes | None:
+        if (cut := self.parts(piece)) is None:
+            return None
+        return self._alone(piece) if cut == (piece,) else b"".join(map(self._part, cut))
+
+    def _part(self, piece: str) -> bytes:
+        if (found := self.known.get(piece)) is None:
+            found = self.known.keep(piece, self._alone(piece))
+        return found
+
+    def _alone(self, piece: str) -> bytes:
+        """By the library's model alone where nothing is left to do for the steps before it."""
+        if (word := self.as_word(piece)) is None:
+            return self.encode_batch([self.as_text(piece)])[0]
+        return _little([x.id for x in self.tokenize(word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(_BYTES))])
 
     def pieces(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -96,21 +109,12 @@ class PieceEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t or "") for t in texts]
-        out: list[bytes] = []
-        for at in range(0, len(cut), 256):
-            part = cut[at : at + 256]
-            if new := set().union(*part).difference(self.known):
-                if len(self.known) + len(new) > self.remember:
-                    self.known.clear()
-                    new = set().union(*part)
-                self.learn(new)
-            get = self.known.__getitem__
-            for k, p in enumerate(part, at):
-                try:
-                    out.append(b"".join(map(get, p)))
-                except TypeError:  # a piece that can't stand alone
-                    out.append(self.encode_batch([texts[k] or ""])[0])
+        get, out = self.known.__getitem__, []
+        for text in texts:
+            try:
+                out.append(b"".join(map(get, self.pieces(text or ""))))
+            except TypeError:  # a piece that can't stand alone
+                out.append(self.encode_batch([text or ""])[0])
         return out
 
 
@@ -122,8 +126,6 @@ class ByteEncoder(PieceEncoder):
     may be one pre-token with what follows: such texts, and those that hold a NUL or U+0001, go to the library whole.
     """
 
-    mark, leads = "\u0120", True
-
     def pieces(self, text: str) -> list[str]:
         if not text:
             return []
@@ -136,6 +138,11 @@ class ByteEncoder(PieceEncoder):
     def as_text(self, piece: str) -> str:
         return piece[1:] if piece[0] in "\0\1" else " " + piece
 
+    def as_word(self, piece: str) -> str | None:
+        if piece[0] in "\0\1":
+            return piece[1:] if _letters(piece, 1) else None
+        return " " + piece if _letters(piece) else None
+
     def parts(self, piece: str) -> tuple[str, ...] | None:
         if not piece or not piece[-1].isprintable() or piece[-1].isspace():
             return None
@@ -143,6 +150,8 @@ class ByteEncoder(PieceEncoder):
         if feed and len(left) > 1 and right and left[-1] in ".," and right[0].isalpha():
             after = self.parts("\0" + right)
             return None if after is None else (*self.parts(left), "\1\n", *after)
+        if both := _marked(piece):
+            return both[1], "\0" + both[2]
         # a letter and the one mark behind it are pre-tokens of their own
         return (piece[:-1], "\0" + piece[-1]) if piece[-1] in ".," and len(piece) > 1 and piece[-2].isalpha() else (piece,)
 
@@ -150,13 +159,16 @@ class ByteEncoder(PieceEncoder):
 class WordEncoder(PieceEncoder):
     """BPE with word ends that drops white space: pieces between spaces and line ends stand alone."""
 
-    mark, leads = "</w>", False
-
     def pieces(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
+    def as_word(self, piece: str) -> str | None:
+        return piece.lower() if _letters(piece) else None
+
     def parts(self, piece: str) -> tuple[str, ...] | None:
         if piece.isascii():  # of other texts a letter's lower case may hang on its neighbours
             piece = piece.lower()
-        # a letter and the one mark behind it are pre-tokens of their own
-        return (piece[:-1], piece[-1]) if piece[-1:] in {".", ","} and piece[-2:-1].isalpha() else (piece,)
+        if both := _marked(piece):
+            return both.groups()
+        # a letter and the one mark behind it are pre-tokens of their own; the lower case of \u0130 doesn't end in a letter
+        return (piece[:-1], piece[-1]) if piece[-1:] in {".", ","} and piece[-2:-1].lower().isalpha() else (piece,)

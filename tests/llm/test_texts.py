@@ -287,3 +287,16 @@ def test_the_driver_forgets_what_is_done(spark, monkeypatch):
     before = full()
     common.written(spark.range(3), "small")
     assert full() > before
+
+
+@pytest.mark.parametrize("file, kind", [("word_bpe_49k.json", "word")])
+def test_an_encoder_holds_no_more_than_it_is_told(file, kind):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("aeiouthnsAÉßœÿ", k=rng.randint(1, 9))) + rng.choice(["", "", ".", "%%%", "'s", "'", "-x", "3", ".\nThen"])
+    texts = [" ".join(word() for _ in range(300)) for _ in range(4)] + ["İ. İ, xİ."]
+    e = tokens.encoder(public_tokenizers.path(file), kind, 50)
+    try:
+        assert e.encode(texts) == e.encode_batch(texts)
+        assert len(e.known) <= 50
+    finally:
+        tokens.encoder(public_tokenizers.path(file), kind)
