@@ -289,7 +289,7 @@ def test_the_driver_forgets_what_is_done(spark, monkeypatch):
     assert full() > before
 
 
-@pytest.mark.parametrize("file, kind", [("word_bpe_49k.json", "word")])
+@pytest.mark.parametrize("file, kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_an_encoder_holds_no_more_than_it_is_told(file, kind):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("aeiouthnsAÉßœÿ", k=rng.randint(1, 9))) + rng.choice(["", "", ".", "%%%", "'s", "'", "-x", "3", ".\nThen"])
