@@ -9,31 +9,31 @@ Words are ordered by rarity. A pair with Jaccard t or more shares a word among t
 (positional filter) and differs in at most (m + n)(1 - t)/(1 + t) words; a 64-bit parity of hashed words never differs
 in more bits than that. Pairs that pass are verified word by word.
 
-Words are counted exactly. The logarithms of the counts of the FREQUENT most frequent ones go to all tasks, by hash;
-all others count as rare. Every line uses the same order, so no pair is lost however good it is.
+Words are counted exactly, those of one slot of their hash together. The logarithms of the counts of the FREQUENT most
+frequent slots go to all tasks; all others count as rare. Every line uses the same order, so no pair is lost however good
+it is. A word that occurs once in all texts is shared by no two lines: it keeps its place, but no line is named by it.
 """
 
 from __future__ import annotations
 
 import itertools
 import string
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.bytewords import Texts, texts_of
 from paperloom.llm.common import first_of_equals, free_names, id_key, release_caches, text_key, worker_cache, written
 
 SIMILARITY, LEAST = 0.8, 1
-#: Words whose rank is sent to all tasks, in a table of so many slots by hash, a byte each.
+#: Words are counted and ranked by slots of their hash; so many slots' ranks are sent to all tasks, a byte each.
 FREQUENT, SLOTS = 1 << 20, 1 << 24
-#: Distinct words that a task counts before it sends what it has.
+#: Words that a task holds before it adds them to its counts.
 COUNTED = 1 << 21
 #: A word that is in the prefix of more lines has them compared in pairs of blocks, each pair a group of its own.
 BLOCK = 16_384
@@ -54,77 +54,67 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_counts(source: DataFrame) -> DataFrame:
-    """(word, n): the 64-bit hash of each word of ``source`` that occurs twice or more, and how often.
+    """(part, levels): for each slot of the words' hashes, in the order of parts, the level of how often its words occur in ``source``, 0 for once or never; compressed.
 
-    Tasks send sorted words and counts in one piece for each part of the hashes' range, not as rows.
+    A task counts by slot and sends sorted slots and counts in one piece for each part of their range, not as rows.
     """
-    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array([-(-(k << 64) // parts) for k in range(1, parts)], np.uint64)
-
-    def counted(words: list[np.ndarray], n: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        all_ = np.concatenate(words)
-        if n is None:
-            all_.sort()
-        else:
-            order = np.argsort(all_)
-            all_, n = all_[order], np.concatenate(n)[order]
-        at = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.zeros(0, np.int64)
-        return all_[at], np.diff(np.append(at, len(all_))).astype(np.int32) if n is None else np.add.reduceat(n, at) if len(at) else n
+    parts = min(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), SLOTS)
+    bounds = np.array([-(-k * SLOTS // parts) for k in range(parts + 1)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        held, size = [], 0
+        total, held, size = np.zeros(SLOTS, np.uint32), [], 0
 
-        def sent() -> pa.RecordBatch:
-            words, n = counted(held)
-            cut = np.searchsorted(words, bounds)
-            return pa.record_batch([pa.array(range(parts), pa.int32()), *(pa.array([x.tobytes() for x in np.split(c, cut)], pa.binary()) for c in (words, n))], names=["part", "words", "n"])
+        def add() -> None:
+            slots = np.concatenate(held)
+            slots.sort()
+            at = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+            total[slots[at]] += np.diff(np.append(at, len(slots))).astype(np.uint32)
 
         for batch in batches:
             for _, texts in texts_of(batch.column(0)):
-                held.append(texts.words()[2])
+                held.append((texts.words()[2] >> np.uint64(40)).astype(np.uint32))
                 size += len(held[-1])
                 if size > COUNTED:
-                    yield sent()
+                    add()
                     held, size = [], 0
         if size:
-            yield sent()
+            add()
+        slots = np.flatnonzero(total).astype(np.uint32)
+        cut = np.searchsorted(slots, bounds[1:-1])
+        yield pa.record_batch([pa.array(range(parts), pa.int32()), *(pa.array([x.tobytes() for x in np.split(c, cut)], pa.binary()) for c in (slots, total[slots]))], names=["part", "slots", "n"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        words, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for w, k in zip(batch.column(1), batch.column(2)):
-                words.append(np.frombuffer(w.as_buffer(), np.uint64))
-                n.append(np.frombuffer(k.as_buffer(), np.int32).astype(np.int64))
-                if sum(map(len, words[1:])) > max(COUNTED, len(words[0])):
-                    words, n = ([x] for x in counted(words, n))
-        words, n = counted(words, n)
-        for at in range(0, len(words), 1 << 16):
-            few = n[at : at + (1 << 16)] > 1
-            yield pa.record_batch([pa.array(words[at : at + (1 << 16)][few].view(np.int64)), pa.array(n[at : at + (1 << 16)][few])], names=["word", "n"])
+            for part, slots, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if part not in totals:
+                    totals[part] = np.zeros(bounds[part + 1] - bounds[part], np.int64)
+                totals[part][np.frombuffer(slots.as_buffer(), np.uint32) - bounds[part]] += np.frombuffer(n.as_buffer(), np.uint32)
+        levels = [zlib.compress(np.where(n > 1, level(np.maximum(n, 1)), 0).astype(np.uint8).tobytes(), 1) for n in totals.values()]
+        yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array(levels, pa.binary())], names=["part", "levels"])
 
-    return source.select("text").mapInArrow(count, "part int, words binary, n binary").repartition(parts, "part").mapInArrow(summed, "word long, n long")
+    return source.select("text").mapInArrow(count, "part int, slots binary, n binary").repartition(parts, "part").mapInArrow(summed, "part int, levels binary")
 
 
 def level(n: np.ndarray | int) -> np.ndarray:
     """Eight times the binary logarithm of a count, a byte."""
-    return np.minimum(np.floor(np.log2(n) * 8), 255).astype(np.uint8)
+    return np.minimum(np.floor(np.log2(n) * 8 + 1e-9), 255).astype(np.uint8)
 
 
 def rarity(source: DataFrame, frequent: int = FREQUENT) -> tuple[bytes, int]:
-    """For each slot of a word's hash the level of its count, 0 for all but the ``frequent`` most frequent, compressed; and the least level that has all its words in it."""
-    counts = written(word_counts(source).select("word", F.least(F.lit(255), F.floor(F.log2("n") * 8 + 1e-9)).cast("int").alias("level")), "words")
-    sizes, least, total = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}, 256, 0
-    for k in sorted(sizes, reverse=True):
+    """For each slot of a word's hash the level of its count for the ``frequent`` most frequent slots, 1 for others met twice or more, 0 for those met once, compressed; and the least level that has all its slots in it."""
+    counted = sorted(word_counts(source).toArrow().to_pylist(), key=lambda r: r["part"])
+    table = np.frombuffer(b"".join(zlib.decompress(r["levels"]) for r in counted), np.uint8)
+    table = table if len(table) else np.zeros(SLOTS, np.uint8)
+    sizes, least, total = np.bincount(table, minlength=256), 256, 0
+    for k in np.flatnonzero(sizes[1:])[::-1] + 1:
         total += sizes[k]
         if total > frequent:
             break
-        least = k
-    found = counts.where(F.col("level") >= least).select(F.shiftrightunsigned("word", 40).cast("int").alias("slot"), "level").toArrow()
-    table = np.zeros(SLOTS, np.uint8)
-    np.maximum.at(table, found["slot"].to_numpy(), found["level"].to_numpy().astype(np.uint8))
-    return zlib.compress(table.tobytes(), 1), least
+        least = int(k)
+    return zlib.compress(np.where(table >= least, table, table > 0).astype(np.uint8).tobytes(), 1), least
 
 
 _tables: dict[int, np.ndarray] = worker_cache({})
@@ -142,34 +132,123 @@ def prefix_length(n: np.ndarray, t: float = SIMILARITY) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-SIG = ("s0", "s1", "s2", "s3")
 LINE = ("id", "h", "line")
-LINES = "id long, h long, line int, key binary, n int, s0 long, s1 long, s2 long, s3 long, prefix array<int>, common array<int>"
+#: How lines travel by their keys, and how the first of equal ones are kept: many in one piece, the words of their
+#: prefixes, ``size`` for each, in a piece beside it. These are 32-bit hashes, rarest first, but for the ``skip`` first
+#: that occur nowhere else; the last ``common`` may be in more than BLOCK lines.
+RECORD = np.dtype([("key", "<u8", 2), ("id", "<i8"), ("h", "<i8"), ("line", "<i4"), ("n", "<i4"), ("skip", "<i4"), ("size", "<i4"), ("common", "<i4"), ("sig", "<i8", 4)])
+FIRST = np.dtype([("lid", "<i8"), *((x, RECORD[x]) for x in ("id", "n", "skip", "size"))] + [("sig", "<i8", 4)])
+GONE = np.dtype([("id", "<i8"), ("h", "<i8"), ("line", "<i4")])
+LINES = "lines binary, tokens binary, gone binary, common array<int>, n long"
+#: Lines in one piece.
+PIECE = 1 << 14
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _lid(ids: np.ndarray, hs: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Numbers for lines: 64-bit hashes of (id, h, line), which those of one text never share. Texts are looked up by them, so two lines with one number would have a few pairs more verified."""
+    text = _mixed(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hs.astype(np.int64).view(np.uint64))
+    return _mixed(text + lines.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+
+
+def _spans(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of runs of ``sizes`` that end before ``ends``, end to end."""
+    return np.arange(sizes.sum()) + np.repeat(ends - np.cumsum(sizes), sizes)
+
+
+def _taken(rows: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``at`` and their tokens."""
+    return rows[at], tokens[_spans(np.cumsum(rows["size"], dtype=np.int64)[at], rows["size"][at].astype(np.int64))]
 
 
 def distinct_lines(source: DataFrame, ranks: bytes, known: int, t: float, least: int) -> DataFrame:
-    """Lines of at least ``least`` distinct words, of equal ones in a task those before all met so far; the others, which go, come with n = 0 and a key of their own.
+    """LINES: in ``lines`` the first of equal lines of at least ``least`` distinct words, as FIRST, with the words of their prefixes in ``tokens``; in ``gone`` the others, as GONE.
 
-    ``prefix`` holds 32-bit hashes of the words of the prefix, rarest first; ``common`` those of them that may be in more
-    than BLOCK lines: frequent ones, or all where the counts of some such words are not ``known``.
+    Of equal lines in a task those before all met so far are sent by their keys, and those that go, with n = 0.
+    ``common`` holds the words that may be in more than BLOCK lines: frequent ones, or all where the counts of some such
+    words are not ``known``; ``n`` is the number of tokens.
     """
     high = int(level(BLOCK)) if known <= level(BLOCK) else 0
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         table = _ranks(ranks)
         first: dict[bytes, tuple[int, int, int]] = {}
+        held, size = [], 0
+
+        def sent() -> pa.RecordBatch:
+            rows, tokens = (np.concatenate(x) for x in zip(*held))
+            part = ((rows["key"][:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+            order = np.argsort(part, kind="stable")
+            rows, tokens = _taken(rows, tokens, order)
+            present, at = np.unique(part[order], return_index=True)
+            ends = np.append(0, np.cumsum(rows["size"], dtype=np.int64))[np.append(at, len(rows))]
+            pieces = [[x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())] for x, cuts in ((rows, np.append(at, len(rows))), (tokens, ends))]
+            return pa.record_batch([pa.array(present.astype(np.int32)), *(pa.array(x, pa.binary()) for x in pieces)], names=["part", "rows", "tokens"])
+
         for batch in batches:
             ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, texts in texts_of(batch.column(2)):
-                yield _lines_of(ids[rows], hs[rows], texts, first, table, high, t, least)
+                held.append(_lines_of(ids[rows], hs[rows], texts, first, table, high, t, least))
+                size += len(held[-1][0]) + len(held[-1][1])
                 if len(first) > REMEMBERED:
                     first.clear()
+                if size > 4 * SENT:
+                    yield sent()
+                    held, size = [], 0
+        if size:
+            yield sent()
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        pieces = ((p, r, w) for b in batches for p, r, w in zip(b.column(0).to_pylist(), b.column(1), b.column(2)))
+        for _, group in itertools.groupby(pieces, key=lambda x: x[0]):
+            rows, tokens = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in c]) for c, k in zip(list(zip(*group))[1:], (RECORD, np.uint32)))
+            order = np.flatnonzero(rows["n"])
+            order = order[np.lexsort([c[order] for c in (rows["line"], rows["h"], rows["id"], rows["key"][:, 1], rows["key"][:, 0])])]
+            key = rows["key"][order]
+            new = np.append(True, (key[1:] != key[:-1]).any(axis=1))[: len(order)]
+            head = order[new][np.cumsum(new) - 1]
+            # a row stored twice has each of its lines twice, at the same place: these stay or go together
+            later = np.logical_or.reduce([rows[x][order] != rows[x][head] for x in LINE])
+            gone = rows[np.append(np.flatnonzero(rows["n"] == 0), order[later])]
+            out = np.zeros(len(gone), GONE)
+            for x in LINE:
+                out[x] = gone[x]
+            firsts, tokens = _taken(rows, tokens, np.sort(order[new]))
+            lines = np.zeros(len(firsts), FIRST)
+            lines["lid"] = _lid(*(firsts[x] for x in LINE))
+            for x in ("id", "n", "skip", "size", "sig"):
+                lines[x] = firsts[x]
+            ends = np.append(0, np.cumsum(lines["size"], dtype=np.int64))
+            for at in range(0, max(len(lines), 1), PIECE):
+                to = min(at + PIECE, len(lines))
+                own = tokens[ends[at] : ends[to]]
+                common = own[_spans(ends[at + 1 : to + 1] - ends[at], firsts["common"][at:to].astype(np.int64))]
+                columns = [[x.tobytes()] for x in (lines[at:to], own, out if at == 0 else out[:0])]
+                yield pa.record_batch([*(pa.array(x, pa.binary()) for x in columns), pa.array([common.view(np.int32)], pa.list_(pa.int32())), pa.array([len(own)])], names=[x.split()[0] for x in LINES.split(", ")])
+
+    sent = source.mapInArrow(run, "part int, rows binary, tokens binary").repartition(parts, "part").sortWithinPartitions("part")
+    return sent.mapInArrow(ranked, LINES)
+
+
+def _gone(lines: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.column(0):
+                rows = np.frombuffer(piece.as_buffer(), GONE)
+                yield pa.record_batch([pa.array(np.ascontiguousarray(rows[x])) for x in LINE], names=[*LINE])
 
-    return source.mapInArrow(run, LINES)
+    return lines.select("gone").mapInArrow(run, "id long, h long, line int")
 
 
-def _lines_of(ids: np.ndarray, hs: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int, int]], ranks: np.ndarray, high: int, t: float, least: int) -> pa.RecordBatch:
+def _lines_of(ids: np.ndarray, hs: np.ndarray, texts: Texts, first: dict[bytes, tuple[int, int, int]], ranks: np.ndarray, high: int, t: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     text, number, begin, end = texts.lines()
     s, _, h = texts.words()
     line = np.repeat(np.arange(len(begin)), np.diff(np.append(np.searchsorted(s, begin), len(s))))
@@ -197,21 +276,20 @@ def _lines_of(ids: np.ndarray, hs: np.ndarray, texts: Texts, first: dict[bytes,
     for lo in range(0, max(len(kept), 1), 1 << 14):
         a, b = np.searchsorted(where, [lo, lo + (1 << 14)])
         pieces.append(_prefixes(where[a:b] - lo, h[a:b], min(len(kept) - lo, 1 << 14), ranks, t))
-    n, sig, sizes, tokens, rank = (np.concatenate(x, axis=-1) for x in zip(*pieces))
-    rows, more = np.concatenate([kept, np.array(gone, np.int64)]), np.zeros(len(gone), np.int64)
-    out = ids[text[rows]], hs[text[rows]], number[rows].astype(np.int32)
-    keys += [struct.pack("<qqi", *x) for x in zip(*(c[len(kept) :].tolist() for c in out))]
-    offsets = np.concatenate(([0], np.cumsum(sizes), sizes.sum() + more)).astype(np.int32)
-    columns = [*map(pa.array, out), pa.array(keys, pa.binary()), pa.array(np.append(n, more).astype(np.int32)), *(pa.array(np.append(x.view(np.int64), more)) for x in sig)]
-    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.uint32).view(np.int32))))
-    often = rank >= high
-    offsets = np.append(0, np.cumsum(often))[offsets].astype(np.int32)
-    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[often].astype(np.uint32).view(np.int32))))
-    return pa.record_batch(columns, names=[x.split()[0] for x in LINES.split(", ")])
+    n, skip, sig, sizes, tokens, rank = (np.concatenate(x, axis=-1) for x in zip(*pieces))
+    at, m = np.concatenate([kept, np.array(gone, np.int64)]), len(kept)
+    rows = np.zeros(len(at), RECORD)
+    rows["id"], rows["h"], rows["line"] = ids[text[at]], hs[text[at]], number[at]
+    rows["key"][:m] = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+    rows["key"][m:, 0] = _lid(*(rows[x][m:] for x in LINE)).view(np.uint64)
+    often = np.append(0, np.cumsum(rank >= high))[np.append(0, np.cumsum(sizes))]
+    for x, values in (("n", n), ("skip", skip), ("size", sizes), ("common", np.diff(often)), ("sig", sig.view(np.int64).T)):
+        rows[x][:m] = values
+    return rows, tokens.astype(np.uint32)
 
 
 def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, ranks: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
-    """For each line its distinct words, signature and length of the prefix; and the prefixes' words and their ranks.
+    """For each line its distinct words, how many of the prefix occur nowhere else, signature and number of the prefix's others; and these and their ranks.
 
     ``h`` has 50 bits; ``line`` ascends and is less than 2**14.
     """
@@ -231,8 +309,10 @@ def _prefixes(line: np.ndarray, h: np.ndarray, lines: int, ranks: np.ndarray, t:
     order = np.sort((line.astype(np.uint64) << np.uint64(50)) | (rank << np.uint64(32)) | (h & np.uint64(2**32 - 1)))
     size = prefix_length(n, t)
     size[n == 0] = 0
-    keep = (np.arange(len(order)) - np.repeat(starts, n)) < np.repeat(size, n)
-    return n, sig, size, order[keep] & np.uint64(2**32 - 1), (order[keep] >> np.uint64(32)) & np.uint64(255)
+    order = order[(np.arange(len(order)) - np.repeat(starts, n)) < np.repeat(size, n)]
+    rank = (order >> np.uint64(32)) & np.uint64(255)
+    skip = np.bincount((order[rank == 0] >> np.uint64(50)).astype(np.int64), minlength=lines)
+    return n, skip, sig, size - skip, order[rank > 0] & np.uint64(2**32 - 1), rank[rank > 0]
 
 
 def _sure(most: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
@@ -241,7 +321,7 @@ def _sure(most: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
 
 
 #: Rows of a group of candidates, by size in each. ``lid`` is a number for a line that has no order, ``asked`` may be left out.
-GROUP = ("key", "n", "id", "lid", "place", *SIG, "asked")
+GROUP = ("key", "n", "id", "lid", "place", "s0", "s1", "s2", "s3", "asked")
 
 
 def _passes(a: np.ndarray, b: np.ndarray, t: float, i: np.ndarray | slice = slice(None), j: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,11 +364,12 @@ def _named(rows: list[np.ndarray], t: float, most: int) -> tuple[np.ndarray, np.
     size, all_ = len(rows[0]), len(rows) < len(GROUP)
     group = np.cumsum(np.append(0, rows[0][1:] != rows[0][:-1]))
     n, ids, lids = rows[1].astype(np.int64), rows[2], rows[3]
-    reach = np.minimum(np.floor(n / t + 1e-9).astype(np.int64), 2**31 - 1)
-    last = np.searchsorted((group << 32) | n, (group << 32) | reach, "right") - 1  # the length filter
     left, x = n - rows[4] - 1, np.vstack([n, *rows[4:9], rows[5] ^ rows[6] ^ rows[7] ^ rows[8]])
     wanted = np.ones(size, bool) if all_ else rows[9].astype(bool)
     share, count = t / (1 + t), np.zeros(size, np.int64)
+    # the length filter, and the positional filter for the shorter line's place
+    reach = np.clip(np.floor(np.minimum(n / t, (1 + left) / share - n) + 1e-6).astype(np.int64), 0, 2**31 - 1)
+    last = np.searchsorted((group << 32) | n, (group << 32) | reach, "right") - 1
     pairs, near, held = [np.zeros((3, 0), np.int64)], [np.zeros(0)], 0
     a, d, untouched = np.arange(size), 1, all_
     while len(a := a[last[a] >= a + d]):
@@ -319,13 +400,27 @@ def _named(rows: list[np.ndarray], t: float, most: int) -> tuple[np.ndarray, np.
     return e, f, np.flatnonzero(count > np.bincount(f, minlength=size))
 
 
-CANDIDATES = "a long, b long, more boolean"
+CANDIDATES = "a long, b long, a_id long, b_id long, more int"
+
+
+def _blocks(lines: DataFrame, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that are in the prefix of more than ``block`` lines, in order, and for each how many blocks these make."""
+    often = lines.select(F.explode("common").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > block).toArrow()
+    words, n = often["tok"].to_numpy().astype(np.int32).view(np.uint32), often["n"].to_numpy()
+    order = np.argsort(words)
+    return words[order], -(-n[order] // block)
 
 
-def _blocks(lines: DataFrame, block: int) -> DataFrame:
-    """(tok, blocks) of the words that are in the prefix of more than ``block`` lines."""
-    often = lines.select(F.explode("common").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    return written(often.select("tok", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "often")
+def _in_blocks(tokens: np.ndarray, lids: np.ndarray, words: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``tokens`` (of lines ``lids``) to send, and their groups: for one of ``words`` the pairs of blocks that its line's is in."""
+    at = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
+    split = words[at] == tokens
+    times = np.where(split, blocks[at], 1)
+    of = np.repeat(np.arange(len(tokens)), times)
+    other = (np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+    own = _mixed(lids.view(np.uint64))[of] % times[of].astype(np.uint64)
+    pair = _mixed(tokens[of].astype(np.uint64) << np.uint64(32) ^ _mixed((np.minimum(own, other) << np.uint64(32)) + np.maximum(own, other)))
+    return of, np.where(split[of], (pair >> np.uint64(32)).astype(np.uint32), tokens[of])
 
 
 #: How the columns GROUP travel, many rows in one piece.
@@ -334,60 +429,53 @@ KINDS = ("<u4", "<i4", "<i8", "<i8", "<i4", "<i8", "<i8", "<i8", "<i8", "<i1")
 SENT = 200_000
 
 
-def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: DataFrame | None = None) -> DataFrame:
-    """(a, b, more): lids of lines that may match, b the later one unless both have one id; ``more`` with null a where some may be left out.
+def candidates(lines: DataFrame, often: tuple[np.ndarray, np.ndarray], t: float, most: int, asked: DataFrame | None = None) -> DataFrame:
+    """(a, b, a_id, b_id, more): lids and ids of lines that may match, b the later one unless both have one id; with null a the group ``more`` where some may be left out for b.
 
-    ``often``: what ``_blocks`` gives. With ``asked`` (lid) as later ones for those lines only.
+    ``lines`` as by ``distinct_lines``, ``often`` as by ``_blocks``. With ``asked`` (lid, more) as later ones for those
+    lines in those groups only, and maybe a few others, as both are known by a screen.
     """
     again = asked is not None
-    if again:
-        words = written(lines.join(asked, "lid", "left_semi").select(F.explode("prefix").alias("tok")).distinct(), "asked")
-        lines = lines.join(asked.select("lid", F.lit(1).alias("asked")), "lid", "left").fillna(0, ["asked"])
-        kept = lines.select("*", F.posexplode("prefix").alias("place", "tok")).join(words, "tok", "left_semi")
-        lines = kept.select("n", "id", "lid", *SIG, "asked", F.array("tok").alias("prefix"), "place")
-    else:
-        lines = lines.withColumns({"asked": F.lit(1), "place": F.lit(0)})
-    if not often.isEmpty():
-        # groups by word and pair of blocks: (group, place) in the order of the prefix
-        each = lines.select("n", "id", "lid", *SIG, "asked", "place", F.posexplode("prefix").alias("p", "tok")).join(often, "tok", "left")
-        own = F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long"))
-        parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.hash("tok", F.least(own, k), F.greatest(own, k)))
-        dealt = F.explode(F.when(F.col("blocks").isNull(), F.array("tok")).otherwise(parts)).alias("tok")
-        lines = each.select("n", "id", "lid", *SIG, "asked", (F.col("place") + F.col("p")).alias("place"), dealt).withColumn("prefix", F.array("tok"))
-    rows = lines.select("n", "id", "lid", *SIG, "asked", "place", "prefix")
-    if again or not often.isEmpty():
-        rows = written(rows, "rows")
-    total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    total = lines.agg(F.sum("n")).first()[0] or 0
     parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // SENT)
-
     narrow = np.uint16 if parts < 1 << 16 else np.uint32  # of 16 bits a stable sort is by radix
+    if again:  # few rows are sent
+        parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 8)
+    screens = [_screen(asked.select(x.cast("int").alias("at"))) for x in (F.shiftrightunsigned("lid", 40), F.shiftrightunsigned("more", 8))] if again else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         held, size = [], 0
+        wanted, groups = map(_unpacked, screens) if again else (None, None)
 
         def sent() -> pa.RecordBatch:
-            sizes, token, *columns = (np.concatenate(c) for c in zip(*held))
+            rows, token = (np.concatenate(c) for c in zip(*held))
+            sizes = rows["size"].astype(np.int64)
             of = np.repeat(np.arange(len(sizes)), sizes)
-            place = columns[3][of] + (np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            place = rows["skip"][of] + np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            if len(often[0]):
+                at, token = _in_blocks(token, rows["lid"][of], *often)
+                of, place = of[at], place[at]
+            if again:
+                hit = np.flatnonzero(groups[token >> np.uint32(8)])
+                of, token, place = of[hit], token[hit], place[hit]
             part = (token.astype(np.uint64) * np.uint64(0x9E3779B1) % np.uint64(2**32) * np.uint64(parts)) >> np.uint64(32)
             order = np.argsort(part.astype(narrow), kind="stable")
             of = of[order]
-            rows = [token[order], *(c[of] for c in columns)]
-            rows[4] = place[order].astype(KINDS[4])
+            asked_ = wanted[_spot(rows["lid"])] if again else np.ones(len(rows), bool)
+            sig = np.ascontiguousarray(rows["sig"].T)
+            columns = [token[order], *(rows[x].astype(k)[of] for x, k in zip(GROUP[1:4], KINDS[1:])), place[order].astype(KINDS[4]), *(x[of] for x in sig), asked_.astype(KINDS[9])[of]]
             present, at = np.unique(part[order], return_index=True)
-            pieces = [b"".join(c[a:b].tobytes() for c in rows) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)])]
+            pieces = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)])]
             return pa.record_batch([pa.array(present.astype(np.int32)), pa.array(pieces, pa.binary())], names=["part", "rows"])
 
         for batch in batches:
-            lists = batch.column(9)
-            n, id_, lid, s0, s1, s2, s3, asked_, place = (c.to_numpy() for c in batch.columns[:9])
-            columns = [c.astype(k, copy=False) for c, k in zip((n, id_, lid, place, s0, s1, s2, s3, asked_), KINDS[1:])]
-            held.append([lists.value_lengths().to_numpy(), lists.flatten().to_numpy().view(np.uint32), *columns])
-            size += len(held[-1][1])
-            if size > SENT:
-                yield sent()
-                held, size = [], 0
+            for piece in _pieces(batch):
+                held.append(piece)
+                size += len(piece[1])
+                if size > SENT:
+                    yield sent()
+                    held, size = [], 0
         if size:
             yield sent()
 
@@ -408,80 +496,96 @@ def candidates(lines: DataFrame, often: DataFrame, t: float, most: int, asked: D
             order = np.argsort((rows[0].astype(np.int64) << 32) | rows[1])
             rows = [c[order] for c in (rows if again else rows[:9])]
             e, f, more = _named(rows, t, most)
-            k, lid = len(more), rows[3]
-            yield pa.record_batch([pa.concat_arrays([pa.array(lid[e]), pa.nulls(k, pa.int64())]), pa.array(np.append(lid[f], lid[more])), pa.array(np.append(np.zeros(len(e), bool), np.ones(k, bool)))], names=["a", "b", "more"])
+            earlier = [pa.concat_arrays([pa.array(x[e]), pa.nulls(len(more), pa.int64())]) for x in (rows[3], rows[2])]
+            later = [pa.array(np.append(x[f], x[more])) for x in (rows[3], rows[2])]
+            groups = pa.concat_arrays([pa.nulls(len(e), pa.int32()), pa.array(rows[0][more].view(np.int32))])
+            yield pa.record_batch([earlier[0], later[0], earlier[1], later[1], groups], names=["a", "b", "a_id", "b_id", "more"])
 
-    dealt = rows.mapInArrow(deal, "part int, rows binary").repartition(parts, "part").sortWithinPartitions("part")
+    dealt = lines.select("lines", "tokens").mapInArrow(deal, "part int, rows binary").repartition(parts, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, CANDIDATES).distinct()
 
 
-def _spots(ids: np.ndarray, hs: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hs.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + lines.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (x >> np.uint64(40)).astype(np.int64)
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for rows, tokens in zip(batch.column(0), batch.column(1)):
+        yield np.frombuffer(rows.as_buffer(), FIRST), np.frombuffer(tokens.as_buffer(), np.uint32)
+
+
+def _spot(lids: np.ndarray) -> np.ndarray:
+    return (lids.view(np.uint64) >> np.uint64(40)).astype(np.int64)
 
 
-def _screen(lines: DataFrame) -> bytes:
-    """2**24 bits, compressed, that are set for all of ``lines`` (id, h, line) and maybe for others. It only saves moving lines that no pair names."""
+def _screen(spots: DataFrame) -> bytes:
+    """2**24 bits, compressed, that are set at ``spots`` (at). It only saves moving lines that nothing asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 24, bool)
         for batch in batches:
-            seen[_spots(*(c.to_numpy() for c in batch.columns))] = True
+            seen[batch.column(0).to_numpy()] = True
         yield pa.record_batch([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["at"])
 
     out = np.zeros(1 << 24, bool)
-    out[lines.select(*LINE).mapInArrow(run, "at int").distinct().toArrow()["at"].to_numpy()] = True
+    out[spots.mapInArrow(run, "at int").distinct().toArrow()["at"].to_numpy()] = True
     return zlib.compress(np.packbits(out).tobytes(), 1)
 
 
-def matched(source: DataFrame, lines: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """(lid) of the lines b in ``pairs`` whose line a does match, word by word, and comes before; ``lines`` has the lids."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    named = written(lines.select("lid", *LINE).join(ends, "lid", "left_semi"), "named")
-    screen = _screen(named)
+def _unpacked(screen: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(screen), np.uint8)).astype(bool)
+
+
+def matched(source: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(lid, id, h, line) of the lines b in ``pairs`` (a, b, a_id, b_id) whose line a does match, word by word, and comes before."""
+    ends = F.explode(F.array(*(F.struct(F.col(x).alias("lid"), F.col(f"{x}_id").alias("id")) for x in "ab")))
+    named = written(pairs.select(ends.alias("end")).select("end.*").distinct(), "named")
+    screen = _screen(named.select(F.shiftrightunsigned("lid", 40).cast("int").alias("at")))
     if named.count() <= FEW:
         source = source.join(F.broadcast(named.select("id").distinct()), "id", "left_semi")
 
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        wanted = np.unpackbits(np.frombuffer(zlib.decompress(screen), np.uint8)).astype(bool)
+        wanted = _unpacked(screen)
         for batch in batches:
             ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, texts in texts_of(batch.column(2)):
                 text, number, begin, end = texts.lines()
-                hit = np.flatnonzero(wanted[_spots(ids[rows][text], hs[rows][text], number)])
+                lid = _lid(ids[rows][text], hs[rows][text], number)
+                hit = np.flatnonzero(wanted[_spot(lid)])
                 data = texts.data.tobytes()
-                content = [list(set(data[a:b].split())) for a, b in zip(begin[hit].tolist(), end[hit].tolist())]
+                content = [data[a:b] for a, b in zip(begin[hit].tolist(), end[hit].tolist())]
                 of = text[hit]
-                yield pa.record_batch([pa.array(ids[rows][of]), pa.array(hs[rows][of]), pa.array(number[hit].astype(np.int32)), pa.array(content, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=[*LINE, "words"])
+                yield pa.record_batch([pa.array(lid[hit]), pa.array(ids[rows][of]), pa.array(hs[rows][of]), pa.array(number[hit].astype(np.int32)), pa.array(content, pa.binary())], names=["lid", *LINE, "text"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        for batch in batches:
+            ok, last, one = np.zeros(batch.num_rows, bool), None, frozenset()
+            for k, (a, b) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                if a != last:
+                    last, one = a, frozenset(a.split())
+                other = set(b.split())
+                both = len(one & other)
+                ok[k] = both / (len(one) + len(other) - both) >= t - 1e-9
+            yield pa.record_batch([c.filter(pa.array(ok)) for c in batch.columns[:4]], names=["lid", *LINE])
 
     # rows stored twice give their lines twice, which does no harm
-    found = written(source.mapInArrow(words_of, "id long, h long, line int, words array<string>").join(named, [*LINE]), "words")
-    later = found.select(F.col("lid").alias("b"), F.struct(*LINE).alias("at"), "words")
-    earlier = found.select(F.col("lid").alias("a"), F.struct(*LINE).alias("a_at"), F.col("words").alias("a_words"))
-    both = F.size(F.array_intersect("words", "a_words"))
-    similarity = both / (F.size("words") + F.size("a_words") - both)
-    return pairs.join(later, "b").join(earlier, "a").where((F.col("a_at") < F.col("at")) & (similarity >= t - 1e-9)).select(F.col("b").alias("lid")).distinct()
+    found = written(source.mapInArrow(texts_of_lines, "lid long, id long, h long, line int, text binary").join(named.select("lid").distinct(), "lid", "left_semi"), "texts")
+    later = found.select(F.col("lid").alias("b"), F.struct(*LINE).alias("at"), "text")
+    earlier = found.select(F.col("lid").alias("a"), F.struct(*LINE).alias("a_at"), F.col("text").alias("a_text"))
+    both = pairs.select("a", "b").join(later, "b").join(earlier, "a").where(F.col("a_at") < F.col("at"))
+    return both.select("b", "at.*", "a_text", "text").mapInArrow(verified, "lid long, id long, h long, line int").distinct()
 
 
 def later_matches(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, line) of every line that goes: id as ``id_key`` gives it, h as ``text_key`` does. Rows equal in both are one here."""
     source = _source(docs, id_col, text_col)
-    found = distinct_lines(source, *rarity(source), t, least)
-    # a row stored twice has each of its lines twice, at the same place: these have the same rank
-    order = Window.partitionBy("key").orderBy(*LINE)
-    ranked = found.select(*LINE, "n", *SIG, "prefix", "common", F.rank().over(order).alias("rank"), F.row_number().over(order).alias("turn"))
-    first = F.col("turn") == 1
-    equal = written(ranked.select(*LINE, F.when(first, F.col("n")).otherwise(0).alias("n"), *SIG, *[F.when(first, F.col(c)).alias(c) for c in ("prefix", "common")], "rank", F.monotonically_increasing_id().alias("lid")), "lines")
-    firsts = equal.where("rank = 1 and n > 0").drop("rank")
-    gone, asked, most, often = None, None, NAMED, _blocks(firsts, BLOCK)
+    lines = written(distinct_lines(source, *rarity(source), t, least), "lines")
+    gone, asked, most, often = _gone(lines), None, NAMED, _blocks(lines, BLOCK)
     while True:
-        named = written(candidates(firsts, often, t, most, asked), "candidates")
-        found = written(matched(source, firsts, named.where("a is not null").drop("more"), t), "matched")
-        gone = found if gone is None else gone.union(found)
-        asked = written(named.where("more").select(F.col("b").alias("lid")).distinct().join(found, "lid", "left_anti"), "unsure")
+        named = written(candidates(lines, often, t, most, asked), "candidates")
+        found = written(matched(source, named.where("a is not null").drop("more"), t), "matched")
+        gone = gone.union(found.select(*LINE))
+        asked = written(named.where("a is null").select(F.col("b").alias("lid"), "more").join(found, "lid", "left_anti"), "unsure")
         if asked.isEmpty():
-            return equal.where("rank > 1 or n = 0 and prefix is not null").select(*LINE).union(firsts.select("lid", *LINE).join(gone, "lid", "left_semi").select(*LINE))
+            return gone
         most *= 256
 
 

@@ -332,6 +332,20 @@ def test_line_dedup_in_blocks_and_second_look(spark, make, line_docs, monkeypatc
     assert found_lines(line_dedup.op5(docs)) == slow_lines(spark, line_docs)
 
 
+def test_line_dedup_names_lines_by_words_met_twice(spark, make):
+    """Words that occur once are counted in a line but not sent, and lines travel many in a piece."""
+    shared = [" ".join(f"s{k}w{i}" for i in range(20)) for k in range(3)]
+    alone = [" ".join(f"a{k}w{i}" for i in range(20)) for k in range(500)]
+    texts = ["\n".join(alone[:250]), "\n".join([*alone[250:], *shared]), "\n".join(f"{x} new{k}" for k, x in enumerate(shared))]
+    source = line_dedup._source(make(texts), "doc_id", "text")
+    rows = line_dedup.distinct_lines(source, *line_dedup.rarity(source), 0.8, 1).collect()
+    lines = np.concatenate([np.frombuffer(r.lines, line_dedup.FIRST) for r in rows])
+    assert len(lines) == 506 and sorted(lines["n"]) == [20] * 503 + [21] * 3 and len(rows) < 100
+    assert sum(lines["size"]) < 60  # some words share a slot
+    assert sum(r.n for r in rows) == sum(lines["size"]) and (lines["size"] + lines["skip"] == line_dedup.prefix_length(lines["n"].astype(np.int64))).all()
+    assert found_lines(line_dedup.op5(make(texts))) == slow_lines(spark, list(enumerate(texts)))
+
+
 def test_line_dedup_of_a_very_long_text(spark, make, vocabulary):
     rng = random.Random(16)
     base = [" ".join(rng.choices(vocabulary, k=12)) for _ in range(30)]
