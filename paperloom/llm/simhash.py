@@ -133,7 +133,8 @@ def near_edges(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> Data
     rows = spread.select("fp", "rep", tables.alias("x")).select("x.t", "x.k", "fp", "rep")
     # by far the most buckets have one fingerprint; a large one is dealt out before its rows meet
     shared = rows.groupBy("k", "t").agg(F.count("*").alias("n")).where("n > 1")
-    counted = rows.join(shared, ["k", "t"])
+    # Spark counts the rows as if explode made no more of them: without a hint it would broadcast either side
+    counted = rows.join(shared.hint("merge"), ["k", "t"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
     dealt = counted.select("t", "k", "fp", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))

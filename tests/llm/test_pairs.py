@@ -90,6 +90,15 @@ def test_simhash_links_of_chains_and_large_buckets(spark):
             assert {found.get(v, v) for v in g} == {min(g)}
 
 
+def test_simhash_buckets_are_not_broadcast(spark):
+    """Spark takes the rows of all masks for few, as it sizes an explosion like its input; by default it would broadcast them."""
+    table = spark.range(2000).selectExpr("xxhash64(id) fp", "xxhash64(id) rep")
+    edges = simhash.near_edges(table, 4)
+    edges.collect()
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_keep_one(make, edge_texts):
     docs = make(edge_texts)
     kept = simhash.keep_one(docs)
