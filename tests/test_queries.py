@@ -3,12 +3,14 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
 from paperloom import catalog
 from paperloom.functions.text import similarity
-from paperloom.operators import relations
+from paperloom.operators import batches, relations
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.01"
@@ -94,6 +96,30 @@ def test_converters_of_pages_and_messages(spark, sf_dir):
         assert all(" ".join(html.unescape(x).split()) in " ".join(r.markdown.split()) for x in said)
 
 
+def test_pages_come_in_small_batches(spark, tmp_path):
+    """What a worker holds doesn't grow with the pages: 300 of 200 KB, one row group, go in and out in pieces."""
+    pq.write_table(pa.table({"page_id": range(300), "html": ["<p>" + "x" * 200_000] * 300}), tmp_path / "pages.parquet")
+    resident = lambda x: open("/proc/self/statm").read().split()[1] + " " + x[::-1]
+    rows = catalog._pages(spark, str(tmp_path), resident, "held").selectExpr("page_id", "int(substring_index(held, ' ', 1)) * 4096 held", "length(held) n").collect()
+    assert sorted(r.page_id for r in rows) == list(range(300)) and all(r.n > 200_000 for r in rows)
+    held = [r.held for r in sorted(rows)][100:]  # once it has begun
+    assert max(held) - min(held) < 8 * batches.BYTES
+
+
+def test_results_go_out_in_small_batches(spark):
+    """Whatever comes in at once; every row stays, null ones and those larger than a batch too."""
+
+    class Rows:
+        sparkSession, mapInArrow = spark, lambda self, run, schema: run
+
+    texts = [None, "", "x" * (3 * batches.BYTES), *["y" * 30_000] * 500, *["z"] * 5000]
+    run = batches.map_rows(Rows(), lambda i, t: (i, t and t * 2), "i long, t string")
+    out = list(run(iter([pa.record_batch({"i": range(len(texts)), "t": texts}), pa.record_batch({"i": [-1], "t": ["w"]})])))
+    assert all(b.num_rows <= batches.ROWS and (b.num_rows == 1 or b.slice(0, b.num_rows - 1).column(1).nbytes < 2 * batches.BYTES) for b in out)
+    rows = [(r["i"], r["t"]) for b in out for r in b.to_pylist()]
+    assert rows == [*[(i, t and t * 2) for i, t in enumerate(texts)], (-1, "ww")]
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and rows == sorted(rows, key=lambda r: (-r.chars, r.path))
