@@ -1,3 +1,4 @@
+import difflib
 import os
 
 from hypothesis import HealthCheck, given, settings
@@ -58,3 +59,15 @@ def test_decoding(spark, blobs):
 def test_similarity():
     assert [T.similarity(a, b) for a, b in (("a b", "a b"), ("", ""), ("a", ""), ("a b", "c d"))] == [1.0, 1.0, 0.0, 0.0]
     assert 0 < T.similarity("a b c", "a x c") < 1
+
+
+@LOOSE
+@given(st.randoms(use_true_random=False))
+def test_word_ratio(rng):
+    """The same as the standard library's, also where words of long texts count as popular."""
+    for k in range(200):
+        words = [*map(str, range(rng.choice([1, 3, 30, 300])))]
+        weights = [1 / (n + 1) for n in range(len(words))] if k % 2 else None
+        a, b = (rng.choices(words, weights, k=rng.choice(sizes)) for sizes in ([1, 7, 40], [1, 60, 199, 200, 450]))
+        b[len(b) // 2 : 0] = a[: k % 5]
+        assert T.word_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()

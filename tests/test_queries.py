@@ -1,4 +1,6 @@
+import difflib
 import html
+import random
 import re
 from collections import Counter
 
@@ -75,6 +77,34 @@ def test_best_similarity(spark, sf_dir):
     assert {r.doc_id: (r.item_id, r.similarity) for r in got} == want and len(got) == len(want) > 10
 
 
+def odd_words(spark):
+    """Documents and items with repeated and null ids, null, empty and long texts."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choices("abcdefghij", range(1, 11), k=n))
+    docs = [(1, "a b"), (1, "a b"), (1, "c c c"), (None, "a\u3000q\x1cb"), (2, None), (3, " "), (4, "zz"), *[(5 + k, say(k)) for k in range(0, 700, 9)]]
+    items = [(7, "a b"), (3, "b a"), (None, "j j i"), (7, "c"), (9, ""), (8, None), *[(10 + k, say(k)) for k in range(1, 60, 3)]]
+    return docs, items, spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_best_similarity_of_rows(spark):
+    """Every row against its own nearest item, of equals the one with the smallest id, without a shuffle."""
+    docs, items, d, i = odd_words(spark)
+    got, want = catalog.best_similarity(d, i), []
+    for key, t in docs:
+        a, least = Counter((t or "").split()), []
+        for k, u in items:
+            b = Counter((u or "").split())
+            c, n = (a & b).total(), a.total() + b.total()
+            if c or not n:
+                least.append((-2 * c / n if n else -1.0, k is not None, k or 0, u or ""))
+        if least:
+            _, _, k, u = min(least)
+            ws, vs = u.split(), (t or "").split()
+            want.append((key, k or None, round(difflib.SequenceMatcher(None, ws, vs).ratio() if ws and vs else 1.0, 4)))
+    assert Counter(map(tuple, got.collect())) == Counter(want) and len(want) > 70
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_attachment_folder(spark):
     emails = spark.createDataFrame([("a", "a/m.eml"), ("", "n.eml"), ("b", "b/o.eml"), ("c", "c/p.eml")], "dir string, rel_path string")
     files = spark.createDataFrame([("a/Attachments",), ("a/attachment",), ("Attachment",), ("b/other",), ("d/attachments",)], "dir string")
