@@ -105,6 +105,20 @@ def test_best_similarity_of_rows(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_word_bound_of_rows(spark):
+    """Rows that repeat an id are documents of their own, and no row leaves its task."""
+    docs, items, d, i = odd_words(spark)
+    got, want = catalog.word_bound(d, i), []
+    for key, t in docs:
+        for k, u in items:
+            a, b = Counter((t or "").split()), Counter((u or "").split())
+            c, n, m = (a & b).total(), a.total(), b.total()
+            if c or n == m == 0:
+                want.append((key, k, c, n, m, 2 * c / (n + m) if n + m else 1.0))
+    assert Counter(map(tuple, got.collect())) == Counter(want) and len(want) > 1000
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_attachment_folder(spark):
     emails = spark.createDataFrame([("a", "a/m.eml"), ("", "n.eml"), ("b", "b/o.eml"), ("c", "c/p.eml")], "dir string, rel_path string")
     files = spark.createDataFrame([("a/Attachments",), ("a/attachment",), ("Attachment",), ("b/other",), ("d/attachments",)], "dir string")
